@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe_encoding
 from .mixing import OP2_SQL, op2_mixing_sources
 from .quality import OP3_SQL, op3_quality_rules
+from .secrets import op5_secret_scans
 from .sharding import OP4_SQL, op4_sharding
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op2_mixing_sources": op2_mixing_sources,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
+    "op5_secret_scans": op5_secret_scans,
+    "op7_warc": op7_warc,
+    "op9_bpe_encoding": op9_bpe_encoding,
 }
 
 ORACLE_SQL = {
     "op2_mixing_sources": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op4_sharding": OP4_SQL,
+    "op7_warc": OP7_SQL,
 }
