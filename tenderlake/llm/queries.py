@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe_encoding
+from .jaccard import OP6_SQL, op6_ngram_jaccard
 from .mixing import OP2_SQL, op2_mixing_sources
 from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op5_secret_scans
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_secret_scans": op5_secret_scans,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
@@ -22,5 +24,6 @@ ORACLE_SQL = {
     "op2_mixing_sources": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op4_sharding": OP4_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
     "op7_warc": OP7_SQL,
 }
