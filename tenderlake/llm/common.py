@@ -13,12 +13,15 @@ WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tenderlake-")
+        _own[spark.sparkContext.applicationId] = root
     return root
 
 
