@@ -181,7 +181,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("org_id"), F.col("event_type").alias("feature"), F.get_json_object("props", "$.k").cast("long").alias("tokens_in"), F.floor("value").cast("long").alias("tokens_out"), F.col("ts").cast("timestamp").alias("at"))
 
 
-USAGE_SQL = "n_usage AS (SELECT user_id AS org_id, event_type AS feature, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(floor(value) AS BIGINT) AS tokens_out, ts AS at FROM events)"
+USAGE_SQL = "n_usage AS (SELECT user_id AS org_id, event_type AS feature, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(floor(value) AS BIGINT) AS tokens_out, ts AS at_ FROM events)"
 
 
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
