@@ -11,9 +11,9 @@ from tenderlake.operators import normalise as n
 from tenderlake.operators.landing import BUDGET_HOURS
 
 
-def one(spark, c, **values):
+def one(spark, expr, /, **values):
     schema = ", ".join(f"{k} {t}" for k, (t, _) in values.items())
-    return spark.createDataFrame([tuple(v for _, v in values.values())], schema).select(c.alias("x")).first().x
+    return spark.createDataFrame([tuple(v for _, v in values.values())], schema).select(expr.alias("x")).first().x
 
 
 @pytest.mark.parametrize(("name", "core"), [("Commune de Nogent-sur-Oise", "nogent sur oise"), ("Dijon Métropole", "dijon"), ("Métropole", "metropole"), (None, ""), ("commune d hyeres", "hyeres")])
