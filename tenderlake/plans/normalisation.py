@@ -97,7 +97,7 @@ def json_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 W = f"WITH {t.NOTICES_SQL}, x AS (SELECT *, CAST(substr(notice_id, 7) AS BIGINT) AS k, strftime(published_at, '%Y-%m-%d') AS day FROM n_notices)"
 SQL = {
     "ted_normalize": W + """ SELECT notice_id AS external_id, notice_type, country, CASE WHEN length(title) > 0 THEN 'fr' END AS language, buyer_name,
-      CASE WHEN length(title) BETWEEN 25 AND 180 THEN title WHEN length(title) > 0 THEN title WHEN true THEN 'France – Services – ' END AS title, array_to_string(places, ',') AS nuts, CAST(len(list_distinct(codes)) AS INTEGER) AS n_cpv,
+      CASE WHEN length(title) BETWEEN 25 AND 180 THEN title WHEN length(title) > 0 THEN title WHEN true THEN 'France – Services –' END AS title, array_to_string(places, ',') AS nuts, CAST(len(list_distinct(codes)) AS INTEGER) AS n_cpv,
       CAST(coalesce(nl, 0) AS INTEGER) AS n_lots, amount, 'EUR' AS currency, 'open' AS procedure_type, CAST(day AS TIMESTAMP) - INTERVAL 2 HOUR AS published_at, CAST(day AS TIMESTAMP) + INTERVAL 14 HOUR + INTERVAL 30 MINUTE AS deadline_at, CAST(1 AS INTEGER) AS version, 'surprise' AS unmapped
       FROM x LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS nl FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) ON l_orderkey = k""",
     "boamp_normalize": "WITH s AS (SELECT *, s_suppkey AS k FROM supplier) SELECT '26-' || k AS external_id, CASE k % 3 WHEN 0 THEN 'competition' WHEN 1 THEN 'result' ELSE CASE WHEN k % 4 = 3 THEN 'result' ELSE 'competition' END END AS notice_type, 'Communauté d''Agglo' AS buyer_name, 'Travaux ''' || s_name || ''' du pont' AS title, CASE WHEN k % 5 <> 0 THEN lpad(CAST(k AS VARCHAR), 9, '0') END AS siren, CASE WHEN k % 5 <> 0 THEN '72' || lpad(CAST(k AS VARCHAR), 6, '0') ELSE '' END AS cpv, coalesce(d.n, '') AS nuts, CASE k % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'open' END AS procedure_type, CASE WHEN k % 5 <> 0 THEN abs(s_acctbal) END AS amount, CASE WHEN k % 5 <> 0 THEN 'EUR' END AS currency, TIMESTAMP '2026-08-11' AS published_at, TIMESTAMP '2026-09-01 10:00:00' AS deadline_at, CASE WHEN k % 4 = 3 AND k % 3 <> 0 THEN 'ACME' END AS supplier, 'inattendu' AS unmapped FROM s LEFT JOIN (VALUES "
