@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -81,7 +82,7 @@ def page_records(page_id, url: str | None, payload: bytes, digest: str, first_id
 
 
 def write_archive(pages: DataFrame, path: str, *, segment: int = SEGMENT, least_revisit: int = LEAST_REVISIT) -> None:
-    """Write a record per page (with continuations) as WARC files under ``path``.
+    """Write a record per page (with continuations) as gzipped WARC files under ``path``.
 
     Of pages of equal payload of ``least_revisit`` bytes or more, that of the smallest (page_id, url) is the response.
     Rows that agree in id, url and payload are the same page and are written alike. A null html is an empty payload; a
@@ -103,7 +104,7 @@ def write_archive(pages: DataFrame, path: str, *, segment: int = SEGMENT, least_
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = rows.mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes):
@@ -142,14 +143,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     digest from the record that they refer to. A broken record fails the job.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     names = [x.split()[0] for x in WHOLE.split(", ")]
 
     def whole(batches):
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
-                for heads, block in parse_records(data.as_py()):
+                for heads, block in parse_records(gzip.decompress(data.as_py())):
                     if heads["warc-type"] == "revisit":
                         rows.append((_number(heads.get("x-page-id")), heads["warc-record-id"], None, heads["warc-payload-digest"].removeprefix("sha1:"), heads["warc-refers-to"]))
                     elif "warc-segment-number" not in heads:
@@ -160,7 +161,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def pieces(batches):
         for batch in batches:
             for data in batch.column("content"):
-                rows = [(h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), _number(h.get("warc-segment-total-length")), h.get("x-page-id"), h.get("warc-payload-digest"), b) for h, b in parse_records(data.as_py()) if "warc-segment-number" in h]
+                rows = [(h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), _number(h.get("warc-segment-total-length")), h.get("x-page-id"), h.get("warc-payload-digest"), b) for h, b in parse_records(gzip.decompress(data.as_py())) if "warc-segment-number" in h]
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["origin", "number", "total", "page", "digest", "block"])
 
