@@ -86,6 +86,6 @@ def under_or_over_any(code: Column, zones: Column) -> Column:
     return F.exists(zones, lambda z: (z != "") & (code.startswith(z) | z.startswith(code)))
 
 
-def contains_any(text: Column, words: Column) -> Column:
-    """Whether a normal form holds the normal form of one of the words, anywhere."""
-    return F.exists(words, lambda w: (w != "") & F.contains(text, normalize_text(w)))
+def holds_any(text: Column, words: Column) -> Column:
+    """Whether a normal form holds one of the words, given in normal form, anywhere."""
+    return F.exists(words, lambda w: F.contains(text, w))

@@ -195,6 +195,7 @@ SQL = {
     "health_summary": HEALTH + " SELECT count(*) FILTER (verdict = 'green') AS green, count(*) FILTER (verdict = 'degraded') AS degraded, count(*) FILTER (verdict = 'silent') AS silent, coalesce(list_sort(list(source) FILTER (should_page)), CAST([] AS VARCHAR[])) AS paging FROM f",
     "coverage_status": HEALTH + " SELECT source, CAST(CASE tier WHEN 'official_api' THEN 1 WHEN 'platform' THEN 2 WHEN 'signals' THEN 4 ELSE 3 END AS INTEGER) AS tier_rank, round(silent_hours, 1) AS hours, round(silent_hours, 1) <= budget AS within_budget, enabled FROM f",
     "text_normalize": f"SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents",
+    "buyer_name_core": "WITH n AS (SELECT doc_id, " + NORMAL.format("(['Commune de', 'Ville d' || chr(39), 'Métropole', 'SA', 'Mairie de', 'CHU'][doc_id % 6 + 1] || ' ' || substr(text, 1, 20))") + " AS base FROM documents) SELECT doc_id, list_reduce([" + ", ".join(f"'{x}'" for x in text.BUYER_PHRASES * 3) + "], lambda a, p: CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) WHEN ends_with(a, ' ' || p) THEN substr(a, 1, length(a) - length(p) - 1) ELSE a END, base) AS core FROM n",
     "title_trigram_pairs": f"WITH p AS (SELECT doc_id AS id, lower(substr(text, 1, 40)) AS block, substr(text, 1, 120) AS title FROM documents), g AS (SELECT id, block, {GRAMS} AS g FROM p), s AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.block = b.block AND a.id < b.id WHERE len(a.g) > 0 AND len(b.g) > 0) SELECT * FROM s WHERE similarity >= 0.6",
     "embedding_cosine_pairs": "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM s WHERE cosine >= 0.35",
     "pair_verdicts": f"WITH {PUBS} SELECT a, b, reason, confidence FROM ver",

@@ -15,13 +15,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(survivors, t.now_o())
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best notices of each profile, with the reasons."""
     w = Window.partitionBy("profile_id").orderBy(F.desc("score"), "notice_id")
     out = scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
     return out.select("profile_id", "rank", "notice_id", "score", "title", "factors", "warnings")
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_notices(spark, sf_dir).select("profile_id", "rank", "notice_id", "score", "title", F.size("warnings").alias("n_warnings"))
+
+
 def hard_filter_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = filters.fan_out(t.notices(spark, sf_dir), t.profiles(spark, sf_dir))
     return filters.hard_filter(pairs, t.now_o()).groupBy("profile_id", "outcome").agg(F.count("*").alias("n"))
@@ -93,6 +97,7 @@ BEST_SQL = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_i
 
 QUERIES = {f.__name__: f for f in (flagship, hard_filter_outcomes, rejection_histogram, match_scores, match_details, score_breakdown_check, llm_eligible_funnel, instant_alerts, score_bands, latest_revenue)}
 SQL = {
+    "flagship": PAIRS_SQL + ", r AS (SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, notice_id) AS INTEGER) AS rank, notice_id, score, title, CAST(CASE WHEN share > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_warnings FROM s) SELECT * FROM r WHERE rank <= 10",
     "hard_filter_outcomes": PAIRS_SQL + "SELECT profile_id, outcome, count(*) AS n FROM o GROUP BY profile_id, outcome",
     "rejection_histogram": PAIRS_SQL + "SELECT outcome, count(*) AS n, count(DISTINCT profile_id) AS profiles FROM o GROUP BY outcome",
     "match_scores": PAIRS_SQL + "SELECT profile_id, notice_id, score, round(f1, 4) AS activity_fit, round(f2, 4) AS geographic_fit, round(f3, 4) AS size_fit, f4 AS certification_fit, f5 AS buyer_familiarity, round(f6, 4) AS deadline_comfort, CAST(CASE WHEN share > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_warnings FROM s",

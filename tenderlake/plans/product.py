@@ -313,6 +313,17 @@ SQL = {
 }
 from .ingest import GRAMS, NORMAL  # noqa: E402
 
+PLAIN = "{}"
+for _k, _v in d.ENTITIES.items():
+    PLAIN = f"replace({PLAIN}, '{_k}', chr({ord(_v)}))"
+LINKS = r"""WITH m AS (SELECT page_id AS message_id, regexp_replace(html, 'href="/', 'href="https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/', 'g') AS html FROM pages),
+c AS (SELECT message_id, list_concat(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1), regexp_extract_all(html, '(?i)(https?://[^\s<>"''\]\)]+)', 1)) AS c FROM m),
+u AS (SELECT message_id, unnest(range(0, len(c))) AS i, unnest(c) AS raw FROM c), v AS (SELECT message_id, i, regexp_replace(trim(TWICE), '[.,;:!?)»"''>]+$', '') AS url FROM u),
+f AS (SELECT message_id, url, min(i) AS i FROM v WHERE length(url) <= 2048 AND regexp_matches(url, '(?i)^https?://') GROUP BY ALL),
+l AS (SELECT message_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS INTEGER) AS pos, url FROM f)""".replace("TWICE", PLAIN.format(PLAIN.format("raw")))
+SQL["page_links"] = LINKS + " SELECT message_id, pos, url FROM l"
+SQL["links_boilerplate"] = LINKS + ", b AS (SELECT *, len(list_filter([" + ", ".join(f"'{x}'" for x in d.BOILERPLATE) + r"], lambda x: contains(lower(regexp_replace(url, '^https?://[^/?#]*', '')), x))) > 0 AS bp FROM l) SELECT message_id, count(*) FILTER (bp) AS boilerplate, least(count(*) FILTER (NOT bp), 5) AS kept, count(*) AS links FROM b GROUP BY message_id"
+
 SQL["trigram_search"] = SQL["trigram_search"].replace("GRAMS", GRAMS)
 SQL["fulltext_topk"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents), f AS (SELECT doc_id AS id, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 120)')}, ' '))) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct(string_split({NORMAL.format('source')}, ' '))), 0.4::DOUBLE FROM documents),
 i AS (SELECT id, term, round(sum(w), 6) AS weight FROM f WHERE term <> '' GROUP BY ALL), q AS (SELECT item_id AS query, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 60)')}, ' '))) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM i GROUP BY term),
