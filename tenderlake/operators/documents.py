@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 OCR_LEAST, WINDOW_CHARS, QUOTE_MOST = 40, 60_000, 120
 GATES = {"requirement_recall": 0.90, "eliminatory_recall": 0.95, "requirement_precision": 0.85, "admin_exact_match": 0.95, "citation_validity": 0.98}
 LINKS_MOST, URL_MOST, BODY_MOST = 25, 2048, 512 * 1024
@@ -102,6 +107,47 @@ def admin_matches(rows: DataFrame) -> DataFrame:
     return rows.filter("expected is not null").groupBy("case").agg(F.count_if(same).alias("matched"), F.count("*").alias("total"))
 
 
+MATCH_LEAST = 0.6
+
+
+@F.pandas_udf("double")
+def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """E-01. Ratio of the matching blocks of two texts, but for case and white space; null counts as empty."""
+    norm = lambda x: " ".join((x or "").split()).casefold()
+    return pd.Series([SequenceMatcher(None, norm(a), norm(b)).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def scored_pairs(predicted: DataFrame, gold: DataFrame, least: float = MATCH_LEAST) -> DataFrame:
+    """(case, p, g, score) of predictions and gold items (case, idx, text) of a case that are alike enough."""
+    ship(predicted.sparkSession)
+    a = predicted.select("case", F.col("idx").alias("p"), F.col("text").alias("_a"))
+    b = gold.select("case", F.col("idx").alias("g"), F.col("text").alias("_b"))
+    return a.join(b, "case").withColumn("score", text_similarity("_a", "_b")).filter(F.col("score") >= least).select("case", "p", "g", "score")
+
+
+def two_pass_union(items: DataFrame, least: float = MATCH_LEAST) -> DataFrame:
+    """E-08. Items (case, idx, text, type) of all passes: one alike an earlier kept item of its case merges into it.
+
+    A merged eliminatory claim overrides, and the weaker type is kept as disputed_type. Items are numbered anew. The
+    result depends on the order of a case's items, which are those of one document and worked on together.
+    """
+
+    def union(frame: pd.DataFrame) -> pd.DataFrame:
+        norm = lambda x: " ".join((x or "").split()).casefold()
+        kept: list[list] = []
+        for row in frame.sort_values("idx").itertuples():
+            near = next((k for k in kept if SequenceMatcher(None, norm(row.text), norm(k[2])).ratio() >= least), None)
+            if near is None:
+                kept.append([row.case, 0, row.text, row.type, None])
+            elif row.type == "eliminatory" and near[3] != "eliminatory":
+                near[3], near[4] = "eliminatory", near[3]
+        out = pd.DataFrame(kept, columns=["case", "ref", "text", "type", "disputed_type"])
+        out["ref"] = [f"REQ-{i:03d}" for i in range(1, len(out) + 1)]
+        return out
+
+    return items.select("case", "idx", "text", "type").groupBy("case").applyInPandas(union, "case string, ref string, text string, type string, disputed_type string")
+
+
 def greedy_matches(pairs: DataFrame) -> DataFrame:
     """E-02. Best-first pairing of (case, p, g, score) in rounds: a pair that is the best of both its sides is taken, and
     the other pairs of these go; ties by the larger indices. Rounds end when no pair is left."""

@@ -161,6 +161,54 @@ def requirement_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.greedy_matches(scored_pairs)
 
 
+def similar_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.read(spark, sf_dir, "benchmark")
+    case = (F.col("item_id") % 8).cast("string").alias("case")
+    gold = b.select(case, F.col("item_id").alias("idx"), "text")
+    predicted = b.select(case, (F.col("item_id") + 1000).alias("idx"), F.concat(F.lit("x "), F.upper("text")).alias("text"))
+    return d.greedy_matches(d.scored_pairs(predicted, gold)).select("case", "p", "g")
+
+
+def two_pass_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.read(spark, sf_dir, "benchmark")
+    kind = lambda n: F.when(F.col("item_id") % 3 == n, "eliminatory").otherwise("formal").alias("type")
+    case = (F.col("item_id") % 8).cast("string").alias("case")
+    first = b.select(case, F.col("item_id").alias("idx"), "text", kind(0))
+    again = b.select(case, (F.col("item_id") + 1000).alias("idx"), F.upper("text").alias("text"), kind(1))
+    return d.two_pass_union(first.unionByName(again)).select("case", "ref", "type", "disputed_type")
+
+
+def admin_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    expected = F.when(k % 5 != 0, F.when(k % 2 == 0, F.lit('["a","b"]')).otherwise(F.concat(F.lit(" "), F.upper("c_name"))))
+    actual = F.when(k % 2 == 0, F.when(k % 4 == 0, F.lit('["c","d"]')).otherwise(F.lit('["c"]'))).otherwise(F.col("c_name"))
+    rows = c.select(F.col("c_mktsegment").alias("case"), F.lit("f").alias("field"), F.when(k % 2 == 0, "list").otherwise("text").alias("kind"), expected.alias("expected"), actual.alias("actual"))
+    return d.admin_matches(rows)
+
+
+def digest_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = F.array(*[F.lit(z) for z in ("Europe/Paris", "UTC", "America/New_York", "Asia/Tokyo")])
+    orgs = t.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org_id"), F.element_at(zones, (F.col("n_nationkey") % 4 + 1).cast("int")).alias("tz"))
+    sent = t.notifications(spark, sf_dir).select("org_id", "created_at").filter("org_id % 3 = 0")
+    return worklists.digest_orgs(orgs, sent, F.lit("2024-01-30 06:30:00").cast("timestamp"))
+
+
+def alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t.read(spark, sf_dir, "customer")
+    members = c.select(F.col("c_nationkey").alias("org_id"), F.col("c_custkey").alias("user_id"), F.when(F.col("c_mktsegment") == "MACHINERY", "viewer").otherwise("member").alias("role"))
+    users = c.select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "en").alias("locale"))
+    return worklists.recipients(members, users)
+
+
+def visible_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import tenancy
+
+    c = t.read(spark, sf_dir, "customer")
+    users, members = c.select(F.col("c_custkey").alias("user_id"), "c_name"), c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("org_id"))
+    return tenancy.visible_users(users, members, 3, 1)
+
+
 def _messages(spark, sf_dir):
     p = t.read(spark, sf_dir, "pages")
     base = F.concat(F.lit("https://"), F.try_parse_url("url", F.lit("HOST")))
@@ -308,6 +356,12 @@ SQL = {
     "decision_funnel": "WITH c AS (SELECT user_id AS org_id, count(*) FILTER (event_type = 'view') AS \"view\", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id) SELECT *, round(click::DOUBLE / nullif(\"view\", 0), 4) AS view_to_click, round(signup::DOUBLE / nullif(click, 0), 4) AS click_to_signup, round(purchase::DOUBLE / nullif(signup, 0), 4) AS signup_to_purchase FROM c",
     "planned_dates": f"WITH {t.TENDERS_SQL} SELECT tender_id, deadline_at - to_days(CAST({BACK.format(n='(tender_id % 12)', ts='deadline_at')} AS INTEGER)) AS due_at FROM n_tenders WHERE deadline_at IS NOT NULL",
     "compliance_coverage": "WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag, bool_or(l_linestatus = 'F') OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) SELECT l_orderkey AS tender_id, round(avg(CASE WHEN c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS coverage, bool_or(l_returnflag = 'R' AND NOT c) AS blocked FROM x GROUP BY l_orderkey",
+    "similar_requirements": "SELECT CAST(item_id % 8 AS VARCHAR) AS \"case\", item_id + 1000 AS p, item_id AS g FROM benchmark",
+    "two_pass_union": "SELECT CAST(item_id % 8 AS VARCHAR) AS \"case\", printf('REQ-%03d', row_number() OVER (PARTITION BY item_id % 8 ORDER BY item_id)) AS ref, CASE WHEN item_id % 3 IN (0, 1) THEN 'eliminatory' ELSE 'formal' END AS type, CASE WHEN item_id % 3 = 1 THEN 'formal' END AS disputed_type FROM benchmark",
+    "admin_exact_match": "SELECT c_mktsegment AS \"case\", count(*) FILTER (c_custkey % 2 = 1 OR c_custkey % 4 = 0) AS matched, count(*) AS total FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL",
+    "digest_eligibility": f"WITH {t.NOTIFICATIONS_SQL} SELECT n_nationkey AS org_id, 'Europe/Paris' AS tz FROM nation WHERE n_nationkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM n_notifications x WHERE x.org_id = n_nationkey AND x.org_id % 3 = 0 AND created_at > TIMESTAMP '2024-01-30 06:30:00' - INTERVAL 20 HOUR)",
+    "alert_recipients": "SELECT c_nationkey AS org_id, c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'en' ELSE 'fr' END AS locale FROM customer WHERE c_mktsegment <> 'MACHINERY'",
+    "visible_users": "SELECT c_custkey AS user_id, c_name FROM customer WHERE c_nationkey = 3 OR c_custkey = 1",
     "time_buckets": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL",
     "recognised_links": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'eu-ted' WHEN 1 THEN 'fr-boamp' END AS source, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 8, '0') || '-2026' WHEN 1 THEN '26-' || lpad(CAST(page_id AS VARCHAR), 8, '0') END AS external_id FROM pages",
 }
@@ -328,4 +382,4 @@ SQL["trigram_search"] = SQL["trigram_search"].replace("GRAMS", GRAMS)
 SQL["fulltext_topk"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents), f AS (SELECT doc_id AS id, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 120)')}, ' '))) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct(string_split({NORMAL.format('source')}, ' '))), 0.4::DOUBLE FROM documents),
 i AS (SELECT id, term, round(sum(w), 6) AS weight FROM f WHERE term <> '' GROUP BY ALL), q AS (SELECT item_id AS query, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 60)')}, ' '))) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM i GROUP BY term),
 s AS (SELECT query, id, round(sum(i.weight * ln(1 + n.n / df.df)), 6) AS score FROM q JOIN df USING (term) JOIN i USING (term), n GROUP BY query, id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
-QUERIES = {f.__name__: f for f in (inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
+QUERIES = {f.__name__: f for f in (inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
