@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -110,7 +111,7 @@ def admin_matches(rows: DataFrame) -> DataFrame:
 MATCH_LEAST = 0.6
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """E-01. Ratio of the matching blocks of two texts, but for case and white space; null counts as empty."""
     norm = lambda x: " ".join((x or "").split()).casefold()
