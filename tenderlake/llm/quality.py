@@ -75,8 +75,7 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     """A row for each distinct (host, text), by the hashes of ``_key``: line_words, removed_words and depleted.
 
     Lines are normalised (lower case, runs of white space to one blank, digits to 0, ends trimmed) and hashed. A line's
-    documents are counted within its host. Equal texts count once, and so do documents whose smallest other line hash is
-    the same: a group of near copies is one source of its lines, not evidence of boilerplate. Words of lines above
+    distinct documents are counted within its host; equal texts of a host are one document. Words of lines above
     ``max_docs`` are removed; a document left with less than ``min_left_percent`` of its words is depleted. A null host
     is a host of its own.
     """
@@ -89,10 +88,8 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
 
     d = d.select("_k1", "_k2", "_host", F.transform(lines, shaped).alias("_lines"))
     d = d.groupBy("_k1", "_k2").agg(F.min(F.struct("_host", "_lines")).alias("_d")).select("_k1", "_k2", "_d.*")
-    d = d.withColumn("_two", F.slice(F.array_sort(F.array_distinct("_lines.line")), 1, 2))
-    each = d.select("_k1", "_k2", "_host", "_two", F.explode("_lines").alias("_l")).groupBy("_k1", "_k2", "_host", "_two", "_l.line").agg(F.sum("_l.words").alias("words"))
-    other = F.when(F.get("_two", F.lit(0)) == F.col("line"), F.get("_two", F.lit(1))).otherwise(F.get("_two", F.lit(0)))
-    counted = each.select("_host", "line", F.coalesce(other, F.lit("")).alias("other")).distinct().groupBy("_host", "line").agg(F.count("*").alias("docs"))
+    each = d.select("_k1", "_k2", "_host", F.explode("_lines").alias("_l")).groupBy("_k1", "_k2", "_host", "_l.line").agg(F.sum("_l.words").alias("words"))
+    counted = each.groupBy("_host", "line").agg(F.count("*").alias("docs"))
     common = counted.filter(F.col("docs") > max_docs).select(F.col("_host").alias("_h"), F.col("line").alias("_line"))
     # Frequent lines are the hot keys of this join: each is dealt over 32 salts.
     salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))

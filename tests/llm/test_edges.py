@@ -43,6 +43,25 @@ def test_quality(docs, none):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
 
 
+def template_pages(n=110, other=3):
+    """Pages of a host: a block of template lines on all of them, then a line of its own; and pages without the block."""
+    block = [f"{w} is a template line of this site and is on all of its pages" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()]
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05}")
+    own = lambda i: " ".join(f"{name(i)}{name(k)}" for k in range(30))
+    rows = [(i, "\n".join([*block, own(i)]), "h") for i in range(n)] + [(n + i, block[0] + "\n" + own(n + i), "g") for i in range(other)]
+    return rows, block, own
+
+
+def test_template_lines_are_counted_by_document(spark):
+    """A block of lines on 110 pages of a host is over the limit as a whole, whichever lines the pages share besides."""
+    rows, block, own = template_pages()
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, source string")
+    words = sum(len(x.split()) for x in block)
+    for r in quality.quality(docs).collect():
+        assert (r.line_words, r.removed_words, r.kept) == ((words + 30, words, False) if r.doc_id < 110 else (len(block[0].split()) + 30, 0, True))
+    assert not quality.quality(spark.createDataFrame(rows[10:110], docs.schema)).filter("removed_words > 0").count()
+
+
 def test_repeats(spark):
     """Words in repeated windows against a brute force."""
     rnd = random.Random(5)
