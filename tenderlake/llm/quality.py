@@ -71,8 +71,13 @@ def _key(host, text):
     return F.xxhash64(host, t).alias("_k1"), F.xxhash64(t, F.lit(7), host).alias("_k2")
 
 
-def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """A row for each distinct (host, text), by the hashes of ``_key``: line_words, removed_words and depleted.
+def _normal(line):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), WS + "+", " "), "[0-9]", "0"))
+
+
+def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, name_removed: bool = False) -> DataFrame:
+    """A row for each distinct (host, text), by the hashes of ``_key``: line_words, removed_words and depleted; if
+    ``name_removed``, also ``removed``, the hashes of the normalised lines to remove.
 
     Lines are normalised (lower case, runs of white space to one blank, digits to 0, ends trimmed) and hashed. A line's
     distinct documents are counted within its host; equal texts of a host are one document. Words of lines above
@@ -83,7 +88,7 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
 
     def shaped(x):
-        norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), WS + "+", " "), "[0-9]", "0"))
+        norm = _normal(x)
         return F.struct(F.md5(norm).alias("line"), F.size(F.split(norm, " ")).alias("words"))
 
     d = d.select("_k1", "_k2", "_host", F.transform(lines, shaped).alias("_lines"))
@@ -95,7 +100,8 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
     each = each.withColumn("_s", F.pmod(F.col("_k1"), F.lit(32)).cast("int"))
     each = each.join(salted, (each["_host"] == salted["_h"]) & (each["line"] == salted["_line"]) & (each["_s"] == salted["_salt"]), "left")
-    out = each.groupBy("_k1", "_k2").agg(F.sum("words").alias("line_words"), F.sum(F.when(F.col("_line").isNotNull(), F.col("words")).otherwise(0)).alias("removed_words"))
+    removed = [F.collect_list("_line").alias("removed")] if name_removed else []
+    out = each.groupBy("_k1", "_k2").agg(F.sum("words").alias("line_words"), F.sum(F.when(F.col("_line").isNotNull(), F.col("words")).otherwise(0)).alias("removed_words"), *removed)
     return out.withColumn("depleted", 100 * (F.col("line_words") - F.col("removed_words")) < min_left_percent * F.col("line_words"))
 
 
@@ -113,11 +119,19 @@ def quality(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str =
 
 
 def kept_rows(docs: DataFrame, columns: tuple[str, ...], *, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """``columns`` of the rows that ``quality`` keeps. Decisions are made on keys; texts are shuffled once."""
+    """``columns`` of the rows that ``quality`` keeps, the text without the lines above the limit.
+
+    The other lines, blank ones too, stay as they are and in order. Decisions are made on keys and on whole texts; texts
+    are shuffled once.
+    """
     keyed = docs.select(*_key(F.col(host), F.col(text)), F.col(text).alias("_text"))
-    base = base_rules(keyed, text="_text", keep=("_k1", "_k2")).join(line_verdicts(docs, text=text, host=host, **limits), ["_k1", "_k2"], "left")
-    kept = base.filter(~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).select("_k1", "_k2").distinct()
-    return docs.select(*columns, *_key(F.col(host), F.col(text))).join(durable(kept, "kept"), ["_k1", "_k2"], "left_semi").select(*columns)
+    base = base_rules(keyed, text="_text", keep=("_k1", "_k2")).join(line_verdicts(docs, text=text, host=host, name_removed=True, **limits), ["_k1", "_k2"], "left")
+    kept = base.filter(~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
+    kept = kept.groupBy("_k1", "_k2").agg(F.first("removed").alias("_removed"))
+    rows = docs.select(*columns, *_key(F.col(host), F.col(text))).join(durable(kept, "kept"), ["_k1", "_k2"])
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_removed", F.md5(_normal(x))))
+    cleaned = F.when(F.size("_removed") > 0, F.array_join(left, "\n")).otherwise(F.col(text)).alias(text)
+    return rows.select(*[cleaned if c == text else F.col(c) for c in columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tenderlake.llm import bpe, chat, jaccard, licences, mixing, quality, retrieval, secrets, sharding, shingles, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,6 +63,18 @@ def test_template_lines_are_counted_by_document(spark):
     assert not quality.quality(spark.createDataFrame(rows[10:110], docs.schema)).filter("removed_words > 0").count()
 
 
+def test_template_lines_are_removed(spark):
+    """The pipeline goes on with the other lines, in order, of documents that are not depleted."""
+    rows, block, own = template_pages(n=2)
+    rows += [(1000 + i, f"{block[0].upper()}\n\n{own(i)}\n  {block[0]}\n{own(2000 + i)} z", "h") for i in range(105)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.lit(0).cast("long")})
+    got = {r.doc_id: r for r in corpus_pipeline.keep_quality(spark, docs, "").collect()}
+    want = {i: t for i, t, _ in rows} | {i: "\n".join([*block[1:], own(i)]) for i in (0, 1)} | {1000 + i: f"\n{own(i)}\n{own(2000 + i)} z" for i in range(105)}
+    kept = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
+    assert {i: r.text for i, r in got.items()} == {i: want[i] for i in kept} and {2, 3, 4, 1000, 1104} <= kept
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_repeats(spark):
     """Words in repeated windows against a brute force."""
     rnd = random.Random(5)
