@@ -54,7 +54,7 @@ def decoded(block: bytes) -> bytes:
 
 
 def record_id(*parts) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, parts)))}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(repr, parts)))}>"
 
 
 def record(kind: str, rid: str, block: bytes, **more) -> bytes:
@@ -63,10 +63,14 @@ def record(kind: str, rid: str, block: bytes, **more) -> bytes:
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in heads.items()), "\r\n"]).encode() + block
 
 
-def page_records(page_id, url: str | None, payload: bytes, digest: str, first_id, first_url: str | None, segment: int):
-    """The records of a page: a revisit of the first page of equal payload, or a response in as many segments as needed."""
+def page_records(page_id, url: str | None, payload: bytes, digest: str, first_id, first_url: str | None, segment: int, copy: int = 0):
+    """The records of a page: a revisit of the first page of equal payload, or a response in as many segments as needed.
+
+    Further copies of a page (``copy`` from 1) have record ids of their own.
+    """
+    key = ("page", page_id, url, digest, *(["copy", copy] if copy else []))
     own = {"WARC_Target_URI": url and url.replace("\r", "").replace("\n", ""), "WARC_Payload_Digest": f"sha1:{digest}", "X_Page_Id": page_id}
-    rid = record_id("page", page_id, url, digest)
+    rid = record_id(*key)
     if (page_id, url) != (first_id, first_url):
         yield record("revisit", rid, b"", **own, WARC_Refers_To=record_id("page", first_id, first_url, digest), WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return
@@ -78,29 +82,35 @@ def page_records(page_id, url: str | None, payload: bytes, digest: str, first_id
     yield record("response", rid, parts[0], **own, WARC_Segment_Number=1)
     for k, part in enumerate(parts[1:], 2):
         total = len(block) if k == len(parts) else None
-        yield record("continuation", record_id("page", page_id, url, digest, k), part, WARC_Segment_Origin_ID=rid, WARC_Segment_Number=k, WARC_Segment_Total_Length=total)
+        yield record("continuation", record_id(*key, k), part, WARC_Segment_Origin_ID=rid, WARC_Segment_Number=k, WARC_Segment_Total_Length=total)
 
 
 def write_archive(pages: DataFrame, path: str, *, segment: int = SEGMENT, least_revisit: int = LEAST_REVISIT) -> None:
     """Write a record per page (with continuations) as gzipped WARC files under ``path``.
 
     Of pages of equal payload of ``least_revisit`` bytes or more, that of the smallest (page_id, url) is the response.
-    Rows that agree in id, url and payload are the same page and are written alike. A null html is an empty payload; a
-    null id comes after all others.
+    Rows that agree in id, url and payload are copies of a page: all are responses or all are revisits, each with record
+    ids of its own. A null html is an empty payload; a null id comes after all others.
     """
     ship(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_d", F.sha1("payload"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("by"), "url")
-    first = rows.groupBy("_d").agg(F.min(order).alias("_f")).select("_d", F.col("_f.page_id").alias("first_id"), F.col("_f.url").alias("first_url"))
-    rows = rows.join(first, "_d").drop("_d")
+    copies = rows.groupBy("_d", "page_id", "url").agg(F.count("*").alias("n"))
+    first = copies.groupBy("_d").agg(F.min(order).alias("_f"), F.max(F.col("n") > 1).alias("_again")).select("_d", F.col("_f.page_id").alias("first_id"), F.col("_f.url").alias("first_url"), "_again")
+    # Only payloads that have copies of a page are grouped to number them.
+    once = rows.join(first.filter("not _again"), "_d").withColumn("copy", F.lit(0))
+    again = rows.join(first.filter("_again"), "_d").groupBy("_d", "page_id", "url", "first_id", "first_url").agg(F.first("payload").alias("payload"), F.count("*").cast("int").alias("n"))
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    columns = ["page_id", "url", "payload", "first_id", "first_url", "copy"]
+    rows = once.select(*columns).unionByName(again.select(*columns))
 
     def run(batches):
         for batch in batches:
-            for page_id, url, payload, first_id, first_url in zip(*[batch.column(c) for c in ("page_id", "url", "payload", "first_id", "first_url")], strict=True):
+            for page_id, url, payload, first_id, first_url, copy in zip(*[batch.column(c) for c in columns], strict=True):
                 data = payload.as_py()
                 own = (page_id.as_py(), url.as_py())
                 first = own if len(data) < least_revisit else (first_id.as_py(), first_url.as_py())
-                out = list(page_records(*own, data, payload_digest(data), *first, segment))
+                out = list(page_records(*own, data, payload_digest(data), *first, segment, copy.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = rows.mapInArrow(run, "record binary")
@@ -177,7 +187,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
 
-    cut = files.mapInArrow(pieces, "origin string, number int, total long, page string, digest string, block binary").dropDuplicates(["origin", "number"])
+    cut = files.mapInArrow(pieces, "origin string, number int, total long, page string, digest string, block binary")
     cut = cut.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "page", "digest", "block")).alias("parts"))
     records = files.mapInArrow(whole, WHOLE)
     responses = records.filter(F.col("refers_to_record").isNull()).unionByName(cut.mapInArrow(joined, WHOLE))

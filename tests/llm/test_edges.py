@@ -252,6 +252,29 @@ def test_warc(spark, tmp_path):
     assert warc.payload_digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+def test_warc_copies(spark, tmp_path):
+    """Repeated rows are all returned, as responses in segments or whole and as revisits."""
+    big = "é<p>" * 20_000
+    rows = [(1, "http://a/", big)] * 3 + [(2, "http://a/", big)] * 2 + [(3, None, "x")] * 2 + [(None, None, big + "y")] * 2 + [(None, "None", big + "y"), (4, "http://b/", "z")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, str(tmp_path / "w")).collect())
+    n = len(big.encode())
+    assert [x[:3] for x in got] == [("1", n, "response")] * 3 + [("2", n, "revisit")] * 2 + [("3", 1, "response")] * 2 + [("4", 1, "response")] + [("None", n + 1, "response")] * 2 + [("None", n + 1, "revisit")]
+    assert {x[3] for x in got if x[0] == "2"} == {1}
+
+
+def test_one_of_copies_by_text(spark):
+    """Different texts under null or equal ids stay; copies under them go."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c") + " end"), (3, text("c")), (1, text("d")), (1, text("e")), (1, text("e") + " end"), (0, text("d") + " end"), (5, None), (5, ""), (5, ""), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = corpus_pipeline.keep_one_of_copies(spark, docs.repartition(3), "").collect()
+    ends = {r.text for r in got} & {text("e"), text("e") + " end"}
+    assert len(ends) == 1 and all(r.doc_id == 1 for r in got if r.text in ends)
+    want = [(None, text("a")), (None, text("b")), (3, text("c")), (0, text("d") + " end"), (5, None), (5, ""), (None, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in got if r.text not in ends), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("n", [0, 1, 4096, 4097, 9000])
 def test_chunks(n):
     assert warc.unchunked(warc.chunked(b"z" * n)) == b"z" * n
