@@ -1,8 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns with clashing names."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,23 +320,47 @@ def test_chat(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_search(rows, asked, top):
+    """BM25 of every document for the terms of every asked id, by the formula."""
+    words = [re.findall("[^\\x20\\x09-\\x0D]+", re.sub(r"[!-/:-@\[-`{-~]", " ", t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t in rows]
+    mean, df = sum(map(len, words)) / len(rows), Counter(w for ws in words for w in set(ws))
+    idf = {w: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    out = []
+    for q in asked:
+        terms = {w for (i, _), ws in zip(rows, words, strict=True) if i == q for w in ws}
+        found = []
+        for (i, _), ws in zip(rows, words, strict=True):
+            tf = Counter(ws)
+            score = sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in terms if w in tf)
+            if score:
+                found.append((-round(score, 6), i is None, i))
+        out += [(q, k, i, -s) for k, (s, _, i) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:top], 1)]
+    return sorted(out, key=repr)
+
+
 def test_search_edges(spark, docs, none):
+    """All terms of whole texts; repeated ids ask once; ties by id, null last; queries and tables without terms give nothing."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     index = retrieval.build_index(docs)
     n, _ = retrieval.statistics(index)
     assert n == len(ROWS)
-    got = retrieval.search(index, retrieval.queries_from(docs.filter("doc_id in (2, 5)"), index, n), top=3).collect()
-    assert {r.doc_id for r in got if r.qid == 5 and r["rank"] <= 3} <= {None, 5, 6, 7} and not [r for r in got if r.qid == 2]
-    assert retrieval.build_index(none).count() == 0
+    asked = [1, 2, 3, 4, 5, 8, 9, 10]
+    got = [tuple(r) for r in retrieval.search(index, retrieval.queries_from(docs.filter(F.col("doc_id").isNull() | F.col("doc_id").isin(asked)), index, n), top=3).collect()]
+    assert [(a, b, c, pytest.approx(s, abs=2e-6)) for a, b, c, s in sorted(got, key=repr)] == brute_search(rows, asked, 3)
+    empty = retrieval.build_index(none)
+    assert empty.count() == 0 and retrieval.search(empty, retrieval.queries_from(docs, empty, 0)).count() == 0
+    assert retrieval.search(index, retrieval.queries_from(none, index, n)).count() == 0
 
 
 def test_search_prunes_exactly(spark):
-    """Many shards and blocks give what one shard gives."""
+    """Whole texts as queries over many shards, blocks and rounds against the formula, with repeated rows, ids and ties."""
     rnd = random.Random(9)
-    rows = [(i, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice("abcdef") for _ in range(rnd.randint(1, 60)))) for i in range(3000)]
+    rows = [(i, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.choice((1, 1, 2)) + rnd.choice("abcdef") for _ in range(rnd.randint(1, 60)))) for i in range(1500)]
+    rows += rows[40:60] + [(50, "an other text of fifty"), (None, rows[100][1])] + [(3000 + i, rows[150][1]) for i in range(15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     asked = docs.filter("doc_id % 50 = 0")
-    found = []
+    want = brute_search(rows, sorted({r.doc_id for r in asked.collect()}), 10)
     for size, parts in ((1 << 24, 1), (4000, 6)):
         index = retrieval.build_index(docs.repartition(parts), shard_bytes=size)
-        found.append(sorted(tuple(r) for r in retrieval.search(index, retrieval.queries_from(asked, index, 3000), query_block=20).collect()))
-    assert found[0] == found[1] and len(found[0]) == 600
+        got = retrieval.search(index, retrieval.queries_from(asked, index, len(rows)), query_terms=200).collect()
+        assert [(a, b, c, pytest.approx(s, abs=2e-6)) for a, b, c, s in sorted((tuple(r) for r in got), key=repr)] == want
