@@ -44,7 +44,7 @@ def _repeated(words, n, window: int):
 def base_rules(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
-    A null or empty text has no words and fails. Rows are neither merged nor dropped.
+    A null or empty text has no words and fails. Rows are neither merged nor dropped; an empty table gives no rows.
     """
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = d.withColumn("_w", words_of(F.col("_t"))).withColumn("_n", F.size("_w"))
@@ -108,7 +108,9 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
 def quality(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", **limits) -> DataFrame:
     """Base rules of every row, line_words, removed_words and ``kept``: false if a base rule fails or lines deplete it.
 
-    Null texts fail the base rule; rows with null or repeated ids each keep their own result.
+    Null, empty and blank texts fail the base rule; rows with null or repeated ids each keep their own result; repeated
+    rows count once among the documents of a line. A text of any length is worked on whole, as a row of its own: only
+    hashes of its lines are shuffled. An empty table gives an empty one.
     """
     verdicts = line_verdicts(docs, text=text, host=host, **limits)
     rows = docs.select(*keep, *_key(F.col(host), F.col(text)), F.col(text).alias("_text"))
@@ -151,10 +153,7 @@ dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY rid),
 norm AS (SELECT rid, source, t, md5(nl) AS line, len(string_split(nl, ' ')) AS words
          FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS nl FROM ln)),
 doc_line AS (SELECT source, t, line, sum(words) / count(DISTINCT rid) AS words FROM norm GROUP BY source, t, line),
-two AS (SELECT source, t, list_sort(list(line))[1:2] AS two FROM doc_line GROUP BY source, t),
-sig AS (SELECT x.source, x.line, coalesce(CASE WHEN two[1] = x.line THEN two[2] ELSE two[1] END, '') AS other
-        FROM doc_line x JOIN two y ON x.t = y.t AND x.source IS NOT DISTINCT FROM y.source),
-common AS (SELECT source, line FROM sig GROUP BY source, line HAVING count(DISTINCT other) > 100),
+common AS (SELECT source, line FROM norm GROUP BY source, line HAVING count(DISTINCT t) > 100),
 cut AS (SELECT x.source, x.t, sum(words) AS line_words, sum(CASE WHEN c.line IS NOT NULL THEN words ELSE 0 END) AS removed_words
         FROM doc_line x LEFT JOIN common c ON x.line = c.line AND x.source IS NOT DISTINCT FROM c.source GROUP BY x.source, x.t),
 base AS (

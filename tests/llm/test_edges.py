@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tenderlake.llm import bpe, chat, jaccard, licences, mixing, quality, retrieval, secrets, sharding, shingles, warc
 
+from ..compare import rows_of, rows_of_sql
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
 BODY = "the quick brown fox jumps over a lazy dog while many other animals look on in silence and wonder why it runs so far"
@@ -65,6 +67,19 @@ def test_template_lines_are_counted_by_document(spark):
     assert not quality.quality(spark.createDataFrame(rows[10:110], docs.schema)).filter("removed_words > 0").count()
 
 
+def test_menu_of_a_site(spark, duck, tmp_path):
+    """1,000 pages of a host with 30 menu lines and one own line lose the menu and are depleted; the SQL finds the same."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+    menu = [f"menu entry {name(k)} of this very site" for k in range(30)]
+    rows = [(i, "\n".join([*menu, " ".join(f"{name(i)}{name(k)}" for k in range(25))]), "h") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    duck.execute(f"CREATE TEMP VIEW menus AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    cols, got = rows_of(quality.quality(docs))
+    assert (cols, got) == rows_of_sql(duck, quality.OP3_SQL.replace("FROM documents", "FROM menus"))
+    assert {dict(zip(cols, r, strict=True))["removed_words"] for r in got} == {7 * len(menu)} and not any(dict(zip(cols, r, strict=True))["kept"] for r in got)
+
+
 def test_template_lines_are_removed(spark):
     """The pipeline goes on with the other lines, in order, of documents that are not depleted."""
     rows, block, own = template_pages(n=2)
