@@ -298,7 +298,7 @@ def test_chunks(n):
 
 
 def test_licences(docs, none):
-    out = {r.doc_id: (r.licence, r.passages) for r in licences.licences(docs).collect()}
+    out = {r.doc_id: (r.licence, r.templates) for r in licences.licences(docs).collect()}
     assert out[9] == ("MIT", 1) and out[1] == (None, 0) and out[8] == (None, 0)
     assert licences.licences(none).count() == 0
 
