@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +15,18 @@ from ..shipping import ship
 from .common import durable, table
 
 KINDS = ("assign", "access", "hex", "grammar")
-#: Bounds of the training samples: labelled credentials of a kind, and other long tokens.
-PER_KIND, OTHERS = 400, 2000
+#: Bounds of the training samples: labelled credentials of a kind, other long tokens, and characters of a value. Longer
+#: values train nothing; they are scanned and scored whole.
+PER_KIND, OTHERS, LONGEST = 400, 2000, 512
 #: A candidate is a run of credential characters, stripped of punctuation at its ends.
 LEAST = 16
-#: Nats per character by which a format must explain a candidate better than ordinary tokens do, and the least it may give.
-MARGIN, FLOOR = 0.35, -1.6
+#: Nats per character by which a format must explain a candidate better than ordinary tokens do, at least.
+MARGIN = 0.35
+#: One value in HOLD is held out of training to set limits. A candidate must be as likely under a format as all but
+#: MISSED of its held-out values, with SLACK nats per character; and gain more than all but FALSE of held-out others.
+HOLD, MISSED, SLACK, FALSE = 4, 0.02, 0.6, 0.002
+#: A character that so many of a state's values have next, in share and number, is a literal there; others go by class.
+LITERAL_SHARE, LITERAL_LEAST = 0.5, 8
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -53,66 +59,69 @@ def candidates(text: str):
             yield a, b
 
 
-CLASSES = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: c for c in "+/_.=-"}}
-ALPHABET = sorted(set(CLASSES.values()))
-
-
-def shape(value: str) -> str:
-    return "".join([CLASSES.get(c, "l") for c in value])
+CLASSES = {**dict.fromkeys("0123456789", "digit"), **dict.fromkeys("abcdef", "hex"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "lower"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper"), **{c: c for c in "+/_.=-"}}
+SIZES = Counter(CLASSES.values())
 
 
 class Automaton:
     """A probabilistic automaton inferred by merging states of the samples' prefix tree (Carrasco and Oncina, 1994).
 
-    Two states are merged if, at confidence ``alpha``, the Hoeffding bound finds no difference between their rates of
-    ending and of each symbol, nor between those of the states that follow. Rates are smoothed for unseen symbols.
+    An edge stands for a literal, where most values of a state go on with one character (a prefix such as AKIA), else for
+    a class of characters, whose probability its members share. Two states are merged if, at confidence ``alpha``, the
+    Hoeffding bound finds no difference between their rates of ending and of each symbol, nor between those of the
+    states that follow. Rates are smoothed for unseen symbols.
     """
 
     def __init__(self, samples: list[str], alpha: float = 0.05, smooth: float = 0.05):
-        self.n, self.ends = [0], [0]
-        self.to: list[dict[str, int]] = [{}]
-        self.times: list[dict[str, int]] = [defaultdict(int)]
-        for s in samples:
-            q = 0
-            self.n[0] += 1
-            for c in s:
-                if c not in self.to[q]:
-                    self.to[q][c] = len(self.n)
-                    self.n.append(0)
-                    self.ends.append(0)
-                    self.to.append({})
-                    self.times.append(defaultdict(int))
-                self.times[q][c] += 1
-                q = self.to[q][c]
-                self.n[q] += 1
-            self.ends[q] += 1
+        self.n, self.ends = [], []
+        self.to: list[dict[str, int]] = []
+        self.times: list[dict[str, int]] = []
+        self._state(samples)
+        grow = [(0, 0, samples)]
+        while grow:
+            q, depth, own = grow.pop()
+            following = Counter(v[depth] for v in own if len(v) > depth)
+            fixed = {c for c, k in following.items() if k >= max(LITERAL_LEAST, LITERAL_SHARE * len(own))}
+            parts: dict[str, list[str]] = defaultdict(list)
+            for v in own:
+                if len(v) > depth:
+                    parts["=" + v[depth] if v[depth] in fixed else CLASSES.get(v[depth], "lower")].append(v)
+                else:
+                    self.ends[q] += 1
+            for x, held in sorted(parts.items()):
+                self.times[q][x] = len(held)
+                self.to[q][x] = self._state(held)
+                grow.append((self.to[q][x], depth + 1, held))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.smooth = smooth
-        kept, edge = [0], [(0, c) for c in sorted(self.to[0])]
+        kept, live = [0], {0}
+        edge = [(0, c) for c in sorted(self.to[0])]
         while edge:
-            edge.sort(key=lambda e: (-self.n[self.to[e[0]][e[1]]], e))
-            q, c = edge.pop(0)
+            q, c = min(edge, key=lambda e: (-self.n[self.to[e[0]][e[1]]], e))
             b = self.to[q][c]
-            if b in kept:
-                continue
             same = next((r for r in kept if self.alike(r, b)), None)
             if same is None:
                 kept.append(b)
-                same = b
+                live.add(b)
             else:
                 self.to[q][c] = same
                 self.fold(same, b)
-            live = set(kept)
             edge = [(r, x) for r in kept for x in self.to[r] if self.to[r][x] not in live]
         at = {q: i for i, q in enumerate(kept)}
-        size = len(ALPHABET) + 1
-        self.start_logs = []
+        self.states = []
         for q in kept:
-            total = self.n[q] + smooth * size
-            self.start_logs.append(({c: (math.log((self.times[q][c] + smooth) / total), at[self.to[q][c]]) for c in self.to[q]}, math.log(smooth / total), math.log((self.ends[q] + smooth) / total)))
-        self.off = -math.log(size)
+            total = self.n[q] + smooth * (len(SIZES) + 1)
+            edges = {x: (math.log((self.times[q][x] + smooth) / total / (1 if x[0] == "=" and len(x) == 2 else SIZES[x])), at[to]) for x, to in self.to[q].items()}
+            likely = max(self.to[q], key=lambda x: (self.times[q][x], x), default=None)
+            self.states.append((edges, math.log(smooth / total / 16), math.log((self.ends[q] + smooth) / total), at[self.to[q][likely]] if likely else at[q]))
         del self.n, self.ends, self.to, self.times
 
+    def _state(self, held: list[str]) -> int:
+        self.n.append(len(held))
+        self.ends.append(0)
+        self.to.append({})
+        self.times.append(defaultdict(int))
+        return len(self.n) - 1
+
     def differ(self, fa: int, na: int, fb: int, nb: int) -> bool:
         return abs(fa / na - fb / nb) > self.bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
 
@@ -121,7 +130,7 @@ class Automaton:
         while stack:
             a, b = stack.pop()
             na, nb = self.n[a], self.n[b]
-            if self.bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb)) >= 1:
+            if not na or not nb or self.bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb)) >= 1:
                 continue  # too few to tell
             if self.differ(self.ends[a], na, self.ends[b], nb):
                 return False
@@ -146,38 +155,62 @@ class Automaton:
                 else:
                     self.to[a][c] = q
 
-    def score(self, symbols: str) -> float:
-        """Mean log-probability of a symbol, the end included."""
-        q, total, logs = 0, 0.0, self.start_logs
-        for i, c in enumerate(symbols):
-            step = logs[q][0].get(c)
+    def score(self, value: str) -> float:
+        """Mean log-probability of a character, the end included. After an unseen one the likeliest state goes on."""
+        q, total, states = 0, 0.0, self.states
+        for c in value:
+            edges, unseen, _, likely = states[q]
+            step = edges.get("=" + c) or edges.get(CLASSES.get(c, "lower"))
             if step is None:
-                return (total + logs[q][1] + self.off * (len(symbols) - i)) / (len(symbols) + 1)
-            total += step[0]
-            q = step[1]
-        return (total + logs[q][2]) / (len(symbols) + 1)
+                total += unseen
+                q = likely
+            else:
+                total += step[0]
+                q = step[1]
+        return (total + states[q][2]) / (len(value) + 1)
+
+
+def _part(values: list[str]) -> tuple[list[str], list[str]]:
+    """Values to train on, and held-out ones: one in HOLD by the order of their hash."""
+    by_hash = sorted(values, key=lambda v: hashlib.md5(v.encode()).digest())
+    held = by_hash[HOLD - 1 :: HOLD]
+    return sorted(set(values).difference(held)), held
 
 
 class Formats:
-    """One automaton for each kind of credential and one for other tokens."""
+    """One automaton for each kind of credential and one for other tokens, with limits from held-out values."""
 
     def __init__(self, labelled: dict[str, list[str]], others: list[str]):
-        self.kinds = {k: Automaton([shape(v) for v in sorted(vs)]) for k, vs in sorted(labelled.items()) if vs}
-        self.others = Automaton([shape(v) for v in sorted(others)] or [""])
+        self.kinds: dict[str, tuple[Automaton, float]] = {}
+        train, held_others = _part(others)
+        self.others = Automaton(train or [""])
+        for k, vs in sorted(labelled.items()):
+            if vs:
+                train, held = _part(vs)
+                made = Automaton(train)
+                scores = sorted(made.score(v) for v in (held or train))
+                self.kinds[k] = (made, scores[int(MISSED * len(scores))] - SLACK)
+        self.margin = MARGIN
         self.seen: dict[str, float] = {}
+        if held_others:
+            gains = sorted(self.gain(v) for v in held_others)
+            self.margin = max(MARGIN, gains[-1 - int(FALSE * len(gains))])
 
     def gain(self, value: str) -> float:
-        """How much better, per character, the best format explains a value than ordinary tokens do; -inf below FLOOR."""
-        s = shape(value)
-        got = self.seen.get(s)
+        """How much better, per character, the best format explains a value than ordinary tokens do; -inf if it is
+        unlikely under every format."""
+        got = self.seen.get(value)
         if got is None:
-            best = max((a.score(s) for a in self.kinds.values()), default=-math.inf)
-            got = best - self.others.score(s) if best >= FLOOR else -math.inf
+            scores = [x for a, least in self.kinds.values() if (x := a.score(value)) >= least]
+            got = max(scores) - self.others.score(value) if scores else -math.inf
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[s] = got
+            self.seen[value] = got
         return got
 
+    def likely(self, value: str) -> bool:
+        return self.gain(value) > self.margin
+
 
 def all_spans(text: str, formats: Formats, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Base spans and, as kind grammar, candidates apart from them whose format is likely."""
@@ -186,13 +219,17 @@ def all_spans(text: str, formats: Formats, base: list[tuple[int, str, int]]) ->
         while k < len(base) and base[k][0] < b:
             reach = max(reach, base[k][2])
             k += 1
-        if reach <= a and formats.gain(text[a:b]) > MARGIN:
+        if reach <= a and formats.likely(text[a:b]):
             out.append((a, "grammar", b))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
 def training_sample(docs: DataFrame, *, text: str = "text", per_kind: int = PER_KIND, others: int = OTHERS) -> Formats:
-    """Read all texts; the values of smallest hash of each kind, and of other long tokens, train the automata here."""
+    """Read all texts; the values of smallest hash of each kind, and of other long tokens, train the automata here.
+
+    The sample is bounded by PER_KIND, OTHERS and LONGEST, whatever the input; null and empty texts give nothing, repeated
+    values count once. Without labelled values, as in an empty table, no candidate is likely.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
 
@@ -202,14 +239,14 @@ def training_sample(docs: DataFrame, *, text: str = "text", per_kind: int = PER_
             for t in batch.column("_t"):
                 t = t.as_py()
                 base = base_spans(t)
-                found.update((k, t[a:b][:200]) for a, k, b in base)
+                found.update((k, t[a:b]) for a, k, b in base if b - a <= LONGEST)
                 k = reach = 0
                 for a, b in candidates(t):
                     while k < len(base) and base[k][0] < b:
                         reach = max(reach, base[k][2])
                         k += 1
-                    if reach <= a:
-                        found.add(("other", t[a:b][:200]))
+                    if reach <= a and b - a <= LONGEST:
+                        found.add(("other", t[a:b]))
             kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
@@ -221,7 +258,8 @@ def training_sample(docs: DataFrame, *, text: str = "text", per_kind: int = PER_
 def scan(docs: DataFrame, formats: Formats, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
     """``keep`` columns, counts per kind, base_sha256 and spans of each text; with ``redact`` also the text without secrets.
 
-    A null text counts as empty. Rows are worked on one by one, whole; there is no shuffle.
+    A null text counts as empty (redacted, it stays null). Rows are worked on one by one, whole and of any length, without
+    a shuffle; repeated rows have equal results, and an empty table gives no rows.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(formats)
