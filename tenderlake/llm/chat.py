@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 from .common import durable, partitions_for, table
@@ -100,8 +101,10 @@ def repair(turns: DataFrame) -> DataFrame:
     The segments of a conversation in order of (turn, role, text) are its rendering. Turns are dealt by ranges, so that
     a conversation of any length lies over many partitions. Each part gives the least costs between all pairs of
     states; those of a conversation, at most one for a partition, are put together into the states in which its parts
-    begin and end; then each part finds its own moves. A null or unknown role must be named; a null text is empty; null
-    conversation ids are one conversation; repeated rows are turns like others and are merged.
+    begin and end; then each part finds its own moves. A null or unknown role must be named; a null text is empty; a null
+    turn comes last; null conversation ids are one conversation; repeated rows are turns like others; ties between moves
+    go to the first of merge or keep by role; an empty table gives no rows. Texts of any length pass whole. Ids and turns
+    may be of any type that orders.
     """
     spark = turns.sparkSession
     ship(spark)
@@ -109,6 +112,7 @@ def repair(turns: DataFrame) -> DataFrame:
     order = ["turn", "role", "text"]
     rows = turns.select("conv_id", "turn", "role", "text")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    arrow = {c: to_arrow_type(rows.schema[c].dataType) for c in rows.columns}
     dealt = durable(rows.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in ["conv_id", *order]]).withColumn("part", F.spark_partition_id()), "turns")
     parts = dealt.repartition(n, "part", "conv_id").sortWithinPartitions("part", "conv_id", *[F.col(c).asc_nulls_last() for c in order])
 
@@ -117,10 +121,10 @@ def repair(turns: DataFrame) -> DataFrame:
             roles = [role_of(r) for (r,) in held]
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "part": part, "costs": [c for s in range(4) for c in costs_from(s, roles)]}], schema)
 
-    schema = pa.schema([("conv_id", _arrow(kinds["conv_id"])), ("part", pa.int32()), ("costs", pa.list_(pa.int64()))])
+    schema = pa.schema([("conv_id", arrow["conv_id"]), ("part", pa.int32()), ("costs", pa.list_(pa.int64()))])
     each = parts.select("part", "conv_id", "role").mapInArrow(costs, f"conv_id {kinds['conv_id']}, part int, costs array<bigint>")
     whole = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "costs"))).alias("parts"))
-    states = pa.schema([("conv_id", _arrow(kinds["conv_id"])), ("part", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+    states = pa.schema([("conv_id", arrow["conv_id"]), ("part", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 
     def bounds(batches):
         for batch in batches:
@@ -140,7 +144,7 @@ def repair(turns: DataFrame) -> DataFrame:
     found = found.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "enter", "leave", "first", "last")
     joined = dealt.join(found, (dealt["part"] == found["_part"]) & dealt["conv_id"].eqNullSafe(found["_conv"])).drop("_conv", "_part")
     joined = joined.repartition(n, "part", "conv_id").sortWithinPartitions("part", "conv_id", *[F.col(c).asc_nulls_last() for c in order])
-    result = pa.schema([("conv_id", _arrow(kinds["conv_id"])), ("turn", _arrow(kinds["turn"])), ("given", pa.string()), ("role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("cost", pa.int64()), ("segment", pa.string())])
+    result = pa.schema([("conv_id", arrow["conv_id"]), ("turn", arrow["turn"]), ("given", pa.string()), ("role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("cost", pa.int64()), ("segment", pa.string())])
 
     def moves(batches):
         for (_, conv), held in _runs(batches, ["part", "conv_id"], ["turn", "role", "text", "enter", "leave", "first", "last"]):
@@ -160,9 +164,5 @@ def repair(turns: DataFrame) -> DataFrame:
     return joined.mapInArrow(moves, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, given string, role string, action string, inserted string, cost long, segment string")
 
 
-def _arrow(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))

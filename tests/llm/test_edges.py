@@ -291,38 +291,6 @@ def test_licences(docs, none):
     assert licences.licences(none).count() == 0
 
 
-def cheapest(roles):
-    """Least cost by trying all moves."""
-    best = {chat.START: 0}
-    for r in roles:
-        after = {}
-        for s, c in best.items():
-            for cost, to, *_ in chat.MOVES[r][s]:
-                after[to] = min(after.get(to, 1 << 30), c + cost)
-        best = after
-    return min(c + chat.INSERT * len(chat.ENDINGS[s]) for s, c in best.items())
-
-
-def legal(rendered):
-    roles = re.findall(r"<\|im_start\|>(\w+)\n", rendered)
-    roles = roles[1:] if roles[:1] == ["system"] else roles
-    return all(r == ("user", "assistant")[i % 2] for i, r in enumerate(roles)) and len(roles) % 2 == 0
-
-
-def test_chat(spark):
-    rnd = random.Random(6)
-    names = ["system", "user", "assistant", "human", "tool", None, "gpt"]
-    convs = {c: [rnd.choice(names) for _ in range(rnd.randint(1, 9))] for c in range(120)} | {999: [rnd.choice(names) for _ in range(700)]}
-    rows = [(c, i, r, f"t{i}" if i % 5 else None) for c, rs in convs.items() for i, r in enumerate(rs)]
-    out = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit(1), "enter": F.lit(2), "cost": F.lit(3)})).collect()
-    assert len(out) == len(rows)
-    for c, rs in convs.items():
-        own = sorted((r for r in out if r.conv_id == c), key=lambda r: r.turn)
-        assert sum(r.cost for r in own) == cheapest([chat.role_of(r) for r in rs])
-        assert legal("".join(r.segment for r in own))
-    assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
 def brute_search(rows, asked, top):
     """BM25 of every document for the terms of every asked id, by the formula."""
     words = [re.findall("[^\\x20\\x09-\\x0D]+", re.sub(r"[!-/:-@\[-`{-~]", " ", t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t in rows]
