@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
 from ..sources import tables as t
+from ..sources.storage import new_folder
 from ..streaming import jobs
 from . import ingest, product
 
-_own: dict[str, str] = {}
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, or in a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="tenderlake-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of two or more files in time order."""
-    path = _folder(spark, "events")
+    path = new_folder(spark, "events")
     t.read(spark, sf_dir, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(path)
     return jobs.read_stream(spark, path, files=100)
 
@@ -37,20 +24,27 @@ def _raw(events: DataFrame) -> DataFrame:
 
 
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = _folder(spark, "landed")
-    jobs.landing_stream(_raw(_events(spark, sf_dir)), target, _folder(spark, "offsets")).awaitTermination()
+    target = new_folder(spark, "landed")
+    jobs.landing_stream(_raw(_events(spark, sf_dir)), target, new_folder(spark, "offsets")).awaitTermination()
     return spark.read.parquet(target).groupBy("source").agg(F.count("*").alias("stored"))
 
 
-def _drained(frame: DataFrame, mode: str) -> DataFrame:
+def _drained(frame: DataFrame) -> DataFrame:
+    """The last state of a stream in complete mode: each batch replaces the table before, and the last one is read."""
     spark = frame.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    root = new_folder(spark, "drained")
+    last: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{n}")
+        last[:] = [n]
+
+    frame.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{root}/{last[0]}") if last else spark.createDataFrame([], frame.schema)
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, offsets = _folder(spark, "versions"), _folder(spark, "offsets")
+    target, offsets = new_folder(spark, "versions"), new_folder(spark, "offsets")
     out = jobs.version_stream(_raw(_events(spark, sf_dir)))
     out.writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select("event_id", "version", "amended")
@@ -59,7 +53,7 @@ def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     usage = e.select(F.col("user_id").alias("org_id"), F.col("event_type").alias("feature"), F.get_json_object("props", "$.k").cast("long").alias("tokens_in"), F.floor("value").cast("long").alias("tokens_out"), F.col("ts").cast("timestamp").alias("at"))
-    return _drained(jobs.usage_stream(usage), "complete")
+    return _drained(jobs.usage_stream(usage))
 
 
 SQL = {
