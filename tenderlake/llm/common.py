@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_folder
+
 #: White space of the word rule: blank and the control characters 9 to 13. Words are runs of anything else.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-_own: dict[str, str] = {}
+def durable(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs no rerun."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    for held in _scratch:
+        held.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tenderlake-")
-        _own[spark.sparkContext.applicationId] = root
-    return root
+_scratch: list[list[str]] = []
 
 
-def durable(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at the end the tables that ``durable`` wrote within. Nothing made within may be read after; what is to stay
+    is written by ``kept``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As ``durable``, but not deleted with the tables of ``scratch``."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import shared_dir, table
+from ..sources.storage import new_folder
+from .common import table
 
 #: Bytes of a record's block before it is continued in another record, and of a chunk of the transfer framing.
 SEGMENT, CHUNK = 16 << 10, 4 << 10
@@ -200,7 +201,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path)
 
