@@ -51,6 +51,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.substring(F.md5(t), 1, 16).alias("_tie"))
+    rows = durable(rows, "sizes")  # words are counted once, not again to sample the ranges
     rows = durable(running(rows, ["source"], ["size", "doc_id", "_tie"], {}, rank="_rank"), "mix")
     targets = source_targets(rows.select("source", "size"), **rules).withColumnRenamed("source", "_source")
     out = rows.join(targets, rows["source"].eqNullSafe(targets["_source"]))
