@@ -8,17 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition is one plain character and marks, and those characters."""
-    pairs = []
-    for c in map(chr, [*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00)]):
+#: Blocks of characters with compatibility forms: Latin, Greek and Cyrillic letters, super- and subscripts, letter-like
+#: signs and numbers, enclosed ones, ligatures, full-width and mathematical forms.
+FOLDED = (*range(0x00A0, 0x0590), *range(0x1E00, 0x2000), *range(0x2070, 0x24FF), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800))
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is one other character, those, and the longer ones."""
+    pairs, longer = [], {}
+    for c in map(chr, FOLDED):
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if len(base) == 1 and base != c:
             pairs.append((c, base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        elif len(base) > 1:
+            longer[c] = base
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), longer
 
 
-ACCENTED, PLAIN = _accents()
+ACCENTED, PLAIN, LIGATURES = _folds()
 #: Boilerplate of buyer names: legal forms and kinds of authority. Fixed values.
 BUYER_PHRASES = (
     "commune de", "commune d", "ville de", "ville d", "departement de", "departement du", "departement d",
@@ -29,8 +36,11 @@ BUYER_PHRASES = (
 
 
 def strip_accents(c: Column) -> Column:
-    """D-01. Letters without their accents; characters that don't decompose (ø, ß, œ) stay."""
-    return F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
+    """D-01. Letters without their accents, ligatures and other compatibility forms as plain letters; characters that
+    don't decompose (ø, ß, œ) stay."""
+    pieces = F.transform(F.split(c, ""), lambda x: F.coalesce(F.create_map(*[F.lit(x) for kv in LIGATURES.items() for x in kv])[x], x))
+    some = F.when(c.rlike("[" + "".join(LIGATURES) + "]"), F.array_join(pieces, "")).otherwise(c)
+    return F.translate(F.regexp_replace(some, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
 
 
 def normalize_text(c: Column) -> Column:
@@ -39,24 +49,36 @@ def normalize_text(c: Column) -> Column:
 
 
 def normalize_buyer(c: Column) -> Column:
-    """D-03. The normal form without boilerplate phrases at its ends; a name that is a phrase is kept."""
+    """D-03. The normal form without boilerplate phrases at its ends; a name that is a phrase is kept.
+
+    Passes over the phrases are made until one changes nothing. Each but the last takes three characters or more, so that
+    a third of the length bounds them.
+    """
     phrases = F.array(*[F.lit(p) for p in BUYER_PHRASES])
 
     def strip_one(name, phrase):
-        lead = F.when(name.startswith(F.concat(phrase, F.lit(" "))), F.substring(name, F.length(phrase) + 2, F.length(name)))
-        tail = F.when(name.endswith(F.concat(F.lit(" "), phrase)), F.substring(name, F.lit(1), F.length(name) - F.length(phrase) - 1))
-        return F.coalesce(lead, tail, name)
+        led = F.when(name.startswith(F.concat(phrase, F.lit(" "))), F.substring(name, F.length(phrase) + 2, F.length(name))).otherwise(name)
+        ended = led.endswith(F.concat(F.lit(" "), phrase))
+        return F.when(name == phrase, name).when(ended, F.substring(led, F.lit(1), F.length(led) - F.length(phrase) - 1)).otherwise(led)
 
-    # Stripping one phrase may bare another: three passes over the list reach the fixed point.
-    return F.aggregate(F.flatten(F.array_repeat(phrases, 3)), normalize_text(c), strip_one)
+    def one_pass(state, _):
+        after = F.aggregate(phrases, state["name"], strip_one)
+        moved = F.transform(F.array(after), lambda x: F.struct(x.alias("name"), (x != state["name"]).alias("more")))
+        return F.when(state["more"], F.get(moved, F.lit(0))).otherwise(state)
+
+    base = F.transform(F.array(normalize_text(c)), lambda t: F.aggregate(F.sequence(F.lit(0), F.floor(F.length(t) / 3).cast("int")), F.struct(t.alias("name"), F.lit(True).alias("more")), one_pass, lambda s: s["name"]))
+    return F.get(base, F.lit(0))
 
 
 def trigrams(c: Column) -> Column:
     """D-04. Distinct three-character pieces of the normal form, padded once with two blanks before and one after."""
-    t = normalize_text(c)
-    padded = F.concat(F.lit("  "), t, F.lit(" "))
-    pieces = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_distinct(pieces))
+    letters = F.filter(F.split(F.concat(F.lit("  "), normalize_text(c), F.lit(" ")), ""), lambda x: x != "")
+
+    def pieces(x):
+        return F.array_distinct(F.transform(F.slice(x, F.lit(1), F.size(x) - 2), lambda v, i: F.concat(v, F.get(x, i + 1), F.get(x, i + 2))))
+
+    # In a lambda the letters are bound once, not computed for every piece.
+    return F.get(F.transform(F.array(letters), lambda x: F.when(F.size(x) == 3, F.array().cast("array<string>")).otherwise(pieces(x))), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,20 +58,35 @@ def page_markers(c: Column) -> Column:
 
 
 def page_windows(pages: DataFrame, most: int = WINDOW_CHARS) -> DataFrame:
-    """P-05. (doc_id, page, window): pages packed in order; a window is begun when the next page doesn't fit."""
+    """P-05. (doc_id, page, window): pages packed in order; a window is begun when the next page doesn't fit.
+
+    Where windows begin depends on all pages before, so a document's page numbers and costs are walked through in order; the
+    state is the window and what is used of it, and the texts stay where they are.
+    """
     if most <= 0:
         raise ValueError("most must be positive")
+    ship(pages.sparkSession)
     cost = F.coalesce(F.length("text"), F.lit(0)) + F.length(F.concat(F.lit("[[page:"), F.col("page").cast("string"), F.lit("]]"))) + 2
-    listed = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", cost.alias("cost")))).alias("p"))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("w"), F.array().cast("array<struct<page:int,w:int>>").alias("o"))
-
-    def step(a, x):
-        fits = (F.size(a["o"]) == 0) | (a["used"] + x["cost"] <= most)
-        w = F.when(fits, a["w"]).otherwise(a["w"] + 1)
-        return F.struct(F.when(fits, a["used"] + x["cost"]).otherwise(x["cost"]).alias("used"), w.alias("w"), F.concat(a["o"], F.array(F.struct(x["page"].alias("page"), w.alias("w")))).alias("o"))
-
-    packed = listed.select("doc_id", F.explode(F.aggregate("p", zero, step, lambda a: a["o"])).alias("x"))
-    return packed.select("doc_id", F.col("x.page").alias("page"), F.col("x.w").alias("window"))
+    sized = pages.select("doc_id", "page", cost.alias("cost"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = sized.repartition(n, "doc_id").sortWithinPartitions("doc_id", "page")
+
+    def pack(frames):
+        last, used, window = object(), 0, 0
+        for frame in frames:
+            out = []
+            for doc, c in zip(frame["doc_id"].tolist(), frame["cost"].tolist(), strict=True):
+                if doc != last:
+                    last, used, window = doc, c, 0
+                elif used + c <= most:
+                    used += c
+                else:
+                    used, window = c, window + 1
+                out.append(window)
+            yield frame[["doc_id", "page"]].assign(window=pd.Series(out, dtype="int32", index=frame.index))
+
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    return sorted_.mapInPandas(pack, f"doc_id {kinds['doc_id']}, page {kinds['page']}, window int")
 
 
 def collapsed(c: Column) -> Column:
@@ -85,6 +102,41 @@ def check_citations(quotes: DataFrame, pages: DataFrame, tolerance: int = 0) ->
     return found.groupBy("quote_id").agg(F.bool_or(hit).alias("valid"))
 
 
+def _word_runs(c: Column, k: int, every: bool) -> Column:
+    """Hashes of the runs of k whole words of a text; unless ``every``, of one: the least."""
+    pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - k + 1), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]))
+    # In a lambda the words are bound once, not split again for every run.
+    runs = F.get(F.transform(F.array(F.split(c, " ")), lambda w: F.when(F.size(w) >= k, pairs(w))), F.lit(0))
+    return F.array_distinct(runs) if every else F.array(F.array_min(runs))
+
+
+def find_quotes(quotes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
+    """P-06 without a page. (quote_id, valid, doc_id): the smallest id of a text that holds the whole quote, but for case
+    and white space.
+
+    A text that holds a quote holds the words between its first and last one. Candidates share one run of ``words`` such
+    words, the one of least hash, in an equi-join; ``contains`` decides. Quotes with fewer words meet texts by their first
+    three letters.
+    """
+    q = quotes.select("quote_id", collapsed(F.col("quote")).alias("_q")).filter("_q <> ''").distinct()
+    inner = F.array_join(F.slice(F.split("_q", " "), 2, F.greatest(F.size(F.split("_q", " ")) - 2, F.lit(0))), " ")
+    q = q.withColumn("_in", inner)
+    long = q.filter(F.size(F.split("_in", " ")) >= words).select("quote_id", "_q", F.explode(_word_runs(F.col("_in"), words, False)).alias("_k"))
+    t = texts.select(F.col("doc_id").alias("_doc"), collapsed(F.col("text")).alias("_t"))
+    keyed = t.select("_doc", F.explode(_word_runs(F.col("_t"), words, True)).alias("_k")).join(long.select("_k").distinct(), "_k", "left_semi")
+    pairs = keyed.join(long, "_k").select("_doc", "quote_id", "_q").distinct()
+    short = q.filter(F.size(F.split("_in", " ")) < words).select("quote_id", "_q")
+    if not short.isEmpty():
+        pieces = lambda c: F.get(F.transform(F.array(F.split(c, "")), lambda x: F.array_distinct(F.transform(x, lambda v, i: F.concat(v, F.coalesce(F.get(x, i + 1), F.lit("")), F.coalesce(F.get(x, i + 2), F.lit("")))))), F.lit(0))
+        first = short.select("quote_id", "_q", F.substring("_q", 1, 3).alias("_k"))
+        near = t.select("_doc", F.explode(pieces(F.col("_t"))).alias("_k"))
+        # A text's last pieces are shorter; a quote of one or two letters is the start of a piece.
+        starts = near.select("_doc", F.explode(F.array_distinct(F.array("_k", F.substring("_k", 1, 2), F.substring("_k", 1, 1)))).alias("_k")).join(first.select("_k").distinct(), "_k", "left_semi").distinct()
+        pairs = pairs.unionByName(starts.join(first, "_k").select("_doc", "quote_id", "_q"))
+    hits = pairs.join(t, "_doc").filter(F.contains("_t", F.col("_q"))).groupBy("quote_id").agg(F.min("_doc").alias("doc_id"))
+    return quotes.select("quote_id").distinct().join(hits, "quote_id", "left").select("quote_id", F.col("doc_id").isNotNull().alias("valid"), "doc_id")
+
+
 def case_metrics(items: DataFrame) -> DataFrame:
     """E-03. Rows (case, metric, matched, total) from items (case, gold, predicted, gold_type, predicted_type)."""
     gold, pred = F.col("gold"), F.col("predicted")
@@ -119,34 +171,52 @@ def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def scored_pairs(predicted: DataFrame, gold: DataFrame, least: float = MATCH_LEAST) -> DataFrame:
-    """(case, p, g, score) of predictions and gold items (case, idx, text) of a case that are alike enough."""
+    """(case, p, g, score) of predictions and gold items (case, idx, text) of a case that are alike enough.
+
+    The ratio is at most twice the shorter over both lengths, and at most twice the characters in common, counted as a
+    multiset, over both lengths. Items of a case meet by bands of length; the two bounds come before the ratio itself.
+    """
     ship(predicted.sparkSession)
-    a = predicted.select("case", F.col("idx").alias("p"), F.col("text").alias("_a"))
-    b = gold.select("case", F.col("idx").alias("g"), F.col("text").alias("_b"))
-    return a.join(b, "case").withColumn("score", text_similarity("_a", "_b")).filter(F.col("score") >= least).select("case", "p", "g", "score")
+    grow = math.log((2 - least) / least)  # lengths of a pair differ by this factor at most
+    size = lambda c: F.length(collapsed(F.coalesce(c, F.lit(""))))
+    band = lambda c: F.floor(F.log(F.greatest(size(c), F.lit(1))) / grow).cast("int")
+    letters = lambda c: F.transform(F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "]), lambda x: F.length(collapsed(F.coalesce(c, F.lit("")))) - F.length(F.replace(collapsed(F.coalesce(c, F.lit(""))), x, F.lit(""))))
+    a = predicted.select("case", F.col("idx").alias("p"), F.col("text").alias("_a"), size(F.col("text")).alias("_m"), letters(F.col("text")).alias("_x"), F.explode(F.array(*[band(F.col("text")) + i for i in (-1, 0, 1)])).alias("_band"))
+    b = gold.select("case", F.col("idx").alias("g"), F.col("text").alias("_b"), size(F.col("text")).alias("_n"), letters(F.col("text")).alias("_y"), band(F.col("text")).alias("_band"))
+    pairs = a.join(b, ["case", "_band"])
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    common = total(F.zip_with("_x", "_y", lambda x, y: F.least(x, y))) + F.least(F.col("_m") - total(F.col("_x")), F.col("_n") - total(F.col("_y")))
+    both = F.col("_m") + F.col("_n")
+    near = (2 * F.least("_m", "_n") >= least * both) & (2 * common >= least * both)
+    return pairs.filter(near).withColumn("score", text_similarity("_a", "_b")).filter(F.col("score") >= least).select("case", "p", "g", "score")
 
 
 def two_pass_union(items: DataFrame, least: float = MATCH_LEAST) -> DataFrame:
-    """E-08. Items (case, idx, text, type) of all passes: one alike an earlier kept item of its case merges into it.
+    """E-08. Items (case, idx, text, type) of all passes: one alike an earlier kept item of its case merges into the first
+    such. A merged eliminatory claim overrides, and the weaker type is kept as disputed_type. Items are numbered anew.
 
-    A merged eliminatory claim overrides, and the weaker type is kept as disputed_type. Items are numbered anew. The
-    result depends on the order of a case's items, which are those of one document and worked on together.
+    Pairs that are alike come from ``scored_pairs``. In rounds an item is settled once all earlier ones like it are: it
+    merges into the first of them that is kept, or is kept itself if none is.
     """
+    from ..sources.storage import checkpointed
 
-    def union(frame: pd.DataFrame) -> pd.DataFrame:
-        norm = lambda x: " ".join((x or "").split()).casefold()
-        kept: list[list] = []
-        for row in frame.sort_values("idx").itertuples():
-            near = next((k for k in kept if SequenceMatcher(None, norm(row.text), norm(k[2])).ratio() >= least), None)
-            if near is None:
-                kept.append([row.case, 0, row.text, row.type, None])
-            elif row.type == "eliminatory" and near[3] != "eliminatory":
-                near[3], near[4] = "eliminatory", near[3]
-        out = pd.DataFrame(kept, columns=["case", "ref", "text", "type", "disputed_type"])
-        out["ref"] = [f"REQ-{i:03d}" for i in range(1, len(out) + 1)]
-        return out
-
-    return items.select("case", "idx", "text", "type").groupBy("case").applyInPandas(union, "case string, ref string, text string, type string, disputed_type string")
+    own = items.select("case", "idx", "text", "type")
+    near = checkpointed(scored_pairs(own, own, least).filter("g < p").select("case", "p", "g"))
+    state = own.select("case", "idx").join(near.select("case", F.col("p").alias("idx")).distinct(), ["case", "idx"], "left_anti").withColumn("head", F.col("idx"))
+    state, waiting = checkpointed(state), near
+    while not waiting.isEmpty():
+        known = waiting.join(state.select("case", F.col("idx").alias("g"), F.col("head").alias("_h")), ["case", "g"], "left")
+        ready = known.groupBy("case", "p").agg(F.count_if(F.col("_h").isNull()).alias("_open"), F.min(F.when(F.col("_h") == F.col("g"), F.col("g"))).alias("_first"))
+        settled = ready.filter("_open = 0").select("case", F.col("p").alias("idx"), F.coalesce("_first", "p").alias("head"))
+        state = checkpointed(state.unionByName(settled))
+        waiting = checkpointed(waiting.join(state.select("case", F.col("idx").alias("p")), ["case", "p"], "left_anti"))
+    rows = own.join(state, ["case", "idx"])
+    first = rows.filter("idx = head").select("case", "idx", "text", "type")
+    claims = rows.filter("idx > head and type = 'eliminatory'").select("case", F.col("head").alias("idx"), F.lit(True).alias("_claimed")).distinct()
+    out = first.join(claims, ["case", "idx"], "left").withColumn("disputed_type", F.when(F.col("_claimed") & (F.col("type") != "eliminatory"), F.col("type")))
+    out = out.withColumn("type", F.when(F.col("disputed_type").isNotNull(), "eliminatory").otherwise(F.col("type")))
+    number = F.row_number().over(Window.partitionBy("case").orderBy("idx"))
+    return out.select("case", F.format_string("REQ-%03d", number).alias("ref"), "text", "type", "disputed_type")
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
@@ -164,35 +234,62 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     return pairs.limit(0) if done is None else done
 
 
-def unescaped(c: Column) -> Column:
-    """N-19. Entities decoded: the named ones of mails by replacement, numeric ones by code point, and once more if an & is left."""
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """HTML entities, numeric, hexadecimal or named, as characters."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _settled(text: pd.Series) -> pd.Series:
+    """Decoded, and once more if an & is left."""
+    return text.map(lambda x: html.unescape(html.unescape(x)), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [x if x is None else html.unescape(x) for x in xs], na_action="ignore")
+
+
+def _shipped() -> None:
+    """Python workers import this module for the functions above."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
 
-    def once(x):
-        for k, v in ENTITIES.items():
-            x = F.replace(x, F.lit(k), F.lit(v))
-        pieces = F.split(F.regexp_replace(x, r"&#(\d{1,7});", "\x00$1\x01"), "\x00")
-        decoded = F.transform(pieces, lambda s, i: F.when((i > 0) & F.contains(s, F.lit("\x01")), F.concat(F.char(F.substring_index(s, "\x01", 1).cast("int")), F.substring_index(s, "\x01", -1))).otherwise(s))
-        return F.when(F.contains(x, F.lit("&#")), F.array_join(decoded, "")).otherwise(x)
 
-    return F.when(F.contains(c, F.lit("&")), once(once(c))).otherwise(c)
+def unescaped(c: Column) -> Column:
+    """N-19. Entities decoded. Spark has no function for the 2,000 names, so texts that hold an & go through Arrow."""
+    _shipped()
+    marked = F.contains(c, F.lit("&"))
+    return F.coalesce(_decoded(F.when(marked, c)), c)
 
 
 def clean_text(c: Column) -> Column:
-    """N-19. Decoded, white space collapsed; blank gives null."""
-    return F.nullif(F.trim(F.regexp_replace(unescaped(c), r"(?U)\s+", " ")), F.lit(""))
+    """N-19. Decoded, once more if an & is left, white space collapsed; blank gives null."""
+    _shipped()
+    settled = F.coalesce(_settled(F.when(F.contains(c, F.lit("&")), c)), c)
+    return F.nullif(F.trim(F.regexp_replace(settled, r"(?U)\s+", " ")), F.lit(""))
 
 
-def clean_url(c: Column) -> Column:
-    """I-03. Decoded, without punctuation at the end; null unless http(s) and at most 2048 characters."""
-    u = F.regexp_replace(F.trim(unescaped(c)), r"""[.,;:!?)»"'>]+$""", "")
+def usable_url(decoded: Column) -> Column:
+    """I-03. A decoded link without punctuation at its end; null unless http(s) and at most 2048 characters."""
+    u = F.regexp_replace(F.regexp_replace(decoded, r"(?U)^\s+|\s+$", ""), r"""[.,;:!?)»"'>]+$""", "")
     return F.when((F.length(u) <= URL_MOST) & F.lower(u).rlike("^https?://"), u)
 
 
+def clean_url(c: Column) -> Column:
+    """I-03. Of a link as it stands in a mail."""
+    return usable_url(unescaped(c))
+
+
 def message_links(messages: DataFrame) -> DataFrame:
     """I-04. (message_id, pos, url) in order of first sight: text before html; within each, hrefs before bare links."""
+    ship(messages.sparkSession)
     parts = [F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(p), F.lit(1)) for b in ("text", "html") for p in (HREF, BARE)]
-    urls = F.array_distinct(F.array_compact(F.transform(F.concat(*parts), clean_url)))
-    return messages.select("message_id", F.posexplode(urls).alias("pos", "url"))
+    rows = messages.select("message_id", F.concat(*parts).alias("_raw"))
+    marked = F.exists("_raw", lambda x: F.contains(x, F.lit("&")))
+    rows = rows.select("message_id", F.coalesce(_all_decoded(F.when(marked, F.col("_raw"))), "_raw").alias("_raw"))
+    return rows.select("message_id", F.posexplode(F.array_distinct(F.array_compact(F.transform("_raw", usable_url)))).alias("pos", "url"))
 
 
 def link_labels(messages: DataFrame) -> DataFrame:
@@ -240,6 +337,14 @@ def capped(links: DataFrame, most: int = LINKS_MOST) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(w)).withColumn("kept", ~F.col("boilerplate") & (F.col("k") <= most)).drop("k")
 
 
+def linked_notices(links: DataFrame, notices: DataFrame) -> DataFrame:
+    """I-10. Links with notice_id: the smallest id of a stored notice one of whose source_refs the link names, or null."""
+    refs = notices.select("id", F.explode("source_refs").alias("_r")).groupBy(F.col("_r.source").alias("_source"), F.col("_r.external_id").alias("_external")).agg(F.min("id").alias("notice_id"))
+    rows = links.withColumn("_known", recognised(F.col("url")))
+    found = rows.join(refs, (F.col("_known.source") == F.col("_source")) & (F.col("_known.external_id") == F.col("_external")), "left")
+    return found.drop("_known", "_source", "_external")
+
+
 def titles(links: DataFrame, labels: DataFrame, messages: DataFrame) -> DataFrame:
     """I-08. The link's label, else the subject (numbered if there are several), else the host."""
     w = Window.partitionBy("message_id")

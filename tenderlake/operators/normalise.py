@@ -75,14 +75,19 @@ def lang2(c: Column) -> Column:
     return F.when(F.length(low) == 2, low).otherwise(map_column(LANGUAGES)[low])
 
 
-def pick_lang(c: Column, prefer: Column) -> Column:
+def by_language(c: Column) -> Column:
+    """A map by language, if the text is one. Computed as a column of its own, it is parsed once for all lookups."""
+    return F.from_json(F.when(c.startswith("{"), c), "map<string,string>")
+
+
+def pick_lang(c: Column, prefer: Column, by_lang: Column | None = None) -> Column:
     """N-05. Text of a string, list or map by language: the preferred one by either code, then the fixed order, then any."""
     text = lambda x: F.when(x.startswith("["), F.get(F.filter(F.transform(F.from_json(x, STRINGS), lambda y: F.trim(y)), lambda y: F.coalesce(y != "", F.lit(False))), F.lit(0))).otherwise(blank(x))
-    by_lang = F.from_json(c, "map<string,string>")
+    m = by_language(c) if by_lang is None else by_lang
     wide = F.map_keys(F.map_filter(map_column(LANGUAGES), lambda _, v: v == prefer))
-    order = F.concat(F.array_compact(F.array(prefer)), F.coalesce(wide, F.array().cast(STRINGS)), F.array(*[F.lit(k) for k in LANGUAGE_ORDER]), F.map_keys(by_lang))
-    found = F.filter(F.transform(order, lambda k: text(by_lang[k])), lambda x: x.isNotNull())
-    return F.when(c.startswith("{"), F.get(found, F.lit(0))).otherwise(text(c))
+    keys = [prefer, F.get(wide, F.lit(0)), F.get(wide, F.lit(1)), *map(F.lit, LANGUAGE_ORDER)]
+    others = F.get(F.filter(F.transform(F.map_values(m), text), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(m.isNotNull(), F.coalesce(*[text(m[k]) for k in keys], others)).otherwise(text(c))
 
 
 def amount(c: Column) -> Column:
@@ -93,11 +98,15 @@ def amount(c: Column) -> Column:
 def ted(raw: DataFrame, *, default_country: str | None = None) -> DataFrame:
     """N-01. Canonical notices of TED payloads: rows of source, external_id, url, fetched_at, payload."""
     p = F.col("payload")
-    f = lambda k: field(p, k)
-    keys = lambda k: F.map_keys(F.from_json(F.when(f(k).startswith("{"), f(k)), "map<string,string>"))
+    f = lambda k: F.col("_fields")[k]
+    keys = lambda k: F.map_keys(F.col(f"_by {k}"))
     only = lambda k: F.when(F.size(keys(k)) == 1, lang2(F.get(keys(k), F.lit(0))))
-    rows = raw.withColumn("language", F.coalesce(lang2(first(f("official-language"))), only("title-lot"), only("description-lot")))
-    rows = rows.withColumns({"_places": strings(f("place-of-performance")), "_lot": pick_lang(f("title-lot"), F.col("language")), "_title": pick_lang(f("notice-title"), F.col("language"))})
+    picked = lambda k: pick_lang(f(k), F.col("language"), F.col(f"_by {k}"))
+    # The payload is parsed once, and so is each field that may be a map by language.
+    rows = raw.withColumn("_fields", F.from_json(p, "map<string,string>"))
+    rows = rows.withColumns({f"_by {k}": by_language(f(k)) for k in ("title-lot", "notice-title", "buyer-name", "organisation-name-buyer", "description-lot", "description-proc")})
+    rows = rows.withColumn("language", F.coalesce(lang2(first(f("official-language"))), only("title-lot"), only("description-lot")))
+    rows = rows.withColumns({"_places": strings(f("place-of-performance")), "_lot": picked("title-lot"), "_title": picked("notice-title")})
     three = F.filter("_places", lambda x: x.rlike("^[A-Za-z]{3}$"))
     prefix = F.filter("_places", lambda x: x.rlike("^[A-Za-z]{2}"))
     # The first three-letter place decides, known or not.
@@ -110,19 +119,19 @@ def ted(raw: DataFrame, *, default_country: str | None = None) -> DataFrame:
     ids = F.array_distinct(F.filter(F.from_json(f("identifier-lot"), STRINGS), lambda x: x.isNotNull()))
     values, currencies = F.from_json(f("estimated-value-lot"), STRINGS), F.from_json(f("estimated-value-cur-lot"), STRINGS)
     lots = F.transform(F.coalesce(ids, F.array().cast(STRINGS)), lambda x, i: F.struct(x.alias("lot_id"), F.col("_lot").alias("title"), F.get(values, i).try_cast("double").alias("amount_est"), F.get(currencies, i).alias("currency")))
-    xml = F.map_values(F.from_json(F.get_json_object(p, "$.links.xml"), "map<string,string>"))
+    xml = F.map_values(F.from_json(F.get_json_object(f("links"), "$.xml"), "map<string,string>"))
     known = F.array(*[F.lit(k) for k in TED_FIELDS])
     return rows.select(
         "source", "external_id", F.coalesce(map_column(TED_FORMS)[F.lower(first(f("form-type")))], by_prefix).alias("notice_type"),
         F.coalesce(country2(first(f("buyer-country"))), country2(first(f("organisation-country-buyer"))), placed, F.lit(default_country)).alias("country"), "language",
-        F.coalesce(pick_lang(f("buyer-name"), F.col("language")), pick_lang(f("organisation-name-buyer"), F.col("language"))).alias("buyer_name"), title.alias("title"),
-        F.coalesce(pick_lang(f("description-lot"), F.col("language")), pick_lang(f("description-proc"), F.col("language"))).alias("description"),
+        F.coalesce(picked("buyer-name"), picked("organisation-name-buyer")).alias("buyer_name"), title.alias("title"),
+        F.coalesce(picked("description-lot"), picked("description-proc")).alias("description"),
         strings(f("classification-cpv")).alias("cpv"), F.filter("_places", lambda x: ~x.rlike("^[A-Za-z]{3}$")).alias("nuts"),
         map_column(TED_PROCEDURES)[first(f("procedure-type"))].alias("procedure_type"), F.filter(strings(f("contract-nature")), lambda x: x.isin("works", "supplies", "services")).alias("contract_nature"),
         lots.alias("lots"), amount(f("estimated-value-lot")).alias("amount"), first(f("estimated-value-cur-lot")).alias("currency"), offset_date(first(f("publication-date"))).alias("published_at"),
         F.coalesce(split_deadline(first(f("deadline-receipt-tender-date-lot")), first(f("deadline-receipt-tender-time-lot"))), offset_date(first(f("deadline-receipt-request")))).alias("deadline_at"),
         F.col("url").alias("notice_url"), F.get(xml, F.lit(0)).alias("documents_url"), F.coalesce(first(f("notice-version")).try_cast("int"), F.lit(1)).alias("version"),
-        content_hash(p).alias("content_hash"), F.array_sort(F.array_except(F.json_object_keys(p), known)).alias("unmapped_fields"), F.lit("ted@1.1.0").alias("adapter"),
+        content_hash(p).alias("content_hash"), F.array_sort(F.array_except(F.map_keys("_fields"), known)).alias("unmapped_fields"), F.lit("ted@1.1.0").alias("adapter"),
     )
 
 
@@ -194,10 +203,10 @@ def department_nuts(c: Column) -> Column:
 def boamp(raw: DataFrame) -> DataFrame:
     """N-02. Canonical notices of BOAMP payloads; the embedded eForms text may be missing or broken."""
     p = F.col("payload")
-    f = lambda k: field(p, k)
+    f = lambda k: F.col("_fields")[k]
     deep = eforms(sweep(raw, "donnees"))
     # Where embedded data is missing or holds none of the nodes, flat fields stand alone.
-    rows = raw.join(deep, "external_id", "left")
+    rows = raw.join(deep, "external_id", "left").withColumn("_fields", F.from_json(p, "map<string,string>"))
     labels = [F.lower(F.trim(f(k))) for k in ("nature_libelle", "nature_categorise_libelle", "sousnature_libelle")]
     holder = f("titulaire")
     named = F.coalesce(holder != "", F.lit(False)) & F.coalesce(~holder.isin("[]", "null"), F.lit(False))
@@ -224,7 +233,7 @@ def boamp(raw: DataFrame) -> DataFrame:
         plain_instant(f("dateparution")).alias("published_at"), plain_instant(f("datelimitereponse")).alias("deadline_at"), F.lit("Europe/Paris").alias("tz"),
         F.when(f("url_avis").isNotNull(), F.array(F.struct(F.lit("other").alias("kind"), F.lit("Avis BOAMP").alias("title"), f("url_avis").alias("url")))).otherwise(F.array().cast("array<struct<kind:string,title:string,url:string>>")).alias("documents"),
         F.when((kind == "result") & named, F.struct(clean_text(supplier).alias("supplier_name"), F.when(F.length(siret) >= 9, F.substring(siret, 1, 9)).alias("supplier_siren"))).alias("award"),
-        url.alias("notice_url"), content_hash(p).alias("content_hash"), F.array_sort(F.array_except(F.json_object_keys(p), known)).alias("unmapped_fields"), F.lit("boamp@1.0.0").alias("adapter"),
+        url.alias("notice_url"), content_hash(p).alias("content_hash"), F.array_sort(F.array_except(F.map_keys("_fields"), known)).alias("unmapped_fields"), F.lit("boamp@1.0.0").alias("adapter"),
     )
 
 
@@ -272,13 +281,76 @@ def company(results: DataFrame) -> DataFrame:
     )
 
 
+#: Keywords of the schema subset; any other is refused when the rules are made, so that none is passed over in silence.
+KEYWORDS = {"type", "required", "properties", "items", "enum", "additionalProperties", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "pattern", "nullable", "description", "title", "$schema"}
+_VARIANT_TYPES = {"string": "STRING", "object": "OBJECT", "array": "ARRAY", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL", "integer": "BIGINT"}
+
+
+def schema_rules(schema: dict, v: Column, path: str = "$") -> list[tuple[str, Column, Column]]:
+    """Rules (name, where it applies, what must hold there) of a JSON schema subset over a variant column.
+
+    Objects and scalars are checked to any depth that the schema states; of arrays, their size and each item's type, enum,
+    bounds, lengths and pattern. A nullable null meets all rules of its place.
+    """
+    if unknown := set(schema) - KEYWORDS:
+        raise ValueError(f"keywords at {path} that aren't supported: {sorted(unknown)}")
+    kind = F.schema_of_variant(v)
+    present = v.isNotNull() & ~(F.is_variant_null(v) if schema.get("nullable") else F.lit(False))
+    out: list[tuple[str, Column, Column]] = []
+    if expected := schema.get("type"):
+        out.append((f"{path} type", present, kind.rlike(f"^({_VARIANT_TYPES[expected]})")))
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    is_number, is_text = present & kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), present & (kind == "STRING")
+    if "enum" in schema:
+        allowed = [x if isinstance(x, str) else json.dumps(x) for x in schema["enum"]]
+        out.append((f"{path} enum", present, F.coalesce(text.isin(allowed), F.lit(False))))
+    for key, where, test in (
+        ("minimum", is_number, lambda x: number >= x), ("maximum", is_number, lambda x: number <= x), ("minLength", is_text, lambda x: F.length(text) >= x),
+        ("maxLength", is_text, lambda x: F.length(text) <= x), ("pattern", is_text, lambda x: text.rlike(x)),
+    ):
+        if key in schema:
+            out.append((f"{path} {key}", where, test(schema[key])))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    is_array = present & kind.startswith("ARRAY")
+    for key, test in (("minItems", lambda x: F.size(items) >= x), ("maxItems", lambda x: F.size(items) <= x)):
+        if key in schema:
+            out.append((f"{path} {key}", is_array, test(schema[key])))
+    if "items" in schema:
+        met = lambda x: F.forall(F.array(*[~where | F.coalesce(ok, F.lit(False)) for _, where, ok in schema_rules(schema["items"], x, f"{path}[]")] or [F.lit(True)]), lambda b: b)
+        out.append((f"{path} items", is_array, F.forall(items, met)))
+    is_object = present & kind.startswith("OBJECT")
+    fields = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    for name in schema.get("required", []):
+        out.append((f"{path}.{name} required", is_object, F.array_contains(fields, name)))
+    properties = schema.get("properties", {})
+    if schema.get("additionalProperties") is False:
+        out.append((f"{path} additionalProperties", is_object, F.size(F.array_except(fields, F.array(*map(F.lit, properties)).cast(STRINGS))) == 0))
+    for name, below in properties.items():
+        out += schema_rules(below, F.try_variant_get(v, f"$['{name}']", "variant"), f"{path}.{name}")
+    return out
+
+
+def _unfenced(raw: str) -> Column:
+    return F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+
+
+def against_schema(answers: DataFrame, schema: dict, raw: str = "raw") -> DataFrame:
+    """E-09. ``violations`` of structured answers against a JSON schema subset: one code fence is stripped, nothing is
+    repaired. An answer that isn't JSON, or whose top level isn't an object, has that one violation."""
+    out = answers.withColumn("_v", F.try_parse_json(_unfenced(raw)))
+    top = F.schema_of_variant("_v").startswith("OBJECT")
+    rules = schema_rules(schema, F.col("_v"))
+    found = [F.when(where & ~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, where, ok in rules]
+    broken = F.when(F.col("_v").isNull(), F.array(F.lit("not json"))).when(~top, F.array(F.lit("not an object")))
+    return out.withColumn("violations", F.coalesce(broken, F.array_compact(F.array(*found)))).drop("_v")
+
+
 def validated(answers: DataFrame, schema: str, rules: dict[str, Column], raw: str = "raw") -> DataFrame:
     """E-09. ``parsed`` and ``violations`` of structured answers: one code fence is stripped, nothing is repaired.
 
     ``rules``: name -> condition over ``parsed`` that a valid answer meets.
     """
-    body = F.regexp_replace(F.trim(raw), r"(?s)^```[a-zA-Z]*\n(.*?)\n?```$", "$1")
-    out = answers.withColumn("_v", F.try_parse_json(body)).withColumn("parsed", F.from_json(F.to_json("_v"), schema))
+    out = answers.withColumn("_v", F.try_parse_json(_unfenced(raw))).withColumn("parsed", F.from_json(F.to_json("_v"), schema))
     unread = F.col("_v").isNull()
     checks = [F.when(unread, "not json")] + [F.when(~unread & ~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in rules.items()]
     return out.withColumn("violations", F.array_compact(F.array(*checks))).drop("_v")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, normalize_text, trigrams
+from ..functions.text import cosine, jaccard, normalize_text, trigrams
+from ..sources.storage import written
 
 #: Weights of title, buyer and description.
 FIELD_WEIGHTS = {"title": 1.0, "buyer_name": 0.4, "description": 0.2}
@@ -35,20 +38,59 @@ def fulltext(index: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
     return top(hits.groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * F.log(1 + F.lit(float(n)) / F.col("df"))), 6).alias("score")), k)
 
 
+def _ranked(rows: DataFrame, grams: str = "g") -> DataFrame:
+    """(id, n, k, place): a row per trigram of each title, the rarest over all titles first; ties by the trigram."""
+    pieces = rows.select("id", F.size(grams).alias("n"), F.explode(grams).alias("k"))
+    counts = pieces.groupBy("k").agg(F.count("*").alias("_c"))
+    listed = pieces.join(counts, "k").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("_c", "k"))).alias("_l"))
+    return listed.select("id", "n", F.posexplode(F.transform("_l", lambda x: x["k"])).alias("place", "k"))
+
+
+def alike_titles(titles: DataFrame, least: float) -> DataFrame:
+    """D-05. (a, b, similarity) of the pairs a < b of (id, title) whose trigram similarity is ``least`` or more.
+
+    Prefix filter: of titles in which trigrams stand by rarity, two that are alike share one among their first n -
+    ceil(least * n) + 1. Candidates meet by these and by size; the whole sets decide.
+    """
+    t = written(titles.select("id", trigrams(F.col("title")).alias("g")).filter(F.size("g") > 0), "grams")
+    prefix = _ranked(t).filter(F.col("place") < F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1).select("id", "n", "k")
+    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "k").join(prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "k"), "k")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))).select("a", "b").distinct()
+    held = pairs.join(t.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(t.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    return held.withColumn("s", jaccard(F.col("ga"), F.col("gb"))).filter(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("similarity"))
+
+
 def trigram_search(rows: DataFrame, queries: DataFrame, k: int, least: float = 0.3) -> DataFrame:
     """X-02. Top k titles by trigram similarity, from shared pieces counted over an equi-join."""
     t = rows.select("id", trigrams(F.col("title")).alias("g"))
     q = queries.select("query", trigrams(F.col("text")).alias("qg"))
-    shared = t.select("id", F.size("g").alias("n"), F.explode("g").alias("p")).join(q.select("query", F.size("qg").alias("qn"), F.explode("qg").alias("p")), "p")
+    near = (F.col("n") >= F.lit(least) * F.col("qn")) & (F.col("qn") >= F.lit(least) * F.col("n"))
+    shared = t.select("id", F.size("g").alias("n"), F.explode("g").alias("p")).join(q.select("query", F.size("qg").alias("qn"), F.explode("qg").alias("p")), "p").filter(near)
     s = shared.groupBy("query", "id", "n", "qn").agg(F.count("*").alias("o"))
     s = s.select("query", "id", F.round(F.col("o") / (F.col("n") + F.col("qn") - F.col("o")), 6).alias("score")).filter(F.col("score") >= least)
     return top(s, k)
 
 
+#: Blocks that a query set is dealt to: each meets all vectors, and no vector more than this many rows.
+VECTOR_BLOCKS, BLOCK_QUERIES = 64, 4096
+
+
+def scored_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, score): the cosine of every stated query with every vector.
+
+    Queries are dealt to blocks of about BLOCK_QUERIES, gathered into one row each, and joined with the vectors by the
+    block's number. Up to VECTOR_BLOCKS blocks, which bounds their bytes, they are broadcast.
+    """
+    n = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query", "vector")).alias("_q"))
+    rows = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    pairs = rows.join(F.broadcast(blocks) if n <= VECTOR_BLOCKS else blocks, "_b").select("id", "embedding", F.explode("_q").alias("_x"))
+    return pairs.select("_x.query", "id", F.round(cosine(F.col("embedding"), F.col("_x.vector")), 5).alias("score"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """X-03. Exact nearest neighbours by cosine; a stated query set, broadcast in place of the vectors."""
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    return top(pairs.select("query", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 5).alias("score")), k)
+    """X-03. Exact nearest neighbours by cosine of a stated query set (query, vector)."""
+    return top(scored_vectors(vectors, queries), k)
 
 
 def live(notices: DataFrame, now: Column) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import dedupe, landing, tenancy
+from ..operators import dedupe, landing, search, tenancy
 from ..sources import tables as t
+from ..sources.storage import written
 from ..sources.dims import DEPARTMENTS, NAF_CPV, departments, naf_cpv
 
 
@@ -80,38 +81,43 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
 
 
+BUYER_HEADS = ("Commune de", "Ville d'", "Métropole", "SA SA SA SA SA", "Mairie de", "CHU", "\ufb01nance", "SARL CH Région")
+
+
 def buyer_name_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.read(spark, sf_dir, "documents")
-    head = F.array(*[F.lit(x) for x in ("Commune de", "Ville d'", "Métropole", "SA", "Mairie de", "CHU")])
-    name = F.concat_ws(" ", F.element_at(head, (F.col("doc_id") % 6 + 1).cast("int")), F.substring("text", 1, 20))
+    head = F.array(*[F.lit(x) for x in BUYER_HEADS])
+    name = F.concat_ws(" ", F.element_at(head, (F.col("doc_id") % len(BUYER_HEADS) + 1).cast("int")), "text", F.when(F.col("doc_id") % 5 == 0, "SAS CHU"))
     return d.select("doc_id", text.normalize_buyer(name).alias("core"))
 
 
 def title_trigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = t.publications(spark, sf_dir).select("id", "block", text.trigrams(F.col("title")).alias("g"))
-    pairs = p.alias("x").join(p.alias("y"), "block").filter("x.id < y.id")
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(text.jaccard(F.col("x.g"), F.col("y.g")), 6).alias("similarity")).filter(f"similarity >= {dedupe.TITLE_LEAST}")
+    """Pairs of alike titles: first lines of the documents, each different one once, by their smallest id."""
+    titles = t.publications(spark, sf_dir).groupBy("title").agg(F.min("id").alias("id"))
+    return search.alike_titles(titles, dedupe.TITLE_LEAST)
 
 
 def embedding_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = t.read(spark, sf_dir, "embeddings")
-    pairs = v.alias("x").join(v.alias("y"), F.col("x.label") == F.col("y.label")).filter("x.vec_id < y.vec_id")
-    return pairs.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(text.cosine(F.col("x.embedding"), F.col("y.embedding")), 5).alias("cosine")).filter("cosine >= 0.35")
+    """Of each vector whose id is divisible by 50 all others that are near it: a stated query set against all rows."""
+    v = t.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+    near = search.scored_vectors(v, asked).filter("query <> id and score >= 0.35")
+    return near.select(F.col("query").alias("a"), F.col("id").alias("b"), F.col("score").alias("cosine"))
 
 
 def _publication_notices(spark, sf_dir):
     d = t.read(spark, sf_dir, "documents")
     first = F.substring_index("text", "\n", 1)
     return d.select(
-        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "result").otherwise("competition").alias("notice_type"), F.col("lang").alias("country"), F.substring("text", 1, 120).alias("title"), F.lit(None).cast("string").alias("description"),
-        F.substring(first, 1, 40).alias("buyer_name"), F.lit(None).cast("string").alias("buyer_siren"), F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("n_chars") % 48) * 1800).alias("deadline_at"),
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "result").otherwise("competition").alias("notice_type"), F.col("lang").alias("country"), first.alias("title"), F.col("text").alias("description"),
+        F.concat_ws(" ", F.slice(F.split(first, " "), 1, 4)).alias("buyer_name"), F.lit(None).cast("string").alias("buyer_siren"), F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("n_chars") % 48) * 1800).alias("deadline_at"),
         F.array(F.struct(F.col("source").alias("source"), F.concat(F.lit("N"), (F.col("doc_id") % 300).cast("string")).alias("external_id"))).alias("source_refs"), F.lit(None).cast("array<float>").alias("embedding"),
         F.array(F.col("lang")).alias("cpv"), F.array(F.upper("lang")).alias("nuts"), "source", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("published_at"), F.lit(None).cast("string").alias("procedure_type"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("double")).alias("amount"),
     )
 
 
 def _matched(spark, sf_dir):
-    p = dedupe.prepared(_publication_notices(spark, sf_dir))
+    p = written(dedupe.prepared(_publication_notices(spark, sf_dir)), "prepared")
     return dedupe.verdicts(p, dedupe.candidate_pairs(p, vectors=False))
 
 
@@ -170,14 +176,15 @@ h AS (SELECT *, CASE WHEN NOT enabled THEN 'disabled' WHEN schedule IS NULL THEN
 g AS (SELECT *, CASE WHEN reason IN ('never ran', 'over budget') THEN 'silent' WHEN reason = 'volume drop' THEN 'degraded' ELSE 'green' END AS verdict FROM h),
 f AS (SELECT *, verdict = 'silent' AND tier IN ('official_api', 'platform') AS should_page FROM g)"""
 NORMAL = r"trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
-GRAMS = f"CASE WHEN {NORMAL.format('title')} = '' THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, length({NORMAL.format('title')}) + 2), lambda i: substr('  ' || {NORMAL.format('title')} || ' ', i, 3))) END"
-PUBS = f"""pub AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'result' ELSE 'competition' END AS notice_type, substr(text, 1, 120) AS title, lang, source, n_chars, substr(string_split(text, chr(10))[1], 1, 40) AS buyer_name,
+GRAMS = f"list_transform([{NORMAL.format('title')}], lambda x: CASE WHEN x = '' THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))) END)[1]"
+FIRST_WORDS = "array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:4], ' ')"
+PUBS = f"""pub AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'result' ELSE 'competition' END AS notice_type, string_split(text, chr(10))[1] AS title, lang, source, n_chars, {FIRST_WORDS} AS buyer_name,
   1704067200 + (n_chars % 48) * 1800 AS dl, source || ':N' || (doc_id % 300) AS pub, list_sort([source]) AS src FROM documents),
-pg AS (SELECT *, {GRAMS} AS g, {NORMAL.format('buyer_name')} AS buyer FROM pub),
-cand AS (SELECT a.id AS a, b.id AS b, a.pub = b.pub AS same, a.buyer = b.buyer AND a.buyer <> '' AND abs(a.dl - b.dl) <= 3600 AS near, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS na, len(b.g) AS nb
+pg AS (SELECT *, {GRAMS} AS g, {NORMAL.format('buyer_name')} AS buyer, min(id) OVER (PARTITION BY pub, notice_type) AS head FROM pub),
+cand AS (SELECT a.id AS a, b.id AS b, a.pub = b.pub AS same, a.head = a.id AND b.head = a.id AS star, a.buyer = b.buyer AND a.buyer <> '' AND abs(a.dl - b.dl) <= 3600 AS near, len(list_intersect(a.g, b.g)) AS o, len(a.g) AS na, len(b.g) AS nb
   FROM pg a JOIN pg b ON a.id < b.id AND a.notice_type = b.notice_type AND (a.pub = b.pub OR a.buyer = b.buyer)),
 ver AS (SELECT a, b, CASE WHEN same THEN 'same_publication' ELSE 'buyer_deadline_title' END AS reason, CASE WHEN same THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.4::DOUBLE * (o::DOUBLE / (na + nb - o)::DOUBLE - 0.6::DOUBLE) / 0.4::DOUBLE), 3) END AS confidence
-  FROM cand WHERE same OR (near AND o::DOUBLE / (na + nb - o)::DOUBLE >= 0.6))"""
+  FROM cand WHERE star OR (same AND near) OR (near AND o::DOUBLE / (na + nb - o)::DOUBLE >= 0.6))"""
 CLUSTERS = f"WITH RECURSIVE {PUBS}, e AS (SELECT a, b FROM ver UNION ALL SELECT b, a FROM ver), r AS (SELECT id, id AS c FROM pub UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS cluster_id FROM r GROUP BY id)"
 
 SQL = {
@@ -195,9 +202,9 @@ SQL = {
     "health_summary": HEALTH + " SELECT count(*) FILTER (verdict = 'green') AS green, count(*) FILTER (verdict = 'degraded') AS degraded, count(*) FILTER (verdict = 'silent') AS silent, coalesce(list_sort(list(source) FILTER (should_page)), CAST([] AS VARCHAR[])) AS paging FROM f",
     "coverage_status": HEALTH + " SELECT source, CAST(CASE tier WHEN 'official_api' THEN 1 WHEN 'platform' THEN 2 WHEN 'signals' THEN 4 ELSE 3 END AS INTEGER) AS tier_rank, round(silent_hours, 1) AS hours, round(silent_hours, 1) <= budget AS within_budget, enabled FROM f",
     "text_normalize": f"SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents",
-    "buyer_name_core": "WITH n AS (SELECT doc_id, " + NORMAL.format("(['Commune de', 'Ville d' || chr(39), 'Métropole', 'SA', 'Mairie de', 'CHU'][doc_id % 6 + 1] || ' ' || substr(text, 1, 20))") + " AS base FROM documents) SELECT doc_id, list_reduce([" + ", ".join(f"'{x}'" for x in text.BUYER_PHRASES * 3) + "], lambda a, p: CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) WHEN ends_with(a, ' ' || p) THEN substr(a, 1, length(a) - length(p) - 1) ELSE a END, base) AS core FROM n",
-    "title_trigram_pairs": f"WITH p AS (SELECT doc_id AS id, lower(substr(text, 1, 40)) AS block, substr(text, 1, 120) AS title FROM documents), g AS (SELECT id, block, {GRAMS} AS g FROM p), s AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.block = b.block AND a.id < b.id WHERE len(a.g) > 0 AND len(b.g) > 0) SELECT * FROM s WHERE similarity >= 0.6",
-    "embedding_cosine_pairs": "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM s WHERE cosine >= 0.35",
+    "buyer_name_core": "WITH n AS (SELECT doc_id, " + NORMAL.format("([" + ", ".join("'" + h.replace("'", "''").replace("\ufb01", "fi") + "'" for h in BUYER_HEADS) + f"][doc_id % {len(BUYER_HEADS)} + 1] || ' ' || text || CASE WHEN doc_id % 5 = 0 THEN ' SAS CHU' ELSE '' END)") + " AS base FROM documents), one AS (SELECT doc_id, list_prepend(base, flatten(list_transform(range(0, 12), lambda i: [" + ", ".join(f"'{x}'" for x in text.BUYER_PHRASES) + "]))) AS l FROM n), lead AS (SELECT doc_id, list_reduce(l, lambda a, p: CASE WHEN a = p THEN a ELSE CASE WHEN ends_with(CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) ELSE a END, ' ' || p) THEN substr(CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) ELSE a END, 1, length(CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) ELSE a END) - length(p) - 1) ELSE CASE WHEN starts_with(a, p || ' ') THEN substr(a, length(p) + 2) ELSE a END END END) AS core FROM one) SELECT * FROM lead",
+    "title_trigram_pairs": f"WITH p AS (SELECT string_split(text, chr(10))[1] AS title, min(doc_id) AS id FROM documents GROUP BY 1), g AS (SELECT id, {GRAMS} AS g FROM p), e AS (SELECT id, len(g) AS n, unnest(g) AS k FROM g), s AS (SELECT a.id AS a, b.id AS b, count(*) AS o, a.n AS na, b.n AS nb FROM e a JOIN e b ON a.k = b.k AND a.id < b.id AND a.n * 0.6 <= b.n AND b.n * 0.6 <= a.n GROUP BY ALL) SELECT a, b, round(o::DOUBLE / (na + nb - o)::DOUBLE, 6) AS similarity FROM s WHERE o::DOUBLE / (na + nb - o)::DOUBLE >= 0.6",
+    "embedding_cosine_pairs": "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT * FROM s WHERE cosine >= 0.35",
     "pair_verdicts": f"WITH {PUBS} SELECT a, b, reason, confidence FROM ver",
     "cluster_members": CLUSTERS + " SELECT id, cluster_id FROM m",
     "source_badges": CLUSTERS + " SELECT cluster_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS badges, count(*) AS publications FROM m JOIN pub USING (id) GROUP BY cluster_id HAVING count(DISTINCT source) > 1",

@@ -27,8 +27,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_filter_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = filters.fan_out(t.notices(spark, sf_dir), t.profiles(spark, sf_dir))
-    return filters.hard_filter(pairs, t.now_o()).groupBy("profile_id", "outcome").agg(F.count("*").alias("n"))
+    return filters.outcome_counts(t.notices(spark, sf_dir), t.profiles(spark, sf_dir), t.now_o())
 
 
 def rejection_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

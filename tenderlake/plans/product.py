@@ -133,10 +133,16 @@ def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.page_windows(t.pages(spark, sf_dir), 2000)
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("doc_id"), (F.floor(F.col("doc_id") / 40) + 1).cast("int").alias("page"), "text")
-    quotes = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), (F.col("item_id") % 40).alias("doc_id"), F.lit(3).alias("page"), F.substring("text", 1, 80).alias("quote"))
-    return d.check_citations(quotes, docs, tolerance=20)
+    """Whole quotes, and their starts, searched in the whole texts of all documents."""
+    docs = t.read(spark, sf_dir, "documents").select("doc_id", "text")
+    b = t.read(spark, sf_dir, "benchmark")
+    start = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    quotes = b.select(F.concat(F.lit("whole "), F.col("item_id").cast("string")).alias("quote_id"), F.translate("text", LOWER, LOWER.upper()).alias("quote")).unionByName(b.select(F.concat(F.lit("start "), F.col("item_id").cast("string")).alias("quote_id"), start.alias("quote")))
+    return d.find_quotes(quotes, docs)
 
 
 def _eval_items(spark, sf_dir):
@@ -153,28 +159,31 @@ def eval_metrics_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.pooled(d.case_metrics(_eval_items(spark, sf_dir)))
 
 
+def _case():
+    """Items of a case are those of one document: eight."""
+    return F.floor(F.col("item_id") / 8).cast("string").alias("case")
+
+
 def requirement_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = t.publications(spark, sf_dir)
-    pairs = p.alias("x").join(p.alias("y"), "block").filter("x.id <> y.id")
-    size = lambda c: F.length(c).cast("double")
-    scored_pairs = pairs.select(F.col("block").alias("case"), F.col("x.id").alias("p"), F.col("y.id").alias("g"), F.round(F.least(size("x.title"), size("y.title")) / F.greatest(size("x.title"), size("y.title")), 6).alias("score")).filter("score >= 0.6")
-    return d.greedy_matches(scored_pairs)
+    """Predictions that lost their last third of words, and all items as gold, matched best first."""
+    b = t.read(spark, sf_dir, "benchmark")
+    words = F.split("text", " ")
+    predicted = b.select(_case(), (F.col("item_id") + 1000).alias("idx"), F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) * 2 / 3, F.lit(1)).cast("int")), " ").alias("text"))
+    return d.greedy_matches(d.scored_pairs(predicted, b.select(_case(), F.col("item_id").alias("idx"), "text"))).select("case", "p", "g", F.round("score", 6).alias("score"))
 
 
 def similar_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.read(spark, sf_dir, "benchmark")
-    case = (F.col("item_id") % 8).cast("string").alias("case")
-    gold = b.select(case, F.col("item_id").alias("idx"), "text")
-    predicted = b.select(case, (F.col("item_id") + 1000).alias("idx"), F.concat(F.lit("x "), F.upper("text")).alias("text"))
+    gold = b.select(_case(), F.col("item_id").alias("idx"), "text")
+    predicted = b.select(_case(), (F.col("item_id") + 1000).alias("idx"), F.concat(F.lit("x "), F.upper("text")).alias("text"))
     return d.greedy_matches(d.scored_pairs(predicted, gold)).select("case", "p", "g")
 
 
 def two_pass_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.read(spark, sf_dir, "benchmark")
     kind = lambda n: F.when(F.col("item_id") % 3 == n, "eliminatory").otherwise("formal").alias("type")
-    case = (F.col("item_id") % 8).cast("string").alias("case")
-    first = b.select(case, F.col("item_id").alias("idx"), "text", kind(0))
-    again = b.select(case, (F.col("item_id") + 1000).alias("idx"), F.upper("text").alias("text"), kind(1))
+    first = b.select(_case(), F.col("item_id").alias("idx"), "text", kind(0))
+    again = b.select(_case(), (F.col("item_id") + 1000).alias("idx"), F.upper("text").alias("text"), kind(1))
     return d.two_pass_union(first.unionByName(again)).select("case", "ref", "type", "disputed_type")
 
 
@@ -244,14 +253,15 @@ def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.read(spark, sf_dir, "documents")
-    n = t.publications(spark, sf_dir).select("id", "title", F.col("source").alias("buyer_name"), F.lit(None).cast("string").alias("description"))
-    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("text"))
-    return search.fulltext(search.term_index(n), asked, docs.count(), 10)
+    """Whole benchmark texts over titles, sources and whole texts of all documents."""
+    n = t.publications(spark, sf_dir).select("id", "title", F.col("source").alias("buyer_name"), "description")
+    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return search.fulltext(search.term_index(n), asked, n.count(), 10)
 
 
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 100).alias("text"))
+    """Whole benchmark texts over the titles of all documents."""
+    asked = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     return search.trigram_search(t.publications(spark, sf_dir), asked, 5, 0.2)
 
 
@@ -270,7 +280,7 @@ def renewal_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.lit("eu").alias("code"), F.when(F.col("o_orderkey") % 2 == 0, "FR").otherwise("BE").alias("country"), F.to_date("o_orderdate").alias("at"), F.col("o_totalprice").alias("value"))
-    bands = t.read(spark, sf_dir, "nation").filter("n_nationkey < 8").select(F.lit("eu").alias("code"), F.when(F.col("n_nationkey") % 2 == 0, "FR").otherwise("BE").alias("country"), (F.col("n_nationkey") * 50000.0).alias("amount"), F.make_date(F.lit(1994) + F.col("n_nationkey"), F.lit(1), F.lit(1)).alias("valid_from"), F.when(F.col("n_nationkey") == 2, F.make_date(F.lit(1997), F.lit(1), F.lit(1))).alias("valid_to"))
+    bands = t.read(spark, sf_dir, "nation").select(F.lit("eu").alias("code"), F.when(F.col("n_nationkey") % 2 == 0, "FR").otherwise("BE").alias("country"), (F.col("n_nationkey") * 50000.0).alias("amount"), F.make_date(F.lit(1994) + F.col("n_nationkey"), F.lit(1), F.lit(1)).alias("valid_from"), F.when(F.col("n_nationkey") == 2, F.make_date(F.lit(1997), F.lit(1), F.lit(1))).alias("valid_to"))
     return outlook.threshold_in_force(rows, bands).select("row_id", "threshold", "above")
 
 
@@ -342,22 +352,22 @@ SQL = {
     "ocr_summary": r"WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 40 AS ocr FROM conversations) SELECT doc_id, count(*) AS pages, coalesce(string_agg(CASE WHEN ocr THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS ocr_pages, round(count(*) FILTER (NOT ocr)::DOUBLE / count(*), 4) AS text_coverage, bool_or(ocr) AS needs_ocr FROM p GROUP BY doc_id",
     "marked_text": "SELECT conv_id AS doc_id, string_agg('[[page:' || (turn + 1) || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS marked, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS markers FROM conversations GROUP BY conv_id",
     "page_windows": "WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) + length('[[page:' || (turn + 1) || ']]') + 2 AS cost FROM conversations), r AS (SELECT conv_id, turn, cost AS used, 0 AS w FROM p WHERE turn = 0 UNION ALL SELECT p.conv_id, p.turn, CASE WHEN used + cost <= 2000 THEN used + cost ELSE cost END, CASE WHEN used + cost <= 2000 THEN w ELSE w + 1 END FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.turn + 1) SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, CAST(w AS INTEGER) AS \"window\" FROM r",
-    "citation_check": r"WITH d AS (SELECT doc_id % 40 AS doc_id, doc_id // 40 + 1 AS page, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM documents) SELECT item_id AS quote_id, coalesce(bool_or(contains(d.text, lower(trim(regexp_replace(substr(b.text, 1, 80), '\s+', ' ', 'g'))))), false) AS valid FROM benchmark b LEFT JOIN d ON d.doc_id = item_id % 40 AND page BETWEEN 1 AND 23 GROUP BY item_id",
+    "citation_check": r"WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), q AS (SELECT 'whole ' || item_id AS quote_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS q FROM benchmark UNION ALL SELECT 'start ' || item_id, array_to_string(string_split(text, ' ')[1:12], ' ') FROM benchmark), n AS (SELECT quote_id, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS q FROM q) SELECT quote_id, count(doc_id) > 0 AS valid, min(doc_id) AS doc_id FROM n LEFT JOIN d ON n.q <> '' AND contains(d.t, n.q) GROUP BY quote_id",
     "case_metrics": f"WITH {ITEMS} SELECT * FROM x",
     "eval_metrics_pooled": f"WITH {ITEMS}, s AS (SELECT metric, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CASE metric WHEN 'requirement_recall' THEN 0.9::DOUBLE WHEN 'requirement_precision' THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS gate FROM x GROUP BY metric) SELECT *, round(CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END, 6) AS value, CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END >= gate AS passed FROM s",
-    "trigram_search": "WITH p AS (SELECT doc_id AS id, substr(text, 1, 120) AS title FROM documents), g AS (SELECT id, GRAMS AS g FROM p), b AS (SELECT item_id AS id, substr(text, 1, 100) AS title FROM benchmark), q AS (SELECT id AS query, GRAMS AS g FROM b), s AS (SELECT query, id, round(len(list_intersect(g.g, q.g))::DOUBLE / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g)))::DOUBLE, 6) AS score FROM g, q), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5",
+    "trigram_search": "WITH p AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title FROM documents), g AS (SELECT id, GRAMS AS g FROM p), b AS (SELECT item_id AS id, text AS title FROM benchmark), q AS (SELECT id AS query, GRAMS AS g FROM b), s AS (SELECT query, id, round(len(list_intersect(g.g, q.g))::DOUBLE / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g)))::DOUBLE, 6) AS score FROM g, q WHERE len(g.g) >= 0.2 * len(q.g) AND len(q.g) >= 0.2 * len(g.g) AND len(g.g) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5",
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5",
     "live_deadlines": f"WITH {t.NOTICES_SQL} SELECT notice_id, deadline_at FROM n_notices WHERE deadline_at > TIMESTAMP '{t.NOW_O}'",
     "renewal_window": f"WITH {t.AWARDS_SQL}, x AS (SELECT award_id, CAST(signed_at + to_months(duration_months) AS DATE) AS ends_at FROM n_awards) SELECT * FROM x WHERE ends_at BETWEEN DATE '1998-09-01' AND DATE '1999-12-01'",
-    "threshold_asof": "WITH b AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'FR' ELSE 'BE' END AS country, n_nationkey * 50000.0::DOUBLE AS amount, make_date(1994 + n_nationkey, 1, 1) AS f, CASE WHEN n_nationkey = 2 THEN DATE '1997-01-01' END AS u FROM nation WHERE n_nationkey < 8), x AS (SELECT o_orderkey AS row_id, o_totalprice AS value, arg_max(amount, f) AS threshold FROM orders LEFT JOIN b ON b.country = CASE WHEN o_orderkey % 2 = 0 THEN 'FR' ELSE 'BE' END AND f <= CAST(o_orderdate AS DATE) AND (u IS NULL OR CAST(o_orderdate AS DATE) < u) GROUP BY ALL) SELECT row_id, threshold, value >= threshold AS above FROM x",
+    "threshold_asof": "WITH b AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'FR' ELSE 'BE' END AS country, n_nationkey * 50000.0::DOUBLE AS amount, make_date(1994 + n_nationkey, 1, 1) AS f, CASE WHEN n_nationkey = 2 THEN DATE '1997-01-01' END AS u FROM nation), x AS (SELECT o_orderkey AS row_id, o_totalprice AS value, arg_max(amount, f) AS threshold FROM orders LEFT JOIN b ON b.country = CASE WHEN o_orderkey % 2 = 0 THEN 'FR' ELSE 'BE' END AND f <= CAST(o_orderdate AS DATE) AND (u IS NULL OR CAST(o_orderdate AS DATE) < u) GROUP BY ALL) SELECT row_id, threshold, value >= threshold AS above FROM x",
     "missing_documents": f"WITH {t.EVIDENCE_SQL}, r AS (SELECT s_suppkey AS org_id, kind, typical, s_suppkey % 10 AS runway FROM supplier, (VALUES ('A', 3), ('R', 120), ('N', 5), ('kbis', 0)) AS v(kind, typical)) SELECT org_id, kind, typical <= runway AS feasible FROM r WHERE NOT EXISTS (SELECT 1 FROM n_evidence e WHERE e.org_id = r.org_id AND e.kind = r.kind AND expires_at >= DATE '2001-11-01')",
     "requirement_diff": "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS change FROM part WHERE p_partkey % 10 IN (0, 1, 2)",
     "supplier_profile": f"WITH {t.AWARDS_SQL}, p AS (SELECT supplier, buyer, count(*) AS n, sum(amount) AS amount FROM n_awards GROUP BY ALL) SELECT supplier, CAST(sum(n) AS BIGINT) AS awards, round(sum(amount), 2) AS total, round(sum(amount) / sum(n), 2) AS mean, count(*) AS buyers, arg_max(buyer, (n, buyer)) AS top_buyer, count(*) FILTER (n > 1) AS repeat_buyers FROM p GROUP BY supplier",
     "decision_funnel": "WITH c AS (SELECT user_id AS org_id, count(*) FILTER (event_type = 'view') AS \"view\", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id) SELECT *, round(click::DOUBLE / nullif(\"view\", 0), 4) AS view_to_click, round(signup::DOUBLE / nullif(click, 0), 4) AS click_to_signup, round(purchase::DOUBLE / nullif(signup, 0), 4) AS signup_to_purchase FROM c",
     "planned_dates": f"WITH {t.TENDERS_SQL} SELECT tender_id, deadline_at - to_days(CAST({BACK.format(n='(tender_id % 12)', ts='deadline_at')} AS INTEGER)) AS due_at FROM n_tenders WHERE deadline_at IS NOT NULL",
     "compliance_coverage": "WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag, bool_or(l_linestatus = 'F') OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) SELECT l_orderkey AS tender_id, round(avg(CASE WHEN c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS coverage, bool_or(l_returnflag = 'R' AND NOT c) AS blocked FROM x GROUP BY l_orderkey",
-    "similar_requirements": "SELECT CAST(item_id % 8 AS VARCHAR) AS \"case\", item_id + 1000 AS p, item_id AS g FROM benchmark",
-    "two_pass_union": "SELECT CAST(item_id % 8 AS VARCHAR) AS \"case\", printf('REQ-%03d', row_number() OVER (PARTITION BY item_id % 8 ORDER BY item_id)) AS ref, CASE WHEN item_id % 3 IN (0, 1) THEN 'eliminatory' ELSE 'formal' END AS type, CASE WHEN item_id % 3 = 1 THEN 'formal' END AS disputed_type FROM benchmark",
+    "similar_requirements": "SELECT CAST(item_id // 8 AS VARCHAR) AS \"case\", item_id + 1000 AS p, item_id AS g FROM benchmark",
+    "two_pass_union": "SELECT CAST(item_id // 8 AS VARCHAR) AS \"case\", printf('REQ-%03d', row_number() OVER (PARTITION BY item_id // 8 ORDER BY item_id)) AS ref, CASE WHEN item_id % 3 IN (0, 1) THEN 'eliminatory' ELSE 'formal' END AS type, CASE WHEN item_id % 3 = 1 THEN 'formal' END AS disputed_type FROM benchmark",
     "admin_exact_match": "SELECT c_mktsegment AS \"case\", count(*) FILTER (c_custkey % 2 = 1 OR c_custkey % 4 = 0) AS matched, count(*) AS total FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL",
     "digest_eligibility": f"WITH {t.NOTIFICATIONS_SQL} SELECT n_nationkey AS org_id, 'Europe/Paris' AS tz FROM nation WHERE n_nationkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM n_notifications x WHERE x.org_id = n_nationkey AND x.org_id % 3 = 0 AND created_at > TIMESTAMP '2024-01-30 06:30:00' - INTERVAL 20 HOUR)",
     "alert_recipients": "SELECT c_nationkey AS org_id, c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'en' ELSE 'fr' END AS locale FROM customer WHERE c_mktsegment <> 'MACHINERY'",
@@ -374,12 +384,21 @@ LINKS = r"""WITH m AS (SELECT page_id AS message_id, regexp_replace(html, 'href=
 c AS (SELECT message_id, list_concat(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1), regexp_extract_all(html, '(?i)(https?://[^\s<>"''\]\)]+)', 1)) AS c FROM m),
 u AS (SELECT message_id, unnest(range(0, len(c))) AS i, unnest(c) AS raw FROM c), v AS (SELECT message_id, i, regexp_replace(trim(TWICE), '[.,;:!?)»"''>]+$', '') AS url FROM u),
 f AS (SELECT message_id, url, min(i) AS i FROM v WHERE length(url) <= 2048 AND regexp_matches(url, '(?i)^https?://') GROUP BY ALL),
-l AS (SELECT message_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS INTEGER) AS pos, url FROM f)""".replace("TWICE", PLAIN.format(PLAIN.format("raw")))
+l AS (SELECT message_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS INTEGER) AS pos, url FROM f)""".replace("TWICE", PLAIN.format("raw"))
 SQL["page_links"] = LINKS + " SELECT message_id, pos, url FROM l"
 SQL["links_boilerplate"] = LINKS + ", b AS (SELECT *, len(list_filter([" + ", ".join(f"'{x}'" for x in d.BOILERPLATE) + r"], lambda x: contains(lower(regexp_replace(url, '^https?://[^/?#]*', '')), x))) > 0 AS bp FROM l) SELECT message_id, count(*) FILTER (bp) AS boilerplate, least(count(*) FILTER (NOT bp), 5) AS kept, count(*) AS links FROM b GROUP BY message_id"
 
 SQL["trigram_search"] = SQL["trigram_search"].replace("GRAMS", GRAMS)
-SQL["fulltext_topk"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents), f AS (SELECT doc_id AS id, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 120)')}, ' '))) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct(string_split({NORMAL.format('source')}, ' '))), 0.4::DOUBLE FROM documents),
-i AS (SELECT id, term, round(sum(w), 6) AS weight FROM f WHERE term <> '' GROUP BY ALL), q AS (SELECT item_id AS query, unnest(list_distinct(string_split({NORMAL.format('substr(text, 1, 60)')}, ' '))) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM i GROUP BY term),
+SQL["fulltext_topk"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents), f AS (SELECT doc_id AS id, unnest(list_distinct(string_split({NORMAL.format('string_split(text, chr(10))[1]')}, ' '))) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest(list_distinct(string_split({NORMAL.format('source')}, ' '))), 0.4::DOUBLE FROM documents UNION ALL SELECT doc_id, unnest(list_distinct(string_split({NORMAL.format('text')}, ' '))), 0.2::DOUBLE FROM documents),
+i AS (SELECT id, term, round(sum(w), 6) AS weight FROM f WHERE term <> '' GROUP BY ALL), q AS (SELECT item_id AS query, unnest(list_distinct(string_split({NORMAL.format('text')}, ' '))) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM i GROUP BY term),
 s AS (SELECT query, id, round(sum(i.weight * ln(1 + n.n / df.df)), 6) AS score FROM q JOIN df USING (term) JOIN i USING (term), n GROUP BY query, id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
+ANCHORS = r"""a AS (SELECT message_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS i FROM m),
+b AS (SELECT message_id, unnest(range(0, len(h))) AS k, unnest(h) AS raw, unnest(i) AS inn FROM a),
+e AS (SELECT message_id, k, regexp_replace(trim(ONCE_RAW), '[.,;:!?)»"''>]+$', '') AS url, trim(regexp_replace(ONCE_INNER, '\s+', ' ', 'g')) AS label FROM (SELECT *, regexp_replace(inn, '<[^>]+>', ' ', 'g') AS plain FROM b)),
+lab AS (SELECT message_id, url, arg_min(label, k) AS label FROM e WHERE length(label) BETWEEN 12 AND 200 AND length(url) <= 2048 AND regexp_matches(url, '(?i)^https?://') GROUP BY ALL)""".replace("ONCE_RAW", PLAIN.format("raw")).replace("ONCE_INNER", PLAIN.format("plain"))
+SQL["link_labels"] = LINKS + ", " + ANCHORS + " SELECT * FROM lab"
+SQL["link_candidates"] = LINKS + ", " + ANCHORS + """, o AS (SELECT *, message_id % 10 AS org_id FROM l), st AS (SELECT DISTINCT org_id, url FROM o WHERE message_id % 5 = 0),
+ fr AS (SELECT *, row_number() OVER (PARTITION BY org_id, url ORDER BY message_id, pos) AS k1 FROM o), fresh AS (SELECT org_id, url, message_id, pos FROM fr WHERE k1 = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.org_id = fr.org_id AND st.url = fr.url)),
+ nn AS (SELECT *, count(*) OVER (PARTITION BY message_id) AS n, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS i FROM fresh)
+ SELECT org_id, nn.url, nn.message_id, coalesce(label, CASE WHEN n > 1 THEN printf('Alert %d (%d/%d)', nn.message_id, i, n) ELSE 'Alert ' || nn.message_id END) AS title FROM nn LEFT JOIN lab ON lab.message_id = nn.message_id AND lab.url = nn.url"""
 QUERIES = {f.__name__: f for f in (inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}

@@ -138,9 +138,9 @@ SOURCES_SQL = "n_sources AS (SELECT * FROM (VALUES ('signup', 'official_api', '*
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A publication per document: the start of its text is the title, its first line the buyer."""
+    """A publication per document: the first line of its text is the title, the whole text the description."""
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 120).alias("title"), F.lower(F.substring("text", 1, 40)).alias("block"), "source", F.col("lang").alias("country"))
+    return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"), "source", F.col("lang").alias("country"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
