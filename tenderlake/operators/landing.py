@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import seconds_between
 
@@ -59,6 +60,53 @@ def failure_facts(failures: DataFrame) -> DataFrame:
     return failures.select(F.lit("source.fetch_failed").alias("kind"), F.col("source").alias("entity"), F.to_json(F.struct(F.substring("error", 1, 1000).alias("error"))).alias("payload"), "at")
 
 
+def incremental_window(rows: DataFrame, cursor: Column, now: Column, *, countries: list[str] | None = None, lookback_days: int = 2, at: str = "published_at", places: str = "places") -> DataFrame:
+    """L-06. Rows published since the cursor's day, by default two days back, in one of the countries. The bound is a day and
+    reaches the scan."""
+    since = F.coalesce(cursor, F.timestamp_micros(F.unix_micros(now) - F.lit(lookback_days * 86_400_000_000)))
+    out = rows.filter(F.col(at) >= F.least(F.date_trunc("day", since), F.date_trunc("day", now)))
+    return out.filter(F.arrays_overlap(places, F.array(*map(F.lit, countries)))) if countries else out
+
+
+def write_replay(notices: DataFrame, path: str) -> None:
+    """L-11. Canonical notices as JSON lines, one corpus over many files."""
+    notices.write.json(path)
+
+
+def read_replay(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """L-11. A corpus read back by the schema of its notices; a broken line fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def seeded(notices: DataFrame) -> DataFrame:
+    """L-15. Notices with buyer_siren: the siren, else the first nine digits of the siret."""
+    return notices.withColumn("buyer_siren", F.coalesce("buyer.siren", F.substring("buyer.siret", 1, 9)))
+
+
+def gold_pairs(gold: DataFrame, files: DataFrame) -> DataFrame:
+    """L-12. Gold rows (path, ...) with the document row (path, ...) of the same stem. No gold at all, or gold without a
+    document, is an error, never a pass."""
+    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"(\.gold)?\.[^.]+$", "")
+    left = gold.withColumn("stem", stem("path")).drop("path")
+    right = files.withColumn("stem", stem("path")).drop("path")
+    if left.isEmpty():
+        raise ValueError("no gold files")
+    alone = left.join(right.select("stem"), "stem", "left_anti").select("stem").limit(5)
+    if missing := [r.stem for r in alone.collect()]:
+        raise ValueError(f"gold files without a document: {missing}")
+    return left.join(right, "stem")
+
+
+def append_once(rows: DataFrame, path: str, key: list[str]) -> None:
+    """L-16. Append notification, event or digest rows under a deterministic row_id of their key; a replay adds nothing."""
+    spark = rows.sparkSession
+    fresh = rows.withColumn("row_id", F.sha2(F.to_json(F.struct(*key)), 256)).dropDuplicates(["row_id"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        fresh = fresh.join(spark.read.parquet(path).select("row_id"), "row_id", "left_anti")
+    fresh.write.mode("append").parquet(path)
+
+
 def amendments(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """N-34. version, previous_hash and amended of every row: a version starts where the hash differs from the one before."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -65,6 +65,20 @@ def org_counters(matches: DataFrame, evidence: DataFrame) -> DataFrame:
     return m.join(e, "org_id", "full").select("org_id", F.coalesce("new_matches", F.lit(0)).alias("new_matches"), F.coalesce("expiring", F.lit(0)).alias("expiring"))
 
 
+EVIDENCE_KINDS = ("admin", "certification", "reference", "people", "content", "template")
+EVIDENCE_STATUSES = ("valid", "expiring", "expired")
+
+
+def evidence_list(evidence: DataFrame, *, kind: str | None = None, status: str | None = None, limit: int = LIST_MOST) -> DataFrame:
+    """V-01. An org's evidence, soonest expiry first (null last), then newest, then id; an unknown filter is an error."""
+    for value, known, name in ((kind, EVIDENCE_KINDS, "kind"), (status, EVIDENCE_STATUSES, "status")):
+        if value is not None and value not in known:
+            raise ValueError(f"{name} must be one of {', '.join(known)}")
+        if value is not None:
+            evidence = evidence.filter(F.col(name) == value)
+    return evidence.orderBy(F.asc_nulls_last("expires_at"), F.desc("created_at"), "evidence_id").limit(limit)
+
+
 def freshness(evidence: DataFrame, today: Column) -> DataFrame:
     """V-04. new_status of each piece: expired before today, expiring within 30 days, else valid."""
     e = F.col("expires_at")

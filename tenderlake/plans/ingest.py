@@ -65,10 +65,6 @@ def _health(spark, sf_dir):
     return landing.health(t.sources(spark), landing.volumes(t.raw(spark, sf_dir), t.now_e()), t.now_e())
 
 
-def health_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landing.transitions(_health(spark, sf_dir)).select("source", "health", "verdict")
-
-
 def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.health_summary(_health(spark, sf_dir))
 
@@ -198,7 +194,6 @@ SQL = {
     "source_tier_quarantine": W_SRC + " SELECT source, CAST(CASE tier WHEN 'official_api' THEN 1 WHEN 'platform' THEN 2 WHEN 'signals' THEN 4 ELSE 3 END AS INTEGER) AS tier_rank, legal_basis NOT IN ('open-license', 'tos-reviewed', 'robots-ok') AS quarantined, count(*) AS n FROM n_raw JOIN n_sources USING (source) GROUP BY ALL",
     "schema_drift_keys": W_RAW + ", k AS (SELECT source, unnest(json_keys(payload)) AS key FROM n_raw) SELECT source, key, count(*) AS n FROM k WHERE key <> 'id' GROUP BY ALL",
     "source_health_verdicts": HEALTH + " SELECT source, verdict, reason, should_page, round(silent_hours, 3) AS silent_hours FROM f",
-    "health_transitions": HEALTH + " SELECT source, health, verdict FROM f WHERE verdict <> health AND verdict IN ('silent', 'degraded')",
     "health_summary": HEALTH + " SELECT count(*) FILTER (verdict = 'green') AS green, count(*) FILTER (verdict = 'degraded') AS degraded, count(*) FILTER (verdict = 'silent') AS silent, coalesce(list_sort(list(source) FILTER (should_page)), CAST([] AS VARCHAR[])) AS paging FROM f",
     "coverage_status": HEALTH + " SELECT source, CAST(CASE tier WHEN 'official_api' THEN 1 WHEN 'platform' THEN 2 WHEN 'signals' THEN 4 ELSE 3 END AS INTEGER) AS tier_rank, round(silent_hours, 1) AS hours, round(silent_hours, 1) <= budget AS within_budget, enabled FROM f",
     "text_normalize": f"SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents",
@@ -217,4 +212,4 @@ SQL = {
 SQL["cluster_merge"] = CLUSTERS + """, j AS (SELECT * FROM m JOIN pub USING (id)), f AS (SELECT cluster_id, lang, min(id) AS i FROM j GROUP BY ALL), fc AS (SELECT cluster_id, string_agg(lang, ',' ORDER BY i) AS cpv FROM f GROUP BY cluster_id)
  SELECT j.cluster_id, arg_max(title, (length(title), -id)) AS title, any_value(fc.cpv) AS cpv, make_timestamp((1700000000 + min(id)) * 1000000) AS published_at, make_timestamp(arg_min(dl, id) * 1000000) AS deadline_at, arg_min(buyer_name, id) AS buyer_name,
  arg_min(CASE WHEN id % 3 = 0 THEN n_chars::DOUBLE END, CASE WHEN id % 3 = 0 THEN id END) AS amount, CAST(count(DISTINCT pub) AS INTEGER) AS n_refs, count(*) AS publications FROM j JOIN fc USING (cluster_id) GROUP BY j.cluster_id"""
-QUERIES = {f.__name__: f for f in (raw_landing_idempotent, raw_landing_counts, cursor_watermark, trailing_volume_7d, amendment_versions, latest_notice_state, notice_id_slug, source_tier_quarantine, schema_drift_keys, source_health_verdicts, health_transitions, health_summary, coverage_status, text_normalize, buyer_name_core, title_trigram_pairs, embedding_cosine_pairs, pair_verdicts, cluster_members, cluster_merge, source_badges, dept_to_nuts_bridge, naf_cpv_suggest, org_scoped_view, event_scope, append_only_violations)}
+QUERIES = {f.__name__: f for f in (raw_landing_idempotent, raw_landing_counts, cursor_watermark, trailing_volume_7d, amendment_versions, latest_notice_state, notice_id_slug, source_tier_quarantine, schema_drift_keys, source_health_verdicts, health_summary, coverage_status, text_normalize, buyer_name_core, title_trigram_pairs, embedding_cosine_pairs, pair_verdicts, cluster_members, cluster_merge, source_badges, dept_to_nuts_bridge, naf_cpv_suggest, org_scoped_view, event_scope, append_only_violations)}

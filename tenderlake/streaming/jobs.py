@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.dedupe import place
 from ..operators.landing import RAW_KEY
 from ..shipping import ship
 
@@ -67,12 +68,11 @@ def messages_once(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     return rows.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def late_duplicates(rows: DataFrame, representatives: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """S-03. New notices join the cluster of a stored representative with the same publication key, else their own."""
+def late_duplicates(rows: DataFrame, stored: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """S-03. Each batch of new notices is placed by the rules of verdicts: the cluster of the best stored match, else its own."""
 
     def write(batch: DataFrame, _: int) -> None:
-        held = representatives.select("key", F.col("cluster_id").alias("_c")).dropDuplicates(["key"])
-        batch.join(held, "key", "left").withColumn("cluster_id", F.coalesce("_c", "id")).drop("_c").write.mode("append").parquet(target)
+        place(batch, stored).write.mode("append").parquet(target)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
