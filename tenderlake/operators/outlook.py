@@ -15,9 +15,10 @@ def renewals(awards: DataFrame, today: Column, least: int = 3, most: int = 18) -
 
 
 def threshold_in_force(rows: DataFrame, thresholds: DataFrame, at: str = "at") -> DataFrame:
-    """O-02. The amount of the last threshold that began by then, of the row's code and country; as-of by equi-join."""
+    """O-02. The amount of the last threshold that began by then, of the row's code and country; as-of by equi-join. Legal
+    thresholds are some dozens a decade."""
     t = thresholds.select("code", "country", F.col("amount").alias("_amount"), "valid_from", "valid_to")
-    held = rows.join(F.broadcast(t), ["code", "country"]).filter((F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))))
+    held = rows.join(t, ["code", "country"]).filter((F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))))
     best = held.groupBy("row_id").agg(F.max_by("_amount", "valid_from").alias("threshold"))
     return rows.join(best, "row_id", "left").withColumn("above", F.col("value") >= F.col("threshold"))
 
@@ -26,7 +27,7 @@ def missing_documents(required: DataFrame, evidence: DataFrame, lead_times: Data
     """O-03. Required kinds that an org holds no evidence for at the deadline, and whether there is time to get them."""
     valid = evidence.select(F.col("org_id").alias("_o"), F.col("kind").alias("_k"), F.col("expires_at").alias("_e"))
     gone = required.join(valid, (F.col("org_id") == F.col("_o")) & (F.col("kind") == F.col("_k")) & (F.col("_e") >= F.col("deadline")), "left_anti")
-    return gone.join(F.broadcast(lead_times), "kind", "left").withColumn("feasible", F.col("typical_days") <= F.col("runway_days"))
+    return gone.join(lead_times, "kind", "left").withColumn("feasible", F.col("typical_days") <= F.col("runway_days"))
 
 
 def compliance(requirements: DataFrame, items: DataFrame) -> DataFrame:

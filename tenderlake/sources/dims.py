@@ -12,12 +12,35 @@ SECTOR_PACKS = {
 }
 #: NUTS 2021 regions of level 2 with their départements.
 NUTS2_DEPARTMENTS = {
-    "FR10": "75 77 78 91 92 93 94 95", "FRB0": "18 28 36 37 41 45", "FRC1": "21 58 71 89", "FRC2": "25 39 70 90", "FRD1": "14 50 61", "FRD2": "27 76",
-    "FRE1": "59 62", "FRE2": "02 60 80", "FRF1": "67 68", "FRF2": "08 10 51 52", "FRF3": "54 55 57 88", "FRG0": "44 49 53 72 85", "FRH0": "22 29 35 56",
-    "FRI1": "24 33 40 47 64", "FRI2": "19 23 87", "FRI3": "16 17 79 86", "FRJ1": "11 30 34 48 66", "FRJ2": "09 12 31 32 46 65 81 82", "FRK1": "03 15 43 63",
-    "FRK2": "01 07 26 38 42 69 73 74", "FRL0": "04 05 06 13 83 84", "FRM0": "2A 2B 20", "FRY1": "971", "FRY2": "972", "FRY3": "973", "FRY4": "974", "FRY5": "976",
-}
-DEPARTMENTS = {d: nuts for nuts, ds in NUTS2_DEPARTMENTS.items() for d in ds.split()}
+    "FR10": ("75", "77", "78", "91", "92", "93", "94", "95"),
+    "FRB0": ("18", "28", "36", "37", "41", "45"),
+    "FRC1": ("21", "58", "71", "89"),
+    "FRC2": ("25", "39", "70", "90"),
+    "FRD1": ("14", "50", "61"),
+    "FRD2": ("27", "76"),
+    "FRE1": ("59", "62"),
+    "FRE2": ("02", "60", "80"),
+    "FRF1": ("67", "68"),
+    "FRF2": ("08", "10", "51", "52"),
+    "FRF3": ("54", "55", "57", "88"),
+    "FRG0": ("44", "49", "53", "72", "85"),
+    "FRH0": ("22", "29", "35", "56"),
+    "FRI1": ("24", "33", "40", "47", "64"),
+    "FRI2": ("19", "23", "87"),
+    "FRI3": ("16", "17", "79", "86"),
+    "FRJ1": ("11", "30", "34", "48", "66"),
+    "FRJ2": ("09", "12", "31", "32", "46", "65", "81", "82"),
+    "FRK1": ("03", "15", "43", "63"),
+    "FRK2": ("01", "07", "26", "38", "42", "69", "73", "74"),
+    "FRL0": ("04", "05", "06", "13", "83", "84"),
+    "FRM0": ("2A", "2B", "20"),
+    "FRY1": ("971",),
+    "FRY2": ("972",),
+    "FRY3": ("973",),
+    "FRY4": ("974",),
+    "FRY5": ("976",),
+}
+DEPARTMENTS = {d: nuts for nuts, ds in NUTS2_DEPARTMENTS.items() for d in ds}
 NAF_CPV = {"6202A": ["72", "48"], "6201Z": ["72", "48"], "6203Z": ["72"], "8559A": ["805"], "8559B": ["805", "79632"], "8110Z": ["50", "90910", "79713"], "4321A": ["45259", "50"]}
 LANGUAGES = {"fra": "fr", "eng": "en", "nld": "nl", "deu": "de", "ger": "de", "ita": "it", "spa": "es", "por": "pt", "dan": "da", "swe": "sv", "fin": "fi", "pol": "pl", "ces": "cs", "slk": "sk", "slv": "sl", "hun": "hu", "ron": "ro", "bul": "bg", "ell": "el", "hrv": "hr", "est": "et", "lav": "lv", "lit": "lt", "mlt": "mt", "gle": "ga", "nor": "no"}
 COUNTRIES = {"FRA": "FR", "BEL": "BE", "LUX": "LU", "NLD": "NL", "DEU": "DE", "ITA": "IT", "ESP": "ES", "PRT": "PT", "IRL": "IE", "AUT": "AT", "POL": "PL", "DNK": "DK", "SWE": "SE", "FIN": "FI", "CZE": "CZ", "SVK": "SK", "SVN": "SI", "HUN": "HU", "ROU": "RO", "BGR": "BG", "GRC": "GR", "HRV": "HR", "EST": "EE", "LVA": "LV", "LTU": "LT", "MLT": "MT", "CYP": "CY", "GBR": "GB", "NOR": "NO", "CHE": "CH"}

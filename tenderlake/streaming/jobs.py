@@ -18,24 +18,33 @@ from ..shipping import ship
 VERSION_SCHEMA = "source string, external_id string, event_id long, version int, amended boolean"
 
 
+#: Sources that a batch may name for the stored rows to be pruned to them.
+PRUNED_SOURCES = 1000
+
+
 def landing_stream(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """S-01. Append rows that aren't stored yet; the checkpoint is the cursor, and re-read rows are anti-joined away."""
+    """S-01. Append rows that aren't stored yet; the checkpoint is the cursor, and re-read rows are anti-joined away.
+
+    The target is partitioned by source: a batch reads the keys of its own sources only.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(RAW_KEY)
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(*RAW_KEY), RAW_KEY, "left_anti")
-        except Exception as e:  # nothing is stored before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(target)
+        named = [r.source for r in batch.select("source").distinct().limit(PRUNED_SOURCES + 1).collect()]
+        where = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            stored = spark.read.schema(batch.schema).parquet(target)
+            stored = stored.filter(F.col("source").isin(named)) if len(named) <= PRUNED_SOURCES else stored
+            fresh = fresh.join(stored.select(*RAW_KEY), RAW_KEY, "left_anti")
+        fresh.write.mode("append").partitionBy("source").parquet(target)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def version_stream(rows: DataFrame) -> DataFrame:
-    """S-02. A version of every row; the state of a notice is its last hash and version."""
+    """S-02. A version of every row; the state of a notice is its last hash and version, some 100 bytes. A notice may be
+    amended at any time, so its state has no timeout and grows with the notices; keep it in RocksDB."""
     ship(rows.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
