@@ -40,7 +40,8 @@ def strip_accents(c: Column) -> Column:
     don't decompose (ø, ß, œ) stay."""
     pieces = F.transform(F.split(c, ""), lambda x: F.coalesce(F.create_map(*[F.lit(x) for kv in LIGATURES.items() for x in kv])[x], x))
     some = F.when(c.rlike("[" + "".join(LIGATURES) + "]"), F.array_join(pieces, "")).otherwise(c)
-    return F.translate(F.regexp_replace(some, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
+    plain = F.translate(F.regexp_replace(some, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)  # most texts are ASCII and need none of this
 
 
 def normalize_text(c: Column) -> Column:
