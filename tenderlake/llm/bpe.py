@@ -210,8 +210,8 @@ def encode(docs: DataFrame, *, path: str | None = None, text: str = "text", keep
     """``keep`` columns and the encoding of each text: ``ids`` (array of int) or, with output="digest", n_tokens,
     ids_sha256 of the decimal ids and decoded_sha256 of the text decoded from the ids.
 
-    No shuffle; a row is worked on by itself, whole. A null text counts as empty (no ids). The vocabulary, of fixed size,
-    is sent to the executors once.
+    No shuffle; a row is worked on by itself, whole and of any length. A null text counts as empty (no ids); repeated rows
+    have equal results; an empty table gives no rows. The vocabulary, of fixed size, is sent to the executors once.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, *, path: str | None = None, text: str = "text", keep
 
 
 def decode(encoded: DataFrame, *, path: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the text of each array of ids (null: empty)."""
+    """``keep`` columns and the text of each array of ids (null or empty: the empty text); an empty table gives no rows."""
     spark = encoded.sparkSession
     ship(spark)
     with open(path or default_path(), encoding="utf-8") as f:

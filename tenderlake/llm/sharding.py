@@ -16,7 +16,8 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = SHARDS, text: str = "text",
     Rows stand by id (null last), then by hash and size of the text. Sizes are summed up to each row from the totals of
     the partitions before it, and the line of bytes is cut at ``shards`` equal targets: a row goes where its middle byte
     falls. Shards are contiguous and differ from the target by less than one document. Slots number a shard's rows
-    from 0. A null text counts as no bytes (size 1, CRC 0). grown_shard is null: this law moves rows when a shard is added.
+    from 0. A null text counts as no bytes (size 1, CRC 0); repeated rows stand side by side, each with a slot of its own;
+    an empty table gives no rows. grown_shard is null: this law moves rows when a shard is added.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).cast("long").alias("text_crc32"))

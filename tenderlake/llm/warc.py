@@ -91,7 +91,8 @@ def write_archive(pages: DataFrame, path: str, *, segment: int = SEGMENT, least_
 
     Of pages of equal payload of ``least_revisit`` bytes or more, that of the smallest (page_id, url) is the response.
     Rows that agree in id, url and payload are copies of a page: all are responses or all are revisits, each with record
-    ids of its own. A null html is an empty payload; a null id comes after all others.
+    ids of its own. A null html is an empty payload; a null id comes after all others; a payload of any length goes over as
+    many segments as it needs; an empty table gives an archive without records.
     """
     ship(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_d", F.sha1("payload"))

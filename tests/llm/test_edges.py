@@ -280,6 +280,13 @@ def test_one_of_copies_by_text(spark):
     assert sorted(((r.doc_id, r.text) for r in got if r.text not in ends), key=repr) == sorted(want, key=repr)
 
 
+def test_warc_of_no_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    got = warc.read_archive(spark, str(tmp_path / "w"))
+    assert got.count() == 0 and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 4096, 4097, 9000])
 def test_chunks(n):
     assert warc.unchunked(warc.chunked(b"z" * n)) == b"z" * n
