@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -38,7 +39,7 @@ BUYER_PHRASES = (
 def strip_accents(c: Column) -> Column:
     """D-01. Letters without their accents, ligatures and other compatibility forms as plain letters; characters that
     don't decompose (ø, ß, œ) stay."""
-    pieces = F.transform(F.split(c, ""), lambda x: F.coalesce(F.create_map(*[F.lit(x) for kv in LIGATURES.items() for x in kv])[x], x))
+    pieces = F.transform(F.split(c, ""), lambda x: F.coalesce(F.from_json(F.lit(json.dumps(LIGATURES)), "map<string,string>")[x], x))
     some = F.when(c.rlike("[" + "".join(LIGATURES) + "]"), F.array_join(pieces, "")).otherwise(c)
     plain = F.translate(F.regexp_replace(some, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
     return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)  # most texts are ASCII and need none of this
