@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe_encoding
 from .chat import op8_chat_formatting
+from .fim import OP13_SQL, op13_fill_in_middle
 from .jaccard import OP6_SQL, op6_ngram_jaccard
 from .licences import OP10_SQL, op10_license_scans
 from .mixing import OP2_SQL, op2_mixing_sources
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_license_scans": op10_license_scans,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op6_ngram_jaccard": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op10_license_scans": OP10_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
