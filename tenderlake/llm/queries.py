@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_filter_audit
 from .bpe import op9_bpe_encoding
 from .chat import op8_chat_formatting
 from .fim import OP13_SQL, op13_fill_in_middle
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_license_scans": op10_license_scans,
+    "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op6_ngram_jaccard": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op10_license_scans": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
