@@ -9,6 +9,7 @@ from .fim import OP13_SQL, op13_fill_in_middle
 from .jaccard import OP6_SQL, op6_ngram_jaccard
 from .licences import OP10_SQL, op10_license_scans
 from .mixing import OP2_SQL, op2_mixing_sources
+from .packing import op11_best_fit_packing
 from .quality import OP3_SQL, op3_quality_rules
 from .retrieval import OP1_SQL, op1_topk_search
 from .secrets import op5_secret_scans
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_license_scans": op10_license_scans,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
