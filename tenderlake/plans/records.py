@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import dedupe, documents, landing, normalise, scoring, tenancy, worklists
+from ..operators import dedupe, documents, landing, normalise, placement, scoring, tenancy, worklists
 from ..sources import dims
 from ..sources import tables as t
 from ..sources.storage import new_folder
@@ -79,10 +79,10 @@ def health_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D-12. Documents with an odd number in hundred as new, the others as stored, each its own cluster."""
+    """D-12. Documents with an odd id are new, the others stored, each its own cluster; new ones meet each other too."""
     n = ingest._publication_notices(spark, sf_dir).withColumn("source_refs", F.array(F.struct(F.lit("s").alias("source"), F.concat(F.lit("REF-"), F.floor(F.col("id") / 2).cast("string")).alias("external_id")))).withColumn("notice_type", F.lit("competition"))
     stored = n.filter("id % 2 = 0").withColumn("cluster_id", F.col("id"))
-    return dedupe.place(n.filter("id % 2 = 1"), stored).select("id", "cluster_id", "confidence")
+    return placement.place(n.filter("id % 2 = 1"), stored).select("id", "cluster_id", "reason", "confidence")
 
 
 def cluster_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,19 +191,28 @@ def stream_messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_late_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-03. Notices of odd documents arrive after those of even ones and join their clusters by the rules of verdicts."""
-    n = ingest._publication_notices(spark, sf_dir).withColumn("source_refs", F.array(F.struct(F.lit("s").alias("source"), F.concat(F.lit("REF-"), F.floor(F.col("id") / 2).cast("string")).alias("external_id")))).withColumn("notice_type", F.lit("competition"))
-    path, target = new_folder(spark, "late"), new_folder(spark, "placed")
-    n.filter("id % 2 = 1").write.parquet(path)
-    jobs.late_duplicates(jobs.read_stream(spark, path, files=100), n.filter("id % 2 = 0").withColumn("cluster_id", F.col("id")), target, new_folder(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(target).select("id", "cluster_id", "confidence")
-
-
-# A new (odd) document shares its reference with the even one before it; others match by buyer, deadline and title.
-PLACED = f"""{ingest.PUBS}, c2 AS (SELECT a.id AS id, b.id AS o, a.id // 2 = b.id // 2 AS same, CASE WHEN a.id // 2 = b.id // 2 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.4::DOUBLE * (s.s - 0.6::DOUBLE) / 0.4::DOUBLE), 3) END AS confidence
-  FROM pg a JOIN pg b ON a.id % 2 = 1 AND b.id % 2 = 0 AND (a.id // 2 = b.id // 2 OR (a.buyer = b.buyer AND a.buyer <> '' AND abs(a.dl - b.dl) <= 3600)), LATERAL (SELECT CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE END AS s) AS s WHERE a.id // 2 = b.id // 2 OR s.s >= 0.6),
-bestof AS (SELECT id, arg_max(o, (confidence, o)) AS cluster_id, max(confidence) AS confidence FROM c2 GROUP BY id)
-SELECT pub.id, coalesce(cluster_id, pub.id) AS cluster_id, coalesce(confidence, 1.0) AS confidence FROM pub LEFT JOIN bestof USING (id) WHERE pub.id % 2 = 1"""
+    """S-03, D-12. Notices arrive in three batches, by thirds of their ids: duplicates lie within a batch and across batches."""
+    n = ingest._publication_notices(spark, sf_dir).withColumn("notice_type", F.lit("competition"))
+    refs = F.array(F.struct(F.lit("s").alias("source"), F.concat(F.lit("REF-"), F.floor(F.col("id") / 2).cast("string")).alias("external_id")))
+    n = n.withColumn("source_refs", refs).select("id", "notice_type", "country", "title", "buyer_name", "buyer_siren", "deadline_at", "source_refs", "embedding")
+    least, most = n.agg(F.min("id"), F.max("id")).first()
+    path, store = new_folder(spark, "late"), placement.Store(spark, new_folder(spark, "placed"))
+    third = F.floor((F.col("id") - least) * 3 / F.lit(most - least + 1))
+    for k in range(3):  # files of a later write are later in the stream
+        n.filter(third == k).coalesce(1).write.mode("append").parquet(path)
+    jobs.late_duplicates(jobs.read_stream(spark, path), store, new_folder(spark, "offsets"), vectors=False).awaitTermination()
+    return store.members().select("id", "cluster_id")
+
+
+# Notices meet by the reference of their half number, or by buyer, deadline and title. A new (odd) one meets all, a stored
+# (even) one only new ones. A cluster has the name of its smallest stored notice, else of its smallest one.
+PLACED_PAIRS = f"""{ingest.PUBS}, pairs AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id // 2 = b.id // 2 THEN 'same_publication' ELSE 'buyer_deadline_title' END AS reason, CASE WHEN a.id // 2 = b.id // 2 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 0.6::DOUBLE + 0.4::DOUBLE * (s.s - 0.6::DOUBLE) / 0.4::DOUBLE), 3) END AS confidence
+  FROM pg a JOIN pg b ON a.id < b.id AND (a.id // 2 = b.id // 2 OR (a.buyer = b.buyer AND a.buyer <> '' AND abs(a.dl - b.dl) <= 3600)), LATERAL (SELECT CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE END AS s) AS s WHERE a.id // 2 = b.id // 2 OR (a.buyer = b.buyer AND a.buyer <> '' AND abs(a.dl - b.dl) <= 3600 AND s.s >= 0.6))"""
+COMPONENTS = "e AS (SELECT a, b, reason, confidence FROM met UNION ALL SELECT b, a, reason, confidence FROM met), r AS (SELECT id, id AS c FROM pub UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)"
+PLACED = f"""RECURSIVE {PLACED_PAIRS}, met AS (SELECT * FROM pairs WHERE a % 2 = 1 OR b % 2 = 1), {COMPONENTS}, m AS (SELECT id, coalesce(min(c) FILTER (c % 2 = 0), min(c)) AS cluster_id FROM r GROUP BY id),
+best AS (SELECT a, max(confidence) AS confidence, arg_min(reason, (-confidence, b)) AS reason FROM e GROUP BY a)
+SELECT id, cluster_id, CASE WHEN id <> cluster_id THEN best.reason END AS reason, CASE WHEN id <> cluster_id THEN best.confidence ELSE 1.0::DOUBLE END AS confidence FROM m LEFT JOIN best ON a = id WHERE id % 2 = 1"""
+PLACED_LATE = f"RECURSIVE {PLACED_PAIRS}, met AS (SELECT * FROM pairs), {COMPONENTS} SELECT id, min(c) AS cluster_id FROM r GROUP BY id"
 SQL = {
     "landed_records": "SELECT CAST(c_custkey AS VARCHAR) AS external_id, c_name AS objet FROM customer WHERE c_custkey % 7 <> 0",
     "incremental_window": f"WITH {t.NOTICES_SQL} SELECT notice_id FROM n_notices WHERE country IN ('FR', 'BE') AND published_at >= TIMESTAMP '1998-05-20'",
@@ -227,6 +236,6 @@ SQL = {
     "refused_rows": f"WITH {t.EVIDENCE_SQL} SELECT org_id, count(*) AS n FROM n_evidence WHERE org_id <> 7 GROUP BY org_id",
     "stream_volumes": "WITH w AS (SELECT event_type AS source, ts, unnest(range(0, 7)) AS k FROM events), x AS (SELECT source, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS since FROM w) SELECT since, source, count(*) AS n FROM x WHERE since + INTERVAL 7 DAY <= TIMESTAMP '2024-01-28' GROUP BY ALL",
     "stream_messages_once": "SELECT DISTINCT event_id // 2 AS message_id FROM events",
-    "stream_late_duplicates": "WITH " + PLACED,
+    "stream_late_duplicates": "WITH " + PLACED_LATE,
 }
 QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, stream_late_duplicates)}

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.dedupe import place
 from ..operators.landing import RAW_KEY
+from ..operators.placement import Store
 from ..shipping import ship
 
 VERSION_SCHEMA = "source string, external_id string, event_id long, version int, amended boolean"
@@ -77,11 +77,12 @@ def messages_once(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     return rows.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def late_duplicates(rows: DataFrame, stored: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """S-03. Each batch of new notices is placed by the rules of verdicts: the cluster of the best stored match, else its own."""
+def late_duplicates(rows: DataFrame, store: Store, checkpoint: str, *, vectors: bool = True) -> StreamingQuery:
+    """S-03. Each batch of new notices is placed among itself and among all that earlier batches placed, and stored under the
+    batch's number: a batch that is run again replaces what it wrote."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        place(batch, stored).write.mode("append").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        store.add(batch, number, vectors=vectors)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
