@@ -251,6 +251,11 @@ def _all_decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda xs: [x if x is None else html.unescape(x) for x in xs], na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_settled(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [x if x is None else html.unescape(html.unescape(x)) for x in xs], na_action="ignore")
+
+
 def _shipped() -> None:
     """Python workers import this module for the functions above."""
     if (spark := SparkSession.getActiveSession()) is not None:
@@ -271,6 +276,13 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(settled, r"(?U)\s+", " ")), F.lit(""))
 
 
+def all_clean(c: Column) -> Column:
+    """``clean_text`` of every element of an array."""
+    _shipped()
+    settled = F.coalesce(_all_settled(F.when(F.exists(c, lambda x: F.contains(x, F.lit("&"))), c)), c)
+    return F.transform(settled, lambda x: F.nullif(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), F.lit("")))
+
+
 def usable_url(decoded: Column) -> Column:
     """I-03. A decoded link without punctuation at its end; null unless http(s) and at most 2048 characters."""
     u = F.regexp_replace(F.regexp_replace(decoded, r"(?U)^\s+|\s+$", ""), r"""[.,;:!?)»"'>]+$""", "")

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import offset_date, plain_instant, split_deadline
 from ..functions.ids import content_hash
-from ..shipping import ship
 from ..sources.dims import COUNTRIES, DEPARTMENTS, EMPLOYEE_BANDS, LANGUAGES, map_column
-from .documents import clean_text
+from . import nodes as nd
+from .documents import all_clean, clean_text
 
 STRINGS = "array<string>"
 # Field names and codes of the two feeds.
@@ -39,7 +38,6 @@ BOAMP_FIELDS = (
     "soustype_procedure", "sousnature", "sousnature_libelle", "type_avis", "type_marche", "type_marche_facette", "url_avis", "titulaire", "donnees", "dc", "id", "etat", "filename",
     "gestion", "perimetre", "source_schema", "annonce_lie", "annonces_anterieures", "contractfolderid", "criteres", "marche_public_simplifie", "marche_public_simplifie_label",
 )
-SWEPT = ("cbc:ItemClassificationCode", "cbc:CountrySubentityCode", "cbc:CompanyID", "cbc:EstimatedOverallContractAmount", "cbc:TotalAmount", "cbc:PayableAmount")
 LANGUAGE_ORDER = ("fra", "eng", "nld", "deu")
 TITLE_LEAST, TITLE_MOST = 25, 180
 
@@ -135,78 +133,46 @@ def ted(raw: DataFrame, *, default_country: str | None = None) -> DataFrame:
     )
 
 
-def sweep(raw: DataFrame, path: str, keys: tuple[str, ...] = SWEPT) -> DataFrame:
-    """N-23. (external_id, key, ord, text, attributes): every node under one of the keys at any depth of a JSON text.
-
-    Lists are flattened; matches aren't descended into; a broken text gives no rows. One Arrow pass, as the depth isn't
-    bounded.
-    """
-    ship(raw.sparkSession)
-    wanted = set(keys)
-
-    def found(node):
-        stack = [node]
-        while stack:
-            at = stack.pop()
-            if isinstance(at, list):
-                stack += reversed(at)
-            elif isinstance(at, dict):
-                below = []
-                for k, v in at.items():
-                    if k in wanted:
-                        yield from ((k, x) for x in (v if isinstance(v, list) else [v]))
-                    else:
-                        below.append(v)
-                stack += reversed(below)
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column("external_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                try:
-                    node = json.loads(text) if text else None
-                except ValueError:
-                    continue
-                for n, (k, x) in enumerate(found(node)):
-                    value = x.get("#text") if isinstance(x, dict) else x
-                    name = x.get("@listName") or x.get("@currencyID") if isinstance(x, dict) else None
-                    rows.append((i, k, n, None if value is None else str(value).strip() or None, name))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["external_id", "key", "ord", "text", "name"])
-
-    return raw.select("external_id", field(F.col("payload"), path).alias("text")).mapInArrow(run, "external_id string, key string, ord int, text string, name string")
-
-
-def eforms(swept: DataFrame) -> DataFrame:
-    """N-24 to N-26, N-29. cpv, nuts, siren, siret, amount and currency of each notice from its swept nodes."""
-    digits = F.regexp_replace("text", "[^0-9]", "")
-    is_key = lambda *k: F.col("key").isin(*k)
-    listed = lambda cond, value: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
-    money = is_key(*SWEPT[3:])
-    place = F.struct(F.array_position(F.array(*[F.lit(k) for k in SWEPT[3:]]), F.col("key")), F.col("ord"))
-    return swept.groupBy("external_id").agg(
-        listed(is_key(SWEPT[0]) & (F.coalesce("name", F.lit("cpv")) == "cpv") & (F.length(digits) >= 8), F.substring(digits, 1, 8)).alias("cpv"),
-        listed(is_key(SWEPT[1]) & (F.coalesce("name", F.lit("nuts")) == "nuts") & F.col("text").isNotNull(), F.upper("text")).alias("eforms_nuts"),
-        F.min_by(digits, F.when(is_key(SWEPT[2]) & (F.length(digits) == 9), F.col("ord"))).alias("siren"),
-        F.min_by(digits, F.when(is_key(SWEPT[2]) & (F.length(digits) == 14), F.col("ord"))).alias("siret"),
-        F.min_by(F.col("text").try_cast("double"), F.when(money & F.col("text").try_cast("double").isNotNull(), place)).alias("amount"),
-        F.min_by(F.upper("name"), F.when(money & (F.length("name") == 3), place)).alias("currency"),
-    )
-
-
 def department_nuts(c: Column) -> Column:
     """N-20."""
     code = F.upper(F.trim(c))
     return map_column(DEPARTMENTS)[F.when(code.rlike("^[0-9]$"), F.lpad(code, 2, "0")).otherwise(code)]
 
 
+def _picked(nodes: Column) -> Column:
+    """The first text of names or descriptions, in French if there is a choice."""
+    return F.get(F.filter(F.transform(nodes, lambda x: pick_lang(x["value"], F.lit("fr"))), lambda v: v.isNotNull()), F.lit(0))
+
+
+def _lots(nodes: Column) -> Column:
+    """N-29. Lots that have an id, in document order; codes and places are those of the lot's own projects."""
+
+    def lot(x):
+        projects = nd.children(nodes, x["ord"], nd.PROJECT)
+        inside = nd.within(nodes, projects)
+        text = lambda key: _picked(nd.children(nodes, F.get(projects, F.lit(0))["ord"], key))
+        return F.struct(nd.text_at(nodes, x["ord"], "cbc:ID").alias("lot_id"), text("cbc:Name").alias("title"), text("cbc:Description").alias("description"), nd.cpv_codes(inside).alias("cpv"), nd.nuts_codes(inside).alias("place_nuts"))
+
+    return F.filter(F.transform(nd.swept(nodes, nd.LOT), lot), lambda x: x["lot_id"].isNotNull())
+
+
 def boamp(raw: DataFrame) -> DataFrame:
-    """N-02. Canonical notices of BOAMP payloads; the embedded eForms text may be missing or broken."""
+    """N-02. Canonical notices of BOAMP payloads; the embedded eForms text may be missing or broken, flat fields then stand
+    alone. Every row is worked on by itself: versions of a notice are rows of their own, and nothing is shuffled."""
     p = F.col("payload")
     f = lambda k: F.col("_fields")[k]
-    deep = eforms(sweep(raw, "donnees"))
-    # Where embedded data is missing or holds none of the nodes, flat fields stand alone.
-    rows = raw.join(deep, "external_id", "left").withColumn("_fields", F.from_json(p, "map<string,string>"))
+    n, donnees = F.col("_nodes"), f("donnees")
+    legacy = lambda k: F.get_json_object(donnees, f"$.IDENTITE.{k}")
+    rows = raw.withColumn("_fields", F.from_json(p, "map<string,string>")).withColumn("_nodes", nd.nodes(donnees))
+    rows = rows.withColumns({"_project": nd.child(n, F.lit(0), nd.PROJECT), "_party": nd.child(n, F.get(nd.swept(n, nd.PARTY), F.lit(0))["ord"], "cac:Party"), "_ids": nd.company_ids(n), "_lots": _lots(n)})
+    rows = rows.withColumns({"_postal": nd.child(n, F.col("_party"), "cac:PostalAddress"), "_contact": nd.child(n, F.col("_party"), "cac:Contact"), "_archive": F.coalesce(F.get_json_object(donnees, "$.IDENTITE").startswith("{"), F.lit(False))})
+    at = lambda place, *keys: nd.text_at(n, F.col(place), *keys)
+    contact = {"email": at("_contact", "cbc:ElectronicMail"), "phone": at("_contact", "cbc:Telephone"), "website": F.when(F.col("_contact").isNotNull(), at("_party", "cbc:WebsiteURI"))}
+    address = {"street": at("_postal", "cbc:StreetName"), "postcode": at("_postal", "cbc:PostalZone"), "city": at("_postal", "cbc:CityName"), "nuts": at("_postal", nd.PLACE), "country": at("_postal", "cac:Country", "cbc:IdentificationCode")}
+    # An archive record's own mail and address stand in where there are none.
+    by_mail, by_place = F.col("_archive") & contact["email"].isNull() & (legacy("MEL") != ""), F.col("_archive") & address["city"].isNull()
+    old_contact, old_address = {"email": legacy("MEL"), "phone": F.coalesce(F.nullif(legacy("TEL"), F.lit("")), contact["phone"])}, {"street": legacy("ADRESSE"), "postcode": legacy("CP"), "city": legacy("VILLE")}
+    merged = lambda cond, old, new: F.struct(*[F.when(cond, old.get(k)).otherwise(v).alias(k) if k in old else F.when(~F.coalesce(cond, F.lit(False)), v).alias(k) for k, v in new.items()])
     labels = [F.lower(F.trim(f(k))) for k in ("nature_libelle", "nature_categorise_libelle", "sousnature_libelle")]
     holder = f("titulaire")
     named = F.coalesce(holder != "", F.lit(False)) & F.coalesce(~holder.isin("[]", "null"), F.lit(False))
@@ -217,19 +183,25 @@ def boamp(raw: DataFrame) -> DataFrame:
         return F.coalesce(map_column(BOAMP_PROCEDURES)[low], *[F.when(F.contains(low, F.lit(k)), v) for k, v in BOAMP_PROCEDURES.items()])
 
     depts = F.when(F.size(strings(f("code_departement_prestation"))) > 0, strings(f("code_departement_prestation"))).otherwise(strings(f("code_departement")))
-    nuts = F.array_union(F.coalesce("eforms_nuts", F.array().cast(STRINGS)), F.array_compact(F.transform(depts, department_nuts)))
+    nuts = F.array_union(nd.nuts_codes(n), F.array_compact(F.transform(depts, department_nuts)))
     one = first(holder)
     supplier = F.when(one.startswith("{"), F.coalesce(F.get_json_object(one, "$.denomination"), F.get_json_object(one, "$.nom"), F.get_json_object(one, "$.DENOMINATION"))).otherwise(one)
     siret = F.regexp_replace(F.coalesce(F.get_json_object(one, "$.siret"), F.get_json_object(one, "$.SIRET")), "[^0-9]", "")
     url = F.coalesce("url", f("url_avis"))
     known = F.array(*[F.lit(k) for k in BOAMP_FIELDS])
-    donnees = f("donnees")
+    project = lambda key: _picked(nd.children(n, F.col("_project"), key))
+    name = F.coalesce(F.nullif(f("nomacheteur"), F.lit("")), _picked(nd.children(n, nd.child(n, F.col("_party"), "cac:PartyName"), "cbc:Name")), legacy("DENOMINATION"))
+    lot_texts = lambda k: all_clean(F.transform("_lots", lambda x: x[k]))
+    rows = rows.withColumns({"_titles": lot_texts("title"), "_texts": lot_texts("description"), "_contacts": merged(by_mail, old_contact, contact), "_address": merged(by_place, old_address, address)})
+    lots = F.transform("_lots", lambda x, i: F.struct(x["lot_id"].alias("lot_id"), F.get("_titles", i).alias("title"), F.get("_texts", i).alias("description"), x["cpv"].alias("cpv"), x["place_nuts"].alias("place_nuts")))
     return rows.select(
         "source", "external_id", kind.alias("notice_type"), F.lit("FR").alias("country"), F.lit("fr").alias("language"),
-        clean_text(F.coalesce(f("nomacheteur"), F.get_json_object(donnees, "$.IDENTITE.DENOMINATION"))).alias("buyer_name"), "siren", "siret",
-        F.get_json_object(donnees, "$.IDENTITE.VILLE").alias("buyer_city"), F.coalesce(clean_text(f("objet")), F.concat(F.lit("BOAMP "), F.col("external_id"))).alias("title"),
-        F.nullif(F.array_join(strings(f("descripteur_libelle")), ", "), F.lit("")).alias("description"), F.coalesce("cpv", F.array().cast(STRINGS)).alias("cpv"), nuts.alias("nuts"),
-        F.coalesce(procedure(f("procedure_libelle")), procedure(f("type_procedure")), procedure(f("soustype_procedure"))).alias("procedure_type"), "amount", "currency",
+        clean_text(name).alias("buyer_name"), nd.first_of_length(F.col("_ids"), 9).alias("siren"), nd.first_of_length(F.col("_ids"), 14).alias("siret"),
+        F.col("_address.city").alias("buyer_city"), F.col("_address").alias("buyer_address"), F.col("_contacts").alias("buyer_contact"),
+        F.coalesce(clean_text(f("objet")), clean_text(project("cbc:Name")), F.concat(F.lit("BOAMP "), F.col("external_id"))).alias("title"),
+        F.coalesce(clean_text(project("cbc:Description")), F.nullif(F.array_join(strings(f("descripteur_libelle")), ", "), F.lit(""))).alias("description"),
+        nd.cpv_codes(n).alias("cpv"), nuts.alias("nuts"), lots.alias("lots"),
+        F.coalesce(procedure(f("procedure_libelle")), procedure(f("type_procedure")), procedure(f("soustype_procedure"))).alias("procedure_type"), nd.first_amount(n).alias("amount"), nd.first_currency(n).alias("currency"),
         plain_instant(f("dateparution")).alias("published_at"), plain_instant(f("datelimitereponse")).alias("deadline_at"), F.lit("Europe/Paris").alias("tz"),
         F.when(f("url_avis").isNotNull(), F.array(F.struct(F.lit("other").alias("kind"), F.lit("Avis BOAMP").alias("title"), f("url_avis").alias("url")))).otherwise(F.array().cast("array<struct<kind:string,title:string,url:string>>")).alias("documents"),
         F.when((kind == "result") & named, F.struct(clean_text(supplier).alias("supplier_name"), F.when(F.length(siret) >= 9, F.substring(siret, 1, 9)).alias("supplier_siren"))).alias("award"),
