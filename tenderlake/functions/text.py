@@ -4,29 +4,56 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-#: Blocks of characters with compatibility forms: Latin, Greek and Cyrillic letters, super- and subscripts, letter-like
-#: signs and numbers, enclosed ones, ligatures, full-width and mathematical forms.
-FOLDED = (*range(0x00A0, 0x0590), *range(0x1E00, 0x2000), *range(0x2070, 0x24FF), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800))
-
-
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility decomposition without marks is one other character, those, and the longer ones."""
-    pairs, longer = [], {}
-    for c in map(chr, FOLDED):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c:
-            pairs.append((c, base))
-        elif len(base) > 1:
-            longer[c] = base
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), longer
-
-
-ACCENTED, PLAIN, LIGATURES = _folds()
+#: Hangul syllables decompose into letters by arithmetic; they stay whole here, as no normal form keeps either.
+HANGUL = range(0xAC00, 0xD7A4)
+#: White space of texts: the Unicode property and the four separators of ASCII.
+BLANKS = r"[\p{IsWhite_Space}\x1C-\x1F]+"
+
+
+def _table(fold: Callable[[str], str]) -> tuple[str, str, dict[str, str], str]:
+    """Over all code points but surrogates and Hangul syllables, what ``fold`` changes: characters that become one other,
+    these others, those that become several, and a regular expression of those that vanish."""
+    one, longer, gone = [], {}, []
+    for k in range(0x110000):
+        if 0xD800 <= k < 0xE000 or k in HANGUL:
+            continue
+        c = chr(k)
+        to = fold(c)
+        if to == c:
+            continue
+        if len(to) == 1:
+            one.append((c, to))
+        elif to:
+            longer[c] = to
+        else:
+            gone.append(c)
+    return "".join(a for a, _ in one), "".join(b for _, b in one), longer, _class(gone)
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A character class of runs of code points."""
+    runs: list[list[int]] = []
+    for k in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def _spelled(c: Column, longer: dict[str, str]) -> Column:
+    """With the characters of ``longer`` replaced, in the texts that hold one."""
+    pieces = F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)")), lambda x: F.coalesce(F.from_json(F.lit(json.dumps(longer)), "map<string,string>")[x], x))
+    return F.when(c.rlike(_class(longer)), F.array_join(pieces, "")).otherwise(c)
+
+
+ACCENTED, PLAIN, LIGATURES, MARKS = _table(lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
+CASED, CASELESS, SHARP, _ = _table(str.casefold)
 #: Boilerplate of buyer names: legal forms and kinds of authority. Fixed values.
 BUYER_PHRASES = (
     "commune de", "commune d", "ville de", "ville d", "departement de", "departement du", "departement d",
@@ -37,14 +64,22 @@ BUYER_PHRASES = (
 
 
 def strip_accents(c: Column) -> Column:
-    """D-01. Letters without their accents, ligatures and other compatibility forms as plain letters; characters that
-    don't decompose (ø, ß, œ) stay."""
-    pieces = F.transform(F.split(c, ""), lambda x: F.coalesce(F.from_json(F.lit(json.dumps(LIGATURES)), "map<string,string>")[x], x))
-    some = F.when(c.rlike("[" + "".join(LIGATURES) + "]"), F.array_join(pieces, "")).otherwise(c)
-    plain = F.translate(F.regexp_replace(some, "[\\u0300-\\u036f]", ""), ACCENTED, PLAIN)
+    """D-01. Compatibility decomposition (NFKD) without combining marks: letters without accents, ligatures, square and
+    full-width forms as plain letters; characters that don't decompose (ø, ß, œ) stay."""
+    plain = F.translate(F.regexp_replace(_spelled(c, LIGATURES), MARKS, ""), ACCENTED, PLAIN)
     return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)  # most texts are ASCII and need none of this
 
 
+def casefolded(c: Column) -> Column:
+    """Full case folding: lower case, sharp s as ss, final sigma as sigma and their like."""
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(_spelled(c, SHARP), CASED, CASELESS)).otherwise(F.lower(c))
+
+
+def collapsed(c: Column) -> Column:
+    """White space of any kind as one blank, trimmed, without regard to case."""
+    return casefolded(F.trim(F.regexp_replace(c, BLANKS, " ")))
+
+
 def normalize_text(c: Column) -> Column:
     """D-02. Lower case without accents, runs of anything but a-z and 0-9 as one blank, trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))

@@ -145,6 +145,14 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.find_quotes(quotes, docs)
 
 
+def page_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-06, E-05. Of every turn of a conversation a piece in capitals with no-break spaces, said to be up to two pages off."""
+    pages = t.pages(spark, sf_dir)
+    piece = F.upper(F.replace(F.substring("text", 4, 60), F.lit(" "), F.lit("\u00a0\u202f")))
+    quotes = pages.select(F.concat_ws("-", "doc_id", "page").alias("quote_id"), "doc_id", (F.col("page") + F.pmod(F.col("doc_id") + F.col("page"), F.lit(4)) - 1).cast("int").alias("page"), piece.alias("quote"))
+    return d.check_citations(quotes, pages, tolerance=1)
+
+
 def _eval_items(spark, sf_dir):
     x = t.read(spark, sf_dir, "labels").join(t.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     elim = lambda c: F.when(c, "eliminatory").otherwise("formal")
@@ -353,6 +361,7 @@ SQL = {
     "marked_text": "SELECT conv_id AS doc_id, string_agg('[[page:' || (turn + 1) || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS marked, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) AS markers FROM conversations GROUP BY conv_id",
     "page_windows": "WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) + length('[[page:' || (turn + 1) || ']]') + 2 AS cost FROM conversations), r AS (SELECT conv_id, turn, cost AS used, 0 AS w FROM p WHERE turn = 0 UNION ALL SELECT p.conv_id, p.turn, CASE WHEN used + cost <= 2000 THEN used + cost ELSE cost END, CASE WHEN used + cost <= 2000 THEN w ELSE w + 1 END FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.turn + 1) SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, CAST(w AS INTEGER) AS \"window\" FROM r",
     "citation_check": r"WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), q AS (SELECT 'whole ' || item_id AS quote_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS q FROM benchmark UNION ALL SELECT 'start ' || item_id, array_to_string(string_split(text, ' ')[1:12], ' ') FROM benchmark), n AS (SELECT quote_id, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS q FROM q) SELECT quote_id, count(doc_id) > 0 AS valid, min(doc_id) AS doc_id FROM n LEFT JOIN d ON n.q <> '' AND contains(d.t, n.q) GROUP BY quote_id",
+    "page_citations": r"WITH p AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM conversations), q AS (SELECT doc_id || '-' || page AS quote_id, doc_id, page + (doc_id + page) % 4 - 1 AS page, trim(regexp_replace(lower(substr(text, 4, 60)), '\s+', ' ', 'g')) AS q FROM p WHERE substr(text, 4, 60) <> '') SELECT quote_id, coalesce(bool_or(q.q <> '' AND contains(p.t, q.q)), false) AS valid FROM q LEFT JOIN p ON p.doc_id = q.doc_id AND p.page BETWEEN q.page - 1 AND q.page + 1 GROUP BY quote_id",
     "case_metrics": f"WITH {ITEMS} SELECT * FROM x",
     "eval_metrics_pooled": f"WITH {ITEMS}, s AS (SELECT metric, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CASE metric WHEN 'requirement_recall' THEN 0.9::DOUBLE WHEN 'requirement_precision' THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS gate FROM x GROUP BY metric) SELECT *, round(CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END, 6) AS value, CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END >= gate AS passed FROM s",
     "trigram_search": "WITH p AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title FROM documents), g AS (SELECT id, GRAMS AS g FROM p), b AS (SELECT item_id AS id, text AS title FROM benchmark), q AS (SELECT id AS query, GRAMS AS g FROM b), s AS (SELECT query, id, round(len(list_intersect(g.g, q.g))::DOUBLE / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g)))::DOUBLE, 6) AS score FROM g, q WHERE len(g.g) >= 0.2 * len(q.g) AND len(q.g) >= 0.2 * len(g.g) AND len(g.g) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5",
@@ -401,4 +410,4 @@ SQL["link_candidates"] = LINKS + ", " + ANCHORS + """, o AS (SELECT *, message_i
  fr AS (SELECT *, row_number() OVER (PARTITION BY org_id, url ORDER BY message_id, pos) AS k1 FROM o), fresh AS (SELECT org_id, url, message_id, pos FROM fr WHERE k1 = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.org_id = fr.org_id AND st.url = fr.url)),
  nn AS (SELECT *, count(*) OVER (PARTITION BY message_id) AS n, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS i FROM fresh)
  SELECT org_id, nn.url, nn.message_id, coalesce(label, CASE WHEN n > 1 THEN printf('Alert %d (%d/%d)', nn.message_id, i, n) ELSE 'Alert ' || nn.message_id END) AS title FROM nn LEFT JOIN lab ON lab.message_id = nn.message_id AND lab.url = nn.url"""
-QUERIES = {f.__name__: f for f in (inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
+QUERIES = {f.__name__: f for f in (page_citations, inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
