@@ -33,9 +33,8 @@ def matches(new: DataFrame, old: DataFrame, *, vectors: bool = True) -> DataFram
     """
     own = dedupe.verdicts(new, dedupe.candidate_pairs(new, vectors=vectors)).select("a", "b", F.lit(False).alias("stored"), "reason", "confidence")
     pairs = _through(new, old, "pubs").unionByName(_through(new, old, "xrefs"))
-    rules = [("buyer", dedupe.BUYER_KEY, dedupe.NEAR_S)] + ([("embedding", dedupe.VECTOR_KEY, dedupe.VECTOR_NEAR_S)] if vectors else [])
-    for needed, key, width in rules:
-        pairs = pairs.unionByName(dedupe._near(new.filter(F.col(needed).isNotNull()), old.filter(F.col(needed).isNotNull()), [F.col(c) for c in key], width))
+    pairs = pairs.unionByName(dedupe._near(new.filter("buyer is not null"), old.filter("buyer is not null"), [F.col(c) for c in dedupe.BUYER_KEY], dedupe.NEAR_S))
+    pairs = pairs.unionByName(dedupe._alike(new, old)) if vectors else pairs
     return own.unionByName(dedupe.verdicts(new, pairs.distinct(), old).select("a", "b", F.lit(True).alias("stored"), "reason", "confidence"))
 
 
