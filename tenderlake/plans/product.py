@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.ids import request_key
 from ..operators import documents as d
-from ..operators import outlook, search, worklists
+from ..operators import dedupe, outlook, search, vectors, worklists
 from ..sources import tables as t
 from ..sources.dims import LEAD_TIMES
+from ..sources.storage import written
 from .matching import BEST_SQL, PAIRS_SQL, scored
 
 
+#: Numbers of a vector in the embeddings table.
+VECTOR_DIMS = 64
+
+
 def _matches(spark, sf_dir):
     from ..operators.scoring import best_per_org
 
@@ -273,6 +278,28 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.trigram_search(t.publications(spark, sf_dir), asked, 5, 0.2)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-03. The index over all vectors, asked by ids divisible by 50: how many it holds and answers, and whether recall at 10
+    against the exact search is 0.9 or more with the probes that it chose."""
+    v = t.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+    index = vectors.VectorIndex(v, VECTOR_DIMS)
+    got = index.search(asked, 10, index.probes_for(asked, 10)).select("query", "id", F.lit(1).alias("found"))
+    exact = search.nearest(v, asked, 10).select("query", "id")
+    out = exact.join(got, ["query", "id"], "left").agg(F.count_distinct("query").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+    return out.select("queries", "reached", F.lit(index.rows.count()).alias("indexed"))
+
+
+def vector_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-10, rule 3. A notice per vector and one with a distorted copy of it, by country, some days apart."""
+    v = t.read(spark, sf_dir, "embeddings")
+    k = F.col("vec_id")
+    made = lambda i, vec, hours: v.select((2 * k + i).alias("id"), F.lit("competition").alias("notice_type"), F.element_at(F.array(F.lit("FR"), F.lit("BE"), F.lit("LU")), (k % 3 + 1).cast("int")).alias("country"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("buyer_name"), F.lit(None).cast("string").alias("buyer_siren"), F.timestamp_seconds(1_704_067_200 + k % 96 * 1800 + hours * 3600).alias("deadline_at"), F.array(F.struct(F.lit("s").alias("source"), (2 * k + i).cast("string").alias("external_id"))).alias("source_refs"), vec.cast("array<float>").alias("embedding"))
+    distorted = F.transform("embedding", lambda x, i: x.cast("double") * (1 + 0.1 * ((k + i) % 40)))
+    p = written(dedupe.prepared(made(0, F.col("embedding"), F.lit(0)).unionByName(made(1, distorted, k % 50))), "prepared")
+    return dedupe.verdicts(p, dedupe.candidate_pairs(p)).select("a", "b", "reason", "confidence")
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = t.read(spark, sf_dir, "embeddings")
     return search.nearest(v.select(F.col("vec_id").alias("id"), "embedding"), v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 5)
@@ -365,6 +392,8 @@ SQL = {
     "case_metrics": f"WITH {ITEMS} SELECT * FROM x",
     "eval_metrics_pooled": f"WITH {ITEMS}, s AS (SELECT metric, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, CASE metric WHEN 'requirement_recall' THEN 0.9::DOUBLE WHEN 'requirement_precision' THEN 0.85::DOUBLE ELSE 0.95::DOUBLE END AS gate FROM x GROUP BY metric) SELECT *, round(CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END, 6) AS value, CASE WHEN total > 0 THEN matched::DOUBLE / total::DOUBLE ELSE 1.0 END >= gate AS passed FROM s",
     "trigram_search": "WITH p AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title FROM documents), g AS (SELECT id, GRAMS AS g FROM p), b AS (SELECT item_id AS id, text AS title FROM benchmark), q AS (SELECT id AS query, GRAMS AS g FROM b), s AS (SELECT query, id, round(len(list_intersect(g.g, q.g))::DOUBLE / (len(g.g) + len(q.g) - len(list_intersect(g.g, q.g)))::DOUBLE, 6) AS score FROM g, q WHERE len(g.g) >= 0.2 * len(q.g) AND len(q.g) >= 0.2 * len(g.g) AND len(g.g) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= 0.2) SELECT * FROM r WHERE rank <= 5",
+    "vector_index": "SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, true AS reached, count(*) AS indexed FROM embeddings",
+    "vector_verdicts": "WITH n AS (SELECT 2 * vec_id AS id, vec_id AS k, 1704067200 + vec_id % 96 * 1800 AS at_, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL SELECT 2 * vec_id + 1, vec_id, 1704067200 + vec_id % 96 * 1800 + vec_id % 50 * 3600, CAST(CAST(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + 0.1::DOUBLE * ((vec_id + i - 1) % 40))) AS FLOAT[]) AS DOUBLE[]) FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM n a JOIN n b ON a.id < b.id AND a.k % 3 = b.k % 3 AND abs(a.at_ - b.at_) <= 86400) SELECT a, b, 'embedding' AS reason, round(c, 3) AS confidence FROM p WHERE c >= 0.92",
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5",
     "live_deadlines": f"WITH {t.NOTICES_SQL} SELECT notice_id, deadline_at FROM n_notices WHERE deadline_at > TIMESTAMP '{t.NOW_O}'",
     "renewal_window": f"WITH {t.AWARDS_SQL}, x AS (SELECT award_id, CAST(signed_at + to_months(duration_months) AS DATE) AS ends_at FROM n_awards) SELECT * FROM x WHERE ends_at BETWEEN DATE '1998-09-01' AND DATE '1999-12-01'",
@@ -410,4 +439,4 @@ SQL["link_candidates"] = LINKS + ", " + ANCHORS + """, o AS (SELECT *, message_i
  fr AS (SELECT *, row_number() OVER (PARTITION BY org_id, url ORDER BY message_id, pos) AS k1 FROM o), fresh AS (SELECT org_id, url, message_id, pos FROM fr WHERE k1 = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.org_id = fr.org_id AND st.url = fr.url)),
  nn AS (SELECT *, count(*) OVER (PARTITION BY message_id) AS n, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS i FROM fresh)
  SELECT org_id, nn.url, nn.message_id, coalesce(label, CASE WHEN n > 1 THEN printf('Alert %d (%d/%d)', nn.message_id, i, n) ELSE 'Alert ' || nn.message_id END) AS title FROM nn LEFT JOIN lab ON lab.message_id = nn.message_id AND lab.url = nn.url"""
-QUERIES = {f.__name__: f for f in (page_citations, inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
+QUERIES = {f.__name__: f for f in (page_citations, vector_index, vector_verdicts, inbox_page_keyset, match_state_after_events, rejected_transitions, pursue_insert_absent, worklist_by_deadline, counts_by_stage, org_counters, deadline_bands, vault_reclassify, vault_health_cube, reference_suggestions, due_deadline_alerts, escalations, pending_delivery_topn, digest_rows, usage_monthly, request_dedup, answer_reuse, page_clean, ocr_summary, marked_text, page_windows, citation_check, case_metrics, eval_metrics_pooled, requirement_match, similar_requirements, two_pass_union, admin_exact_match, digest_eligibility, alert_recipients, visible_users, page_links, link_labels, links_boilerplate, recognised_links, link_candidates, fulltext_topk, trigram_search, vector_topk, live_deadlines, renewal_window, threshold_asof, missing_documents, requirement_diff, supplier_profile, decision_funnel, planned_dates, compliance_coverage, time_buckets)}
