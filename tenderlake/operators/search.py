@@ -14,15 +14,36 @@ from ..sources.storage import written
 FIELD_WEIGHTS = {"title": 1.0, "buyer_name": 0.4, "description": 0.2}
 
 
-def term_index(notices: DataFrame) -> DataFrame:
-    """X-01. (id, term, weight): a term's weight is the sum of its fields' weights."""
-    words = lambda c: F.array_distinct(F.split(normalize_text(F.col(c)), " "))
+# Suffix rules, each over all words of a normal form at once: plurals, then frequent endings. Stems of one rule feed the next.
+ENGLISH = ((r"([a-z]{2,})ies\b", "$1y"), (r"([a-z]{2,}[^sui ])s\b", "$1"), (r"([a-z]{3,})(?:ing|ed|ly)\b", "$1"))
+FRENCH = ((r"([a-z]{2,})eaux\b", "$1eau"), (r"([a-z]{2,}[^e ])aux\b", "$1al"), (r"([a-z]{3,})[sx]\b", "$1"), (r"([a-z]{3,})(?:ation|ement|euse|trice|teur)\b", "$1"), (r"([a-z]{3,})e\b", "$1"))
+PLAIN_WORDS: tuple = ((),)
+#: Postings that the first look at a query reads, beside its heaviest list.
+FIRST_POSTINGS = 2000
 
-    def weighted(c: str, w: float) -> Column:
-        return F.transform(words(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
-    rows = F.concat(*[weighted(c, w) for c, w in FIELD_WEIGHTS.items()])
-    return notices.select("id", F.inline(rows)).filter("term <> ''").groupBy("id", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
+def stemmed(normal: Column, rules: tuple) -> Column:
+    for pattern, to in rules:
+        normal = F.regexp_replace(normal, pattern, to)
+    return normal
+
+
+def terms(c: Column, stems: tuple = PLAIN_WORDS) -> Column:
+    """Distinct words of the normal form, under each of the rule sets: a word has as many terms as it has different stems."""
+    normal = F.array(normalize_text(c))  # in a lambda it is bound once
+    words = F.get(F.transform(normal, lambda x: F.concat(*[F.split(stemmed(x, rules), " ") for rules in stems])), F.lit(0))
+    return F.array_distinct(F.array_remove(words, ""))
+
+
+def term_index(notices: DataFrame, stems: tuple = PLAIN_WORDS) -> DataFrame:
+    """X-01. (id, term, weight): a term's weight is the sum of its fields' weights. An id is one row of ``notices``; no shuffle."""
+    rows = notices.select("id", *[terms(F.col(c), stems).alias(f"_{c}") for c in FIELD_WEIGHTS])
+    small, (last, light) = list(FIELD_WEIGHTS.items())[:-1], list(FIELD_WEIGHTS.items())[-1]
+    few = F.array_distinct(F.concat(*[F.col(f"_{c}") for c, _ in small]))
+    weight = lambda x: sum((F.when(F.array_contains(F.col(f"_{c}"), x), F.lit(w)).otherwise(F.lit(0.0)) for c, w in FIELD_WEIGHTS.items()), F.lit(0.0))
+    own = F.transform(few, lambda x: F.struct(x.alias("term"), F.round(weight(x), 6).alias("weight")))
+    rest = F.transform(F.array_except(F.col(f"_{last}"), few), lambda x: F.struct(x.alias("term"), F.lit(light).alias("weight")))
+    return rows.select("id", F.inline(F.concat(own, rest)))
 
 
 def top(found: DataFrame, k: int, *, by: str = "query", score: str = "score") -> DataFrame:
@@ -30,12 +51,34 @@ def top(found: DataFrame, k: int, *, by: str = "query", score: str = "score") ->
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def fulltext(index: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
-    """Top k by the sum of weight times log(1 + n / df), over an equi-join on terms. Queries are (query, text)."""
-    asked = queries.select("query", F.explode(F.array_distinct(F.split(normalize_text(F.col("text")), " "))).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = asked.join(df, "term").join(index, "term")
-    return top(hits.groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * F.log(1 + F.lit(float(n)) / F.col("df"))), 6).alias("score")), k)
+def fulltext(index: DataFrame, queries: DataFrame, n: int, k: int, stems: tuple = PLAIN_WORDS) -> DataFrame:
+    """Top k by the sum of weight times log(1 + n / df). Queries are (query, text). Exact.
+
+    A term's postings are split by weight; all postings of such a list add the same to a score. A first look at the heaviest
+    lists of a query gives a score that its k-th answer reaches at least. The lightest lists that together stay below it
+    can't make an answer by themselves: the others are joined by term, and of what they find only the documents that can
+    still reach the score are looked up in the light lists. Frequent terms are light, so that their long lists aren't joined.
+    """
+    index = written(index, "terms")
+    asked = queries.select("query", F.explode(terms(F.col("text"), stems)).alias("term"))
+    sizes = index.groupBy("term", "weight").agg(F.count("*").alias("n")).join(asked.select("term").distinct(), "term", "left_semi")
+    sizes = sizes.withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+    lists = asked.join(sizes, "term").select("query", "term", "weight", "n", (F.col("weight") * F.log(1 + F.lit(float(n)) / F.col("df"))).alias("adds"))
+    heavy = Window.partitionBy("query").orderBy(F.desc("adds"), "term")
+    grown = F.col("adds") - F.lag("adds", 1, 0.0).over(Window.partitionBy("query", "term").orderBy("adds"))
+    lists = lists.withColumns({"_before": F.coalesce(F.sum("n").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_grown": grown})
+    # What a document can have from this list and all lighter ones: the heaviest of each term.
+    lists = written(lists.withColumn("bound", F.sum("_grown").over(Window.partitionBy("query").orderBy("adds", "term").rowsBetween(Window.unboundedPreceding, 0))), "lists")
+    summed = lambda some: some.join(index, ["term", "weight"]).groupBy("query", "id").agg(F.sum("adds").alias("score"))
+    first = summed(lists.filter(F.col("_before") < FIRST_POSTINGS).select("query", "term", "weight", "adds"))
+    reached = first.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == k).select("query", (F.col("score") - 1e-5).alias("least"))
+    lists = written(lists.join(reached, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("light", F.col("bound") < F.col("least")), "split")
+    rest = lists.groupBy("query").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("light"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    found = summed(lists.filter("not light").select("query", "term", "weight", "adds")).join(rest, "query").filter(F.col("score") + F.col("rest") >= F.col("least"))
+    found = written(found.select("query", "id", "score"), "found")
+    light = found.select("query", "id").join(index, "id").join(lists.filter("light").select("query", "term", "weight", "adds"), ["query", "term", "weight"])
+    whole = found.unionByName(light.select("query", "id", F.col("adds").alias("score"))).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return top(whole, k)
 
 
 def _ranked(rows: DataFrame, grams: str = "g") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators at inputs that the driver's tables lack, against plain Python."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -155,3 +156,39 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+def test_stems_and_pruned_search(spark):
+    """The terms of some words, and the pruned search against every score; frequent words, ties and queries without an answer."""
+    words = {
+        "travaux": {"traval", "travaux"}, "bureaux": {"bureau", "bureaux"}, "rénovation": {"renov", "renovation"}, "fournitures": {"fournitur", "fourniture"}, "cities": {"citi", "city"},
+        "cleaning": {"cleaning", "clean"}, "bus": {"bus"}, "glass": {"glas", "glass"}, "ab": {"ab"}, "": set(), None: set(),
+    }
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", search.terms(F.col("w"), (search.FRENCH, search.ENGLISH)).alias("t")).collect()
+    assert {r.w: set(r.t) for r in got} == words
+    rnd = random.Random(8)
+    vocab = [f"w{'x' * (i % 3)}{i}" for i in range(60)]
+    text = lambda n: " ".join(rnd.choice(["the", "of", "and", *vocab[: rnd.randint(1, 60)]]) for _ in range(n))
+    docs = [(i, text(rnd.randint(0, 5)), rnd.choice(["the town", "city", None]), text(rnd.randint(0, 40))) for i in range(300)] + [(900, None, None, None), (901, "the", "the", "the")]
+    asked = [(i, text(rnd.randint(1, 8))) for i in range(40)] + [(90, "of the and"), (91, "nothing here"), (92, ""), (93, None)]
+    weights = {}
+    for i, *fields in docs:
+        for f, w in zip(fields, (1.0, 0.4, 0.2), strict=True):
+            for term in set((f or "").split()):
+                weights[i, term] = weights.get((i, term), 0) + w
+    df = {}
+    for _, term in weights:
+        df[term] = df.get(term, 0) + 1
+    want = set()
+    for q, x in asked:
+        score = {}
+        for (i, term), w in weights.items():
+            if term in set((x or "").split()):
+                score[i] = score.get(i, 0) + round(w, 6) * math.log(1 + len(docs) / df[term])
+        want |= {(q, i, round(s, 4)) for i, s in sorted(((i, round(s, 6)) for i, s in score.items()), key=lambda z: (-z[1], z[0]))[:5]}
+    notices = spark.createDataFrame(docs, "id int, title string, buyer_name string, description string")
+    for first in (2000, 3):
+        search.FIRST_POSTINGS = first
+        found = search.fulltext(search.term_index(notices), spark.createDataFrame(asked, "query int, text string"), len(docs), 5).collect()
+        assert {(r.query, r.id, round(r.score, 4)) for r in found} == want
+    search.FIRST_POSTINGS = 2000
