@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BEYOND_ASCII = "[^\\x00-\\x7F]"
 #: Hangul syllables decompose into letters by arithmetic; they stay whole here, as no normal form keeps either.
 HANGUL = range(0xAC00, 0xD7A4)
 #: White space of texts: the Unicode property and the four separators of ASCII.
@@ -36,14 +37,14 @@ def _table(fold: Callable[[str], str]) -> tuple[str, str, dict[str, str], str]:
 
 
 def _class(chars: Iterable[str]) -> str:
-    """A character class of runs of code points."""
+    """A character class of runs of code points beyond ASCII; ASCII characters fail it at the first look."""
     runs: list[list[int]] = []
     for k in sorted(map(ord, chars)):
         if runs and runs[-1][1] == k - 1:
             runs[-1][1] = k
         else:
             runs.append([k, k])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+    return f"[{BEYOND_ASCII}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]]"
 
 
 def _spelled(c: Column, longer: dict[str, str]) -> Column:
@@ -66,13 +67,15 @@ BUYER_PHRASES = (
 def strip_accents(c: Column) -> Column:
     """D-01. Compatibility decomposition (NFKD) without combining marks: letters without accents, ligatures, square and
     full-width forms as plain letters; characters that don't decompose (ø, ß, œ) stay."""
-    plain = F.translate(F.regexp_replace(_spelled(c, LIGATURES), MARKS, ""), ACCENTED, PLAIN)
-    return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)  # most texts are ASCII and need none of this
+    plain = lambda x: F.when(x.rlike(BEYOND_ASCII), F.regexp_replace(_spelled(x, LIGATURES), MARKS, "")).otherwise(x)
+    # Most texts are ASCII, and most others once single letters are translated. In a lambda these are bound once.
+    translated = F.transform(F.array(F.translate(c, ACCENTED, PLAIN)), plain)
+    return F.when(c.rlike(BEYOND_ASCII), F.get(translated, F.lit(0))).otherwise(c)
 
 
 def casefolded(c: Column) -> Column:
     """Full case folding: lower case, sharp s as ss, final sigma as sigma and their like."""
-    return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(_spelled(c, SHARP), CASED, CASELESS)).otherwise(F.lower(c))
+    return F.when(c.rlike(BEYOND_ASCII), F.translate(_spelled(c, SHARP), CASED, CASELESS)).otherwise(F.lower(c))
 
 
 def collapsed(c: Column) -> Column:

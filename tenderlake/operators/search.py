@@ -74,9 +74,14 @@ def fulltext(index: DataFrame, queries: DataFrame, n: int, k: int, stems: tuple
     reached = first.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == k).select("query", (F.col("score") - 1e-5).alias("least"))
     lists = written(lists.join(reached, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("light", F.col("bound") < F.col("least")), "split")
     rest = lists.groupBy("query").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("light"), F.col("bound"))), F.lit(0.0)).alias("rest"))
-    found = summed(lists.filter("not light").select("query", "term", "weight", "adds")).join(rest, "query").filter(F.col("score") + F.col("rest") >= F.col("least"))
+    found = written(summed(lists.filter("not light").select("query", "term", "weight", "adds")), "heard")
+    # The k-th score without the light lists is a better bound for what they may still add.
+    kth = found.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == k).select("query", (F.col("score") - 1e-5).alias("_kth"))
+    found = found.join(rest, "query").join(kth, "query", "left").filter(F.col("score") + F.col("rest") >= F.greatest("least", F.coalesce("_kth", F.lit(0.0))))
     found = written(found.select("query", "id", "score"), "found")
-    light = found.select("query", "id").join(index, "id").join(lists.filter("light").select("query", "term", "weight", "adds"), ["query", "term", "weight"])
+    light = lists.filter("light").select("query", "term", "weight", "adds")
+    held = index.join(light.select("term", "weight").distinct(), ["term", "weight"], "left_semi")
+    light = found.select("query", "id").join(held, "id").join(light, ["query", "term", "weight"])
     whole = found.unionByName(light.select("query", "id", F.col("adds").alias("score"))).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
     return top(whole, k)
 
