@@ -10,6 +10,7 @@ from ..operators import dedupe, documents, landing, normalise, placement, scorin
 from ..sources import dims
 from ..sources import tables as t
 from ..sources.storage import new_folder
+from ..sources.upsert import UpsertTable
 from ..streaming import jobs
 from . import ingest, product
 
@@ -190,6 +191,17 @@ def stream_messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(jobs.messages_once(rows, "60 days"), spark).select("message_id")
 
 
+def notice_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-14. The raw notices in two batches that share a third, the second one twice: the table's state."""
+    raw = t.raw(spark, sf_dir).select("source", "external_id", "event_id", "content_hash", "fetched_at")
+    most = raw.agg(F.max("event_id")).first()[0] or 0
+    table = UpsertTable(spark, new_folder(spark, "notices"), raw.schema, ("source", "external_id"))
+    batches = [raw.filter(F.col("event_id") * 3 < 2 * most), raw.filter(F.col("event_id") * 3 >= most)]
+    for number, rows in ((1, batches[0]), (2, batches[1]), (2, batches[1])):
+        table.upsert(rows, number, F.timestamp_seconds(F.lit(1_700_000_000 + number)), F.struct("fetched_at", "event_id"))
+    return table.read()
+
+
 def stream_late_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-03, D-12. Notices arrive in three batches, by thirds of their ids: duplicates lie within a batch and across batches."""
     n = ingest._publication_notices(spark, sf_dir).withColumn("notice_type", F.lit("competition"))
@@ -236,6 +248,7 @@ SQL = {
     "refused_rows": f"WITH {t.EVIDENCE_SQL} SELECT org_id, count(*) AS n FROM n_evidence WHERE org_id <> 7 GROUP BY org_id",
     "stream_volumes": "WITH w AS (SELECT event_type AS source, ts, unnest(range(0, 7)) AS k FROM events), x AS (SELECT source, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS since FROM w) SELECT since, source, count(*) AS n FROM x WHERE since + INTERVAL 7 DAY <= TIMESTAMP '2024-01-28' GROUP BY ALL",
     "stream_messages_once": "SELECT DISTINCT event_id // 2 AS message_id FROM events",
+    "notice_upsert": ingest.W_RAW + ", m AS (SELECT *, (SELECT max(event_id) FROM n_raw) AS most FROM n_raw), b AS (SELECT *, 1 AS batch FROM m WHERE event_id * 3 < 2 * most UNION ALL SELECT *, 2 FROM m WHERE event_id * 3 >= most), l AS (SELECT *, min(batch) OVER (PARTITION BY source, external_id) AS c, max(batch) OVER (PARTITION BY source, external_id) AS u, row_number() OVER (PARTITION BY source, external_id ORDER BY batch DESC, fetched_at DESC, event_id DESC) AS k FROM b) SELECT source, external_id, event_id, content_hash, fetched_at, make_timestamp((1700000000::BIGINT + c) * 1000000) AS created_at, make_timestamp((1700000000::BIGINT + u) * 1000000) AS updated_at FROM l WHERE k = 1",
     "stream_late_duplicates": "WITH " + PLACED_LATE,
 }
-QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, stream_late_duplicates)}
+QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, notice_upsert, stream_late_duplicates)}
