@@ -191,6 +191,23 @@ def stream_messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(jobs.messages_once(rows, "60 days"), spark).select("message_id")
 
 
+def stream_deadline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-06. Every tender is made, moved by eleven days two weeks before its deadline, and moved again; then some are submitted."""
+    x = t.tenders(spark, sf_dir).filter("deadline_at is not null")
+    days = lambda n: F.expr(f"interval {n} days")
+    k = F.col("tender_id")
+    change = lambda at, deadline, stage: F.struct(at.alias("at"), deadline.alias("deadline_at"), stage.alias("stage"))
+    due, opened = F.col("deadline_at") + days(40), F.lit("analysis")
+    changes = F.array(
+        change(F.col("created_at"), due, opened), change(due - days(14), due + days(11), opened), change(due - days(1), due + days(5), opened),
+        change(due + days(2), due + days(5), F.when(k % 3 == 0, "submitted").otherwise(opened)),
+    )
+    path, target = new_folder(spark, "changes"), new_folder(spark, "alerts")
+    x.select("org_id", "tender_id", F.inline(changes)).repartitionByRange(4, "at").write.parquet(path)
+    jobs.alerts_stream(jobs.read_stream(spark, path, files=100)).writeStream.format("parquet").option("path", target).option("checkpointLocation", new_folder(spark, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("tender_id").alias("tenders"))
+
+
 def notice_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-14. The raw notices in two batches that share a third, the second one twice: the table's state."""
     raw = t.raw(spark, sf_dir).select("source", "external_id", "event_id", "content_hash", "fetched_at")
@@ -251,4 +268,4 @@ SQL = {
     "notice_upsert": ingest.W_RAW + ", m AS (SELECT *, (SELECT max(event_id) FROM n_raw) AS most FROM n_raw), b AS (SELECT *, 1 AS batch FROM m WHERE event_id * 3 < 2 * most UNION ALL SELECT *, 2 FROM m WHERE event_id * 3 >= most), l AS (SELECT *, min(batch) OVER (PARTITION BY source, external_id) AS c, max(batch) OVER (PARTITION BY source, external_id) AS u, row_number() OVER (PARTITION BY source, external_id ORDER BY batch DESC, fetched_at DESC, event_id DESC) AS k FROM b) SELECT source, external_id, event_id, content_hash, fetched_at, make_timestamp((1700000000::BIGINT + c) * 1000000) AS created_at, make_timestamp((1700000000::BIGINT + u) * 1000000) AS updated_at FROM l WHERE k = 1",
     "stream_late_duplicates": "WITH " + PLACED_LATE,
 }
-QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, notice_upsert, stream_late_duplicates)}
+QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, notice_upsert, stream_deadline_alerts, stream_late_duplicates)}

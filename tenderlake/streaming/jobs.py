@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.dates import working_days_before
 from ..operators.landing import RAW_KEY
 from ..operators.placement import Store
+from ..operators.worklists import CLOSED, OFFSETS
 from ..shipping import ship
 
 VERSION_SCHEMA = "source string, external_id string, event_id long, version int, amended boolean"
@@ -87,6 +89,70 @@ def late_duplicates(rows: DataFrame, store: Store, checkpoint: str, *, vectors:
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+ALERT_SCHEMA = "org_id {org}, tender_id {tender}, offset int, kind string, at timestamp"
+
+
+def alerts_stream(changes: DataFrame, *, every: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """S-06. The alerts that ``worklists.due_alerts`` gives when it is run at every full ``every`` since the epoch, each alert
+    once: (org_id, tender_id, offset, kind, at), from changes of tenders (org_id, tender_id, stage, deadline_at, at).
+
+    Each tender has one event-time timer, at the next tick where an offset is due; a change of its deadline or stage sets it
+    anew. Changes wait in the state until the watermark has passed them, so that they may come in any order within
+    ``lateness``. A tick fires once the watermark has passed it. Of a tender the last change, the offsets sent and the
+    waiting changes are kept, some hundred bytes. A null deadline has no alerts; changes without a time are left out.
+    """
+    ship(changes.sparkSession)
+    step_ms = int(pd.Timedelta(every).total_seconds() * 1000)
+    millis = lambda x: F.ceil(F.unix_micros(x) / 1000)
+    due = F.array(*[millis(working_days_before(F.col("deadline_at"), F.lit(n))) for n in OFFSETS])
+    rows = changes.filter("at is not null").withWatermark("at", lateness).select(
+        "org_id", "tender_id", F.col("stage").isin(*CLOSED).alias("closed"), millis("deadline_at").alias("deadline"), F.when(F.col("deadline_at").isNotNull(), due).alias("due"), F.unix_millis("at").alias("ms"), "at"
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def fire(now: dict, until: int, out: list) -> int | None:
+        """Alerts of the ticks after now["tick"] up to ``until``; the next tick that has one, if nothing changes."""
+        tick = (now["tick"] // step_ms + 1) * step_ms
+        while not now["closed"] and now["due"] is not None:
+            ahead = [(at, n) for n, at in zip(OFFSETS, now["due"], strict=True) if n not in now["sent"]]
+            if not ahead:
+                return None
+            tick = max(tick, -(-min(ahead)[0] // step_ms) * step_ms)
+            if now["deadline"] <= tick:
+                return None
+            if tick > until:
+                return tick
+            offset = max(n for at, n in ahead if at <= tick)
+            now["sent"].append(offset)
+            out.append((tick, offset))
+            tick += step_ms
+        return None
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = json.loads(state.get[0]) if state.exists else {"tick": -1, "closed": True, "deadline": 0, "due": None, "sent": [], "waiting": []}
+        for frame in frames:
+            for closed, deadline, due, ms in zip(frame["closed"], frame["deadline"], frame["due"], frame["ms"], strict=True):
+                known = due is not None and len(due) > 0
+                now["waiting"].append([int(ms), bool(closed), int(deadline) if known else 0, [int(x) for x in due] if known else None])
+        seen, out = state.getCurrentWatermarkMs(), []
+        now["waiting"].sort(key=lambda x: x[0])
+        while now["waiting"] and now["waiting"][0][0] <= seen:
+            ms, closed, deadline, due = now["waiting"].pop(0)
+            fire(now, ms - 1, out)
+            now |= {"tick": max(now["tick"], ms - 1), "closed": closed, "deadline": deadline, "due": due}
+        following = fire(now, seen, out)
+        now["tick"] = max(now["tick"], seen)
+        timers = [t for t in (following, now["waiting"][0][0] if now["waiting"] else None) if t is not None]
+        state.update((json.dumps(now),))
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers), seen + 1))
+        if out:
+            yield pd.DataFrame({"org_id": [key[0]] * len(out), "tender_id": [key[1]] * len(out), "offset": pd.Series([n for _, n in out], dtype="int32"), "kind": [f"deadline.j{n}" for _, n in out], "at": pd.to_datetime([t for t, _ in out], unit="ms")})
+
+    schema = ALERT_SCHEMA.format(org=kinds["org_id"], tender=kinds["tender_id"])
+    return rows.groupBy("org_id", "tender_id").applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def read_stream(spark: SparkSession, path: str, *, files: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream, so many a batch."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
