@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.dates import working_days_before
-from ..operators.landing import RAW_KEY
+from ..operators.landing import BUDGET_HOURS, DROP, LEAST_VOLUME, RAW_KEY
 from ..operators.placement import Store
 from ..operators.worklists import CLOSED, OFFSETS
 from ..shipping import ship
@@ -74,6 +74,64 @@ def volume_stream(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     return rows.withWatermark("fetched_at", lateness).groupBy(F.window("fetched_at", "7 days", "1 day"), "source").agg(F.count("*").alias("n"))
 
 
+DAY_MS = 86_400_000
+
+
+def health_stream(rows: DataFrame, sources: DataFrame, *, lateness: str = "1 day") -> DataFrame:
+    """S-05, H-04. Changes of a source's health to silent or degraded, as ``landing.health`` and ``transitions`` give them at every
+    midnight: (source, at, health, verdict), from rows (source, fetched_at) and the sources (source, tier, schedule, enabled,
+    health), which start with their stored health.
+
+    Each source has one event-time timer, at the next midnight, so that silence is seen without a row. The state is its last
+    verdict and a count for each of the last fourteen days, which compares a week with the one before. A midnight is judged
+    once the watermark has passed it. A source is known from its first row on.
+    """
+    ship(rows.sparkSession)
+    budget = F.coalesce(*[F.when(F.col("tier") == t, F.lit(h)) for t, h in BUDGET_HOURS.items()], F.lit(24))
+    known = sources.select(F.col("source").alias("_s"), budget.alias("budget"), (F.col("enabled") & F.col("schedule").isNotNull()).alias("watched"), "health")
+    timed = rows.filter("fetched_at is not null").withWatermark("fetched_at", lateness)
+    timed = timed.join(known, F.col("source") == F.col("_s")).select("source", "budget", "watched", "health", F.unix_micros("fetched_at").alias("us"), "fetched_at")
+
+    def verdict(now: dict, tick: int) -> str:
+        days = {int(d): v for d, v in now["days"].items() if int(d) <= tick}
+        week = sum(n for d, (n, _) in days.items() if d > tick - 7)
+        before = sum(n for d, (n, _) in days.items() if tick - 14 < d <= tick - 7)
+        last = max([now["last"], *[us for _, us in days.values()]])
+        if not now["watched"]:
+            return "green"
+        if tick * DAY_MS * 1000 - last > now["budget"] * 3_600_000_000:
+            return "silent"
+        return "degraded" if before >= LEAST_VOLUME and (before - week) / before > DROP else "green"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = json.loads(state.get[0]) if state.exists else None
+        for frame in frames:
+            day = -(-frame["us"] // (DAY_MS * 1000))  # a day ends at its midnight, which belongs to it
+            if now is None:
+                head = frame.iloc[0]
+                now = {"budget": int(head["budget"]), "watched": bool(head["watched"]), "health": head["health"], "tick": int(day.min()) - 1, "last": 0, "days": {}}
+            for d, n, us in frame.assign(day=day).groupby("day")["us"].agg(["count", "max"]).itertuples():
+                n0, us0 = now["days"].get(str(d), (0, 0))
+                now["days"][str(d)] = (n0 + int(n), max(us0, int(us)))
+        out, seen = [], state.getCurrentWatermarkMs() // DAY_MS
+        while now["tick"] < seen:
+            now["tick"] += 1
+            judged = verdict(now, now["tick"])
+            if judged != now["health"]:
+                if judged != "green":
+                    out.append((key[0], now["tick"] * DAY_MS, now["health"], judged))
+                now["health"] = judged
+            for d in [d for d in now["days"] if int(d) <= now["tick"] - 14]:
+                now["last"] = max(now["last"], now["days"].pop(d)[1])
+        state.update((json.dumps(now),))
+        state.setTimeoutTimestamp((now["tick"] + 1) * DAY_MS)
+        if out:
+            source, at, health, judged = zip(*out, strict=True)
+            yield pd.DataFrame({"source": source, "at": pd.to_datetime(at, unit="ms"), "health": health, "verdict": judged})
+
+    return timed.groupBy("source").applyInPandasWithState(step, "source string, at timestamp, health string, verdict string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def messages_once(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     """S-07. Each message id once within the watermark."""
     return rows.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["message_id"])
