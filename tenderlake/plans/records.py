@@ -275,10 +275,10 @@ SQL = {
     "stream_volumes": "WITH w AS (SELECT event_type AS source, ts, unnest(range(0, 7)) AS k FROM events), x AS (SELECT source, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS since FROM w) SELECT since, source, count(*) AS n FROM x WHERE since + INTERVAL 7 DAY <= TIMESTAMP '2024-01-28' GROUP BY ALL",
     "stream_messages_once": "SELECT DISTINCT event_id // 2 AS message_id FROM events",
     "stream_health": """WITH n AS (SELECT CAST(user_id % CASE WHEN day(ts) < 16 THEN 20 ELSE 40 END AS VARCHAR) AS source, ts FROM events), s AS (SELECT CAST(k AS VARCHAR) AS source, [6, 24, 72, 72][k % 4 + 1] AS budget, k % 7 > 0 AND k % 11 > 0 AS watched FROM range(40) r(k)),
-      t AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts) - INTERVAL 1 DAY), INTERVAL 1 DAY)) AS at FROM n), f AS (SELECT source, min(ts) AS since FROM n GROUP BY 1),
-      v AS (SELECT t.at, f.source, count(*) FILTER (ts > t.at - INTERVAL 7 DAY) AS l, count(*) FILTER (ts > t.at - INTERVAL 14 DAY AND ts <= t.at - INTERVAL 7 DAY) AS p, max(ts) AS last_at FROM t JOIN f ON f.since <= t.at JOIN n ON n.source = f.source AND n.ts <= t.at GROUP BY ALL),
-      g AS (SELECT at, source, CASE WHEN NOT watched THEN 'green' WHEN epoch_us(at) - epoch_us(last_at) > budget * 3600000000 THEN 'silent' WHEN p >= 20 AND (p - l) / p::DOUBLE > 0.4 THEN 'degraded' ELSE 'green' END AS verdict FROM v JOIN s USING (source)),
-      h AS (SELECT *, lag(verdict, 1, 'green') OVER (PARTITION BY source ORDER BY at) AS health FROM g) SELECT source, CAST(at AS TIMESTAMP) AS at, health, verdict FROM h WHERE verdict <> health AND verdict <> 'green'""",
+      t AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts) - INTERVAL 1 DAY), INTERVAL 1 DAY)) AS tick FROM n), f AS (SELECT source, min(ts) AS since FROM n GROUP BY 1),
+      v AS (SELECT t.tick, f.source, count(*) FILTER (ts > t.tick - INTERVAL 7 DAY) AS l, count(*) FILTER (ts > t.tick - INTERVAL 14 DAY AND ts <= t.tick - INTERVAL 7 DAY) AS p, max(ts) AS last_at FROM t JOIN f ON f.since <= t.tick JOIN n ON n.source = f.source AND n.ts <= t.tick GROUP BY ALL),
+      g AS (SELECT tick, source, CASE WHEN NOT watched THEN 'green' WHEN epoch_us(tick) - epoch_us(last_at) > budget * 3600000000 THEN 'silent' WHEN p >= 20 AND (p - l) / p::DOUBLE > 0.4 THEN 'degraded' ELSE 'green' END AS verdict FROM v JOIN s USING (source)),
+      h AS (SELECT *, lag(verdict, 1, 'green') OVER (PARTITION BY source ORDER BY tick) AS health FROM g) SELECT source, CAST(tick AS TIMESTAMP) AS at, health, verdict FROM h WHERE verdict <> health AND verdict <> 'green'""",
     "notice_upsert": ingest.W_RAW + ", m AS (SELECT *, (SELECT max(event_id) FROM n_raw) AS most FROM n_raw), b AS (SELECT *, 1 AS batch FROM m WHERE event_id * 3 < 2 * most UNION ALL SELECT *, 2 FROM m WHERE event_id * 3 >= most), l AS (SELECT *, min(batch) OVER (PARTITION BY source, external_id) AS c, max(batch) OVER (PARTITION BY source, external_id) AS u, row_number() OVER (PARTITION BY source, external_id ORDER BY batch DESC, fetched_at DESC, event_id DESC) AS k FROM b) SELECT source, external_id, event_id, content_hash, fetched_at, make_timestamp((1700000000::BIGINT + c) * 1000000) AS created_at, make_timestamp((1700000000::BIGINT + u) * 1000000) AS updated_at FROM l WHERE k = 1",
     "stream_late_duplicates": "WITH " + PLACED_LATE,
 }
