@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 BEYOND_ASCII = "[^\\x00-\\x7F]"
 #: Hangul syllables decompose into letters by arithmetic; they stay whole here, as no normal form keeps either.
 HANGUL = range(0xAC00, 0xD7A4)
-#: White space of texts: the Unicode property and the four separators of ASCII.
-BLANKS = r"[\p{IsWhite_Space}\x1C-\x1F]+"
+#: White space of texts: the Unicode property and the four separators of ASCII; and what of it ASCII texts can hold.
+BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+ASCII_BLANKS = r"[\x09-\x0D\x1C-\x20]+"
 
 
 def _table(fold: Callable[[str], str]) -> tuple[str, str, dict[str, str], str]:
@@ -48,9 +49,11 @@ def _class(chars: Iterable[str]) -> str:
 
 
 def _spelled(c: Column, longer: dict[str, str]) -> Column:
-    """With the characters of ``longer`` replaced, in the texts that hold one."""
-    pieces = F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)")), lambda x: F.coalesce(F.from_json(F.lit(json.dumps(longer)), "map<string,string>")[x], x))
-    return F.when(c.rlike(_class(longer)), F.array_join(pieces, "")).otherwise(c)
+    """With the characters of ``longer`` replaced, in the texts that hold one: what lies between them stays in one piece."""
+    held = _class(longer)
+    spelled = F.transform(F.regexp_extract_all(c, F.lit(f"({held})")), lambda x: F.from_json(F.lit(json.dumps(longer)), "map<string,string>")[x])
+    joined = F.zip_with(F.split(c, held, -1), F.concat(spelled, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return F.when(c.rlike(held), F.array_join(joined, "")).otherwise(c)
 
 
 ACCENTED, PLAIN, LIGATURES, MARKS = _table(lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
@@ -80,7 +83,9 @@ def casefolded(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """White space of any kind as one blank, trimmed, without regard to case."""
-    return casefolded(F.trim(F.regexp_replace(c, BLANKS, " ")))
+    ascii_ = F.lower(F.trim(F.regexp_replace(c, ASCII_BLANKS, " ")))
+    other = F.transform(F.array(F.trim(F.regexp_replace(c, BLANKS, " "))), casefolded)  # in a lambda it is bound once
+    return F.when(c.rlike(BEYOND_ASCII), F.get(other, F.lit(0))).otherwise(ascii_)
 
 
 def normalize_text(c: Column) -> Column:
