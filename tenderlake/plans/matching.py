@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, scoring
 from ..sources import tables as t
+from ..sources.storage import written
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = filters.candidates(t.notices(spark, sf_dir), t.profiles(spark, sf_dir))
-    survivors = filters.hard_filter(pairs, t.now_o()).filter("outcome = 'pass'")
-    return scoring.score(survivors, t.now_o())
+    notices, profiles = scoring.with_asked(t.notices(spark, sf_dir)), scoring.with_profile_terms(t.profiles(spark, sf_dir))
+    return scoring.score(filters.survivors(notices, profiles, t.now_o()), t.now_o())
 
 
 def best_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best notices of each profile, with the reasons."""
+    """The ten best notices of each profile, with the reasons: ranks by score alone, reasons of the ten only."""
+    notices = written(scoring.with_asked(t.notices(spark, sf_dir)), "notices")  # read twice
+    profiles = scoring.with_profile_terms(t.profiles(spark, sf_dir))
     w = Window.partitionBy("profile_id").orderBy(F.desc("score"), "notice_id")
-    out = scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    return out.select("profile_id", "rank", "notice_id", "score", "title", "factors", "warnings")
+    ranked = scoring.score(filters.survivors(notices, profiles, t.now_o()), t.now_o()).select("profile_id", "notice_id", "score")
+    ranked = ranked.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").drop("score")
+    pairs = ranked.join(filters.with_search_columns(notices), "notice_id").join(filters.with_normal_keywords(profiles), "profile_id")
+    return scoring.score(pairs, t.now_o()).select("profile_id", "rank", "notice_id", "score", "title", "factors", "warnings")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
