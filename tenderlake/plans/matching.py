@@ -22,7 +22,7 @@ def best_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("profile_id").orderBy(F.desc("score"), "notice_id")
     ranked = scoring.score(filters.survivors(notices, profiles, t.now_o()), t.now_o()).select("profile_id", "notice_id", "score")
     ranked = ranked.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").drop("score")
-    pairs = ranked.join(filters.with_search_columns(notices), "notice_id").join(filters.with_normal_keywords(profiles), "profile_id")
+    pairs = filters.with_search_columns(ranked.join(notices, "notice_id").join(profiles, "profile_id"))
     return scoring.score(pairs, t.now_o()).select("profile_id", "rank", "notice_id", "score", "title", "factors", "warnings")
 
 

@@ -39,6 +39,32 @@ def test_pairs_meet_alike_by_values_and_by_prefixes(spark, sf_dir):
         assert {(r.profile_id, r.outcome): r.n for r in got} == want
 
 
+def test_index_blocks_lose_and_repeat_nothing(spark, sf_dir, monkeypatch):
+    """Cells dealt into many small blocks give each passing pair once: profiles by families, by zones only and by neither,
+    notices without codes, without places and with null among them."""
+    own = t.profiles(spark, sf_dir)
+    empty = F.array().cast("array<string>")
+    zoned = own.withColumns({"profile_id": F.concat(F.lit("zoned_"), "profile_id"), "cpv_families": empty, "nuts_filter": F.array(F.lit("FR1"), F.lit(""), F.lit("BE100"), F.lit("FR10"))})
+    free = own.limit(4).withColumns({"profile_id": F.concat(F.lit("free_"), "profile_id"), "cpv_families": empty, "nuts_filter": empty, "countries": empty})
+    starred = own.limit(4).withColumns({"profile_id": F.concat(F.lit("star_"), "profile_id"), "cpv_families": F.array(F.lit("*"), F.lit(""), F.lit("7*"))})
+    profiles = own.unionByName(zoned).unionByName(free).unionByName(starred)
+    last = F.substring("notice_id", -1, 1)
+    notices = t.notices(spark, sf_dir).withColumns({
+        "lots": F.when(last != "3", F.col("lots")), "cpv": F.when(last == "5", F.array(F.lit(None).cast("string"), F.lit("72"))).otherwise(F.col("cpv")),
+        "nuts": F.when(last == "1", empty).when(last == "2", F.array(F.lit(None).cast("string"))).otherwise(F.col("nuts")),
+    })
+    every = filters.with_search_columns(notices).crossJoin(filters.with_normal_keywords(profiles))
+    want = sorted((r.profile_id, r.notice_id) for r in filters.hard_filter(every, t.now_o()).filter("outcome = 'pass'").select("profile_id", "notice_id").collect())
+    counts = {(r.profile_id, r.outcome): r.n for r in filters.outcome_counts(notices, profiles, t.now_o()).collect()}
+    monkeypatch.setattr(filters, "BLOCK_NOTICES", 40)
+    monkeypatch.setattr(filters, "BLOCK_PROFILES", 3)
+    for cells in (100_000, 0):
+        monkeypatch.setattr(filters, "BROADCAST_CELLS", cells)
+        got = filters.survivors(notices, profiles, t.now_o(), broadcast_most=0).select("profile_id", "notice_id").collect()
+        assert sorted((r.profile_id, r.notice_id) for r in got) == want
+    assert {(r.profile_id, r.outcome): r.n for r in filters.outcome_counts(notices, profiles, t.now_o(), broadcast_most=0).collect()} == counts
+
+
 def test_alike_titles(spark):
     rnd = random.Random(3)
     titles = [" ".join(rnd.choice(["bolt", "ring", "gear", "works", "road", "ville"]) for _ in range(rnd.randint(0, 6))) for _ in range(150)]
