@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.storage import new_folder
-from .common import table
+from .common import durable, table
 
 #: Bytes of a record's block before it is continued in another record, and of a chunk of the transfer framing.
 SEGMENT, CHUNK = 16 << 10, 4 << 10
 #: Records of a file; with SEGMENT, this bounds a file at 64 MB.
 FILE_RECORDS = 4096
 LEAST_REVISIT = 0
+#: Payloads of several pages whose first pages are sent to the executors, some 200 bytes each; more are joined by shuffle.
+BROADCAST_SHARED = 100_000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 
@@ -98,24 +100,27 @@ def write_archive(pages: DataFrame, path: str, *, segment: int = SEGMENT, least_
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_d", F.sha1("payload"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("by"), "url")
     copies = rows.groupBy("_d", "page_id", "url").agg(F.count("*").alias("n"))
-    first = copies.groupBy("_d").agg(F.min(order).alias("_f"), F.max(F.col("n") > 1).alias("_again")).select("_d", F.col("_f.page_id").alias("first_id"), F.col("_f.url").alias("first_url"), "_again")
-    # Only payloads that have copies of a page are grouped to number them.
-    once = rows.join(first.filter("not _again"), "_d").withColumn("copy", F.lit(0))
-    again = rows.join(first.filter("_again"), "_d").groupBy("_d", "page_id", "url", "first_id", "first_url").agg(F.first("payload").alias("payload"), F.count("*").cast("int").alias("n"))
-    again = again.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    columns = ["page_id", "url", "payload", "first_id", "first_url", "copy"]
-    rows = once.select(*columns).unionByName(again.select(*columns))
+    shared = copies.groupBy("_d").agg(F.min(order).alias("_f"), F.max(F.col("n") > 1).alias("again"), F.sum("n").alias("pages")).filter("pages > 1")
+    shared = durable(shared.select("_d", F.col("_f.page_id").alias("first_id"), F.col("_f.url").alias("first_url"), "again"), "shared")
+    # A payload of one page needs no partner and doesn't move; nor do the others while the first pages of all can be sent.
+    found = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
+    rows = rows.join(found, "_d", "left").withColumn("several", F.col("again").isNotNull())
+    columns = ["page_id", "url", "payload", "first_id", "first_url", "several", "copy"]
+    each = rows.filter("again is null or not again").withColumn("copy", F.lit(0)).select(*columns)
+    if not shared.filter("again").isEmpty():  # only payloads that have copies of a page are grouped to number them
+        same = rows.filter("again").groupBy("_d", "page_id", "url", "first_id", "first_url", "several").agg(F.first("payload").alias("payload"), F.count("*").cast("int").alias("n"))
+        each = each.unionByName(same.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*columns))
 
     def run(batches):
         for batch in batches:
-            for page_id, url, payload, first_id, first_url, copy in zip(*[batch.column(c) for c in columns], strict=True):
+            for page_id, url, payload, first_id, first_url, several, copy in zip(*[batch.column(c) for c in columns], strict=True):
                 data = payload.as_py()
                 own = (page_id.as_py(), url.as_py())
-                first = own if len(data) < least_revisit else (first_id.as_py(), first_url.as_py())
+                first = own if len(data) < least_revisit or not several.as_py() else (first_id.as_py(), first_url.as_py())
                 out = list(page_records(*own, data, payload_digest(data), *first, segment, copy.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    records = rows.mapInArrow(run, "record binary")
+    records = each.mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
@@ -152,47 +157,48 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Whole records are decoded where they are read. Only pieces of segmented records are shuffled: they are grouped by
     origin, put in order of segment number, and checked for gaps and for the total length. Revisits take the length and
-    digest from the record that they refer to. A broken record fails the job.
+    digest from the record that they refer to. A broken record fails the job. The archives are read once: what the pass
+    finds is a table of records without payloads, and of the pieces with theirs.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     names = [x.split()[0] for x in WHOLE.split(", ")]
 
-    def whole(batches):
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+    piece = (pa.int32(), pa.int64(), pa.binary())
+
+    def parsed(batches):
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
                 for heads, block in parse_records(gzip.decompress(data.as_py())):
+                    page, rid, digest = _number(heads.get("x-page-id")), heads["warc-record-id"], heads.get("warc-payload-digest", "").removeprefix("sha1:")
                     if heads["warc-type"] == "revisit":
-                        rows.append((_number(heads.get("x-page-id")), heads["warc-record-id"], None, heads["warc-payload-digest"].removeprefix("sha1:"), heads["warc-refers-to"]))
-                    elif "warc-segment-number" not in heads:
-                        rows.append(_finished(heads, block))
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
-
-    def pieces(batches):
-        for batch in batches:
-            for data in batch.column("content"):
-                rows = [(h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), _number(h.get("warc-segment-total-length")), h.get("x-page-id"), h.get("warc-payload-digest"), b) for h, b in parse_records(gzip.decompress(data.as_py())) if "warc-segment-number" in h]
-                cols = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["origin", "number", "total", "page", "digest", "block"])
+                        rows.append((page, rid, None, digest, heads["warc-refers-to"], None, None, None))
+                    elif "warc-segment-number" in heads:
+                        rows.append((page, heads.get("warc-segment-origin-id", rid), None, digest, None, int(heads["warc-segment-number"]), _number(heads.get("warc-segment-total-length")), block))
+                    else:
+                        rows.append((*_finished(heads, block), None, None, None))
+                cols = zip(*rows, strict=True) if rows else [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (*types, *piece), strict=True)], names=[*names, "number", "total", "block"])
 
     def joined(batches):
         for batch in batches:
             rows = []
-            for origin, parts in zip(batch.column("origin").to_pylist(), batch.column("parts"), strict=True):
+            for origin, parts in zip(batch.column("record_id").to_pylist(), batch.column("parts"), strict=True):
                 parts = sorted(parts.as_py(), key=lambda x: x["number"])
                 block = b"".join([x["block"] for x in parts])
                 if [x["number"] for x in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(block):
                     raise ValueError(f"segments of {origin} are missing")
-                rows.append(_finished({"warc-record-id": origin, "x-page-id": parts[0]["page"], "warc-payload-digest": parts[0]["digest"]}, block))
+                rows.append(_finished({"warc-record-id": origin, "x-page-id": parts[0]["page_id"], "warc-payload-digest": f"sha1:{parts[0]['payload_digest']}"}, block))
             cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    cut = files.mapInArrow(pieces, "origin string, number int, total long, page string, digest string, block binary")
-    cut = cut.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "page", "digest", "block")).alias("parts"))
-    records = files.mapInArrow(whole, WHOLE)
-    responses = records.filter(F.col("refers_to_record").isNull()).unionByName(cut.mapInArrow(joined, WHOLE))
+    found = durable(files.mapInArrow(parsed, f"{WHOLE}, number int, total long, block binary"), "records")
+    records = found.filter("number is null").select(*names)
+    cut = found.filter("number is not null").groupBy("record_id").agg(F.collect_list(F.struct("number", "total", "page_id", "payload_digest", "block")).alias("parts"))
+    whole = durable(cut.mapInArrow(joined, WHOLE), "reassembled")  # read twice
+    responses = records.filter(F.col("refers_to_record").isNull()).unionByName(whole)
     revisits = records.filter(F.col("refers_to_record").isNotNull())
     target = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_n")).dropDuplicates(["refers_to_record"])
     again = revisits.join(target, "refers_to_record")
