@@ -16,10 +16,28 @@ LEAST_VOLUME, DROP = 20, 0.4
 RAW_KEY = ["source", "external_id", "content_hash"]
 
 
-def explode_pages(pages: DataFrame, records: str, id_columns: list[str]) -> DataFrame:
-    """L-01, L-02. A row per record of landed pages; records without an id are left out, never given one."""
-    rows = pages.select(F.explode(records).alias("r"))
-    return rows.select(F.coalesce(*[F.col(f"r.`{c}`").cast("string") for c in id_columns]).alias("external_id"), F.to_json("r").alias("payload")).filter("external_id is not null")
+#: Where the two feeds keep records, their ids in order of preference, and their addresses. Fixed values.
+FEEDS = {
+    "TED": {"records": "notices", "ids": ["publication-number"], "url": "https://ted.europa.eu/en/notice/{id}"},
+    "BOAMP": {"records": "results", "ids": ["idweb", "id"], "url": "url_avis"},
+}
+
+
+def explode_pages(pages: DataFrame, feed: str) -> DataFrame:
+    """L-01, L-02. source, external_id, url and payload of each record of a feed's landed pages.
+
+    The id is the first of the feed's id fields that isn't null or empty; records without one are left out, never given one.
+    The address is a template over the id or a field of the record (null where that is missing). Null or empty lists of
+    records give no rows, repeated records one each.
+    """
+    of = FEEDS[feed]
+    rows = pages.select(F.explode(of["records"]).alias("r"))
+    held = rows.schema["r"].dataType.names
+    ids = [F.nullif(F.col(f"r.`{c}`").cast("string"), F.lit("")) for c in of["ids"] if c in held] or [F.lit(None).cast("string")]
+    rows = rows.select(F.lit(feed).alias("source"), F.coalesce(*ids).alias("external_id"), "r").filter("external_id is not null")
+    head, _, tail = of["url"].partition("{id}")
+    url = F.concat(F.lit(head), "external_id", F.lit(tail)) if "{id}" in of["url"] else F.col(f"r.`{head}`") if head in held else F.lit(None)
+    return rows.select("source", "external_id", url.cast("string").alias("url"), F.to_json("r").alias("payload"))
 
 
 def new_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -60,6 +78,15 @@ def failure_facts(failures: DataFrame) -> DataFrame:
     return failures.select(F.lit("source.fetch_failed").alias("kind"), F.col("source").alias("entity"), F.to_json(F.struct(F.substring("error", 1, 1000).alias("error"))).alias("payload"), "at")
 
 
+def marked_degraded(sources: DataFrame, failures: DataFrame) -> DataFrame:
+    """L-08. Sources after their failed fetches: health is degraded and last_run_at the latest failure, unless a later run is
+    known; the others stay as they are. Failures of unknown sources mark nothing."""
+    last = failures.groupBy(F.col("source").alias("_source")).agg(F.max("at").alias("_at"))
+    out = sources.join(last, sources["source"].eqNullSafe(F.col("_source")), "left")
+    failed = F.col("_source").isNotNull()
+    return out.withColumns({"health": F.when(failed, "degraded").otherwise(F.col("health")), "last_run_at": F.greatest("last_run_at", "_at")}).drop("_source", "_at")
+
+
 def incremental_window(rows: DataFrame, cursor: Column, now: Column, *, countries: list[str] | None = None, lookback_days: int = 2, at: str = "published_at", places: str = "places") -> DataFrame:
     """L-06. Rows published since the cursor's day, by default two days back, in one of the countries. The bound is a day and
     reaches the scan."""

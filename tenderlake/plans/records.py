@@ -16,12 +16,17 @@ from . import ingest, product
 
 
 def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-01, L-02. A landed page per nation, a record per customer; every seventh has no id, every third another key."""
-    c = t.read(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    record = F.struct(F.when((k % 7 != 0) & (k % 3 != 0), k).alias("idweb"), F.when((k % 7 != 0) & (k % 3 == 0), k).alias("id"), F.col("c_name").alias("objet"))
-    pages = c.groupBy("c_nationkey").agg(F.collect_list(record).alias("results"))
-    return landing.explode_pages(pages, "results", ["idweb", "id"]).select("external_id", F.get_json_object("payload", "$.objet").alias("objet"))
+    """L-01, L-02. Pages of both feeds, one per nation. A record per customer: every seventh has no id, every third another key
+    (its first left empty), every fourth no address. A record per supplier: every fifth has no number."""
+    c, s = t.read(spark, sf_dir, "customer"), t.read(spark, sf_dir, "supplier")
+    k, n = F.col("c_custkey"), F.col("s_suppkey")
+    own = F.when(k % 7 != 0, k.cast("string"))
+    record = F.struct(F.when(k % 3 != 0, own).otherwise("").alias("idweb"), F.when(k % 3 == 0, own).alias("id"), F.when(k % 4 != 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("url_avis"), F.col("c_name").alias("objet"))
+    number = F.when(n % 5 != 0, F.concat(n.cast("string"), F.lit("-2024")))
+    boamp = c.groupBy("c_nationkey").agg(F.collect_list(record).alias("results"))
+    ted = s.groupBy("s_nationkey").agg(F.collect_list(F.struct(number.alias("publication-number"), F.col("s_name").alias("objet"))).alias("notices"))
+    rows = landing.explode_pages(boamp, "BOAMP").unionByName(landing.explode_pages(ted, "TED"))
+    return rows.select("source", "external_id", "url", F.get_json_object("payload", "$.objet").alias("objet"))
 
 
 def incremental_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +42,14 @@ def fetch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.failure_facts(rows).select("kind", "entity", F.length(F.get_json_object("payload", "$.error")).alias("n"), "at")
 
 
+def failed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-08. A source per user: those with an error are degraded as of the last one, or of their last run if that is later."""
+    e = t.read(spark, sf_dir, "events").withColumn("source", F.col("user_id").cast("string"))
+    failures = e.filter("event_type = 'error'").select("source", F.col("ts").alias("at"))
+    sources = e.groupBy("source").agg(F.max(F.when(F.col("event_type") == "click", F.col("ts"))).alias("last_run_at"), F.lit("green").alias("health"))
+    return landing.marked_degraded(sources, failures).select("source", "health", "last_run_at")
+
+
 def dimension_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-13."""
     s = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("label"), F.lit(1).alias("updated"))
@@ -252,7 +265,8 @@ best AS (SELECT a, max(confidence) AS confidence, arg_min(reason, (-confidence,
 SELECT id, cluster_id, CASE WHEN id <> cluster_id THEN best.reason END AS reason, CASE WHEN id <> cluster_id THEN best.confidence ELSE 1.0::DOUBLE END AS confidence FROM m LEFT JOIN best ON a = id WHERE id % 2 = 1"""
 PLACED_LATE = f"RECURSIVE {PLACED_PAIRS}, met AS (SELECT * FROM pairs), {COMPONENTS} SELECT id, min(c) AS cluster_id FROM r GROUP BY id"
 SQL = {
-    "landed_records": "SELECT CAST(c_custkey AS VARCHAR) AS external_id, c_name AS objet FROM customer WHERE c_custkey % 7 <> 0",
+    "landed_records": "SELECT 'BOAMP' AS source, CAST(c_custkey AS VARCHAR) AS external_id, CASE WHEN c_custkey % 4 <> 0 THEN 'https://x/' || c_custkey END AS url, c_name AS objet FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'TED', s_suppkey || '-2024', 'https://ted.europa.eu/en/notice/' || s_suppkey || '-2024', s_name FROM supplier WHERE s_suppkey % 5 <> 0",
+    "failed_sources": "SELECT CAST(user_id AS VARCHAR) AS source, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'degraded' ELSE 'green' END AS health, max(ts) FILTER (event_type IN ('click', 'error')) AS last_run_at FROM events GROUP BY user_id",
     "incremental_window": f"WITH {t.NOTICES_SQL} SELECT notice_id FROM n_notices WHERE country IN ('FR', 'BE') AND published_at >= TIMESTAMP '1998-05-20'",
     "fetch_failures": "SELECT 'source.fetch_failed' AS kind, CAST(user_id AS VARCHAR) AS entity, CAST(least(150 * length(props), 1000) AS INTEGER) AS n, ts AS at FROM events WHERE event_type = 'error'",
     "dimension_upsert": "SELECT coalesce(n.code, s.s_suppkey) AS code, coalesce(n.label, s_name) AS label FROM supplier s FULL JOIN (SELECT s_suppkey + 2 AS code, upper(s_name) AS label FROM supplier WHERE s_suppkey % 4 = 0) n ON n.code = s.s_suppkey",
@@ -282,4 +296,4 @@ SQL = {
     "notice_upsert": ingest.W_RAW + ", m AS (SELECT *, (SELECT max(event_id) FROM n_raw) AS most FROM n_raw), b AS (SELECT *, 1 AS batch FROM m WHERE event_id * 3 < 2 * most UNION ALL SELECT *, 2 FROM m WHERE event_id * 3 >= most), l AS (SELECT *, min(batch) OVER (PARTITION BY source, external_id) AS c, max(batch) OVER (PARTITION BY source, external_id) AS u, row_number() OVER (PARTITION BY source, external_id ORDER BY batch DESC, fetched_at DESC, event_id DESC) AS k FROM b) SELECT source, external_id, event_id, content_hash, fetched_at, make_timestamp((1700000000::BIGINT + c) * 1000000) AS created_at, make_timestamp((1700000000::BIGINT + u) * 1000000) AS updated_at FROM l WHERE k = 1",
     "stream_late_duplicates": "WITH " + PLACED_LATE,
 }
-QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, notice_upsert, stream_health, stream_deadline_alerts, stream_late_duplicates)}
+QUERIES = {f.__name__: f for f in (landed_records, incremental_window, fetch_failures, failed_sources, dimension_upsert, seeded_notices, gold_pairs, outbox_replayed, health_transitions, placed_notices, cluster_audit, match_upsert, identifiers, decoded_names, schema_violations, evidence_list, known_links, resolved_messages, messages_once, my_memberships, refused_rows, stream_volumes, stream_messages_once, notice_upsert, stream_health, stream_deadline_alerts, stream_late_duplicates)}

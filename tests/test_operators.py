@@ -65,6 +65,26 @@ def test_index_blocks_lose_and_repeat_nothing(spark, sf_dir, monkeypatch):
     assert {(r.profile_id, r.outcome): r.n for r in filters.outcome_counts(notices, profiles, t.now_o(), broadcast_most=0).collect()} == counts
 
 
+def test_landed_pages(spark):
+    """Ids in order of preference, empty ones passed over; addresses by template or field; empty pages and missing fields."""
+    schema = "results array<struct<idweb:string,id:long,url_avis:string>>"
+    pages = spark.createDataFrame([([("a", 1, "u"), ("", 2, None), (None, None, "v"), ("a", 1, "u")],), ([],), (None,)], schema)
+    got = [tuple(r) for r in landing.explode_pages(pages, "BOAMP").select("source", "external_id", "url").collect()]
+    assert sorted(got, key=str) == [("BOAMP", "2", None), ("BOAMP", "a", "u"), ("BOAMP", "a", "u")]
+    bare = spark.createDataFrame([([("9",)],)], "results array<struct<id:string>>")
+    assert [tuple(r)[1:3] for r in landing.explode_pages(bare, "BOAMP").collect()] == [("9", None)]
+    ted = spark.createDataFrame([([("1-2024", "x"), (None, "y")],)], "notices array<struct<`publication-number`:string,t:string>>")
+    r = landing.explode_pages(ted, "TED").first()
+    assert (r.external_id, r.url, r.payload) == ("1-2024", "https://ted.europa.eu/en/notice/1-2024", '{"publication-number":"1-2024","t":"x"}')
+
+
+def test_failed_sources(spark):
+    sources = spark.createDataFrame([("a", "green", 1), ("b", "green", 9), ("c", "silent", None), (None, "green", None)], "source string, health string, last_run_at long")
+    failures = spark.createDataFrame([("a", 3), ("a", 2), ("b", 4), ("x", 5)], "source string, at long")
+    got = {r.source: (r.health, r.last_run_at) for r in landing.marked_degraded(sources, failures).collect()}
+    assert got == {"a": ("degraded", 3), "b": ("degraded", 9), "c": ("silent", None), None: ("green", None)}
+
+
 def test_alike_titles(spark):
     rnd = random.Random(3)
     titles = [" ".join(rnd.choice(["bolt", "ring", "gear", "works", "road", "ville"]) for _ in range(rnd.randint(0, 6))) for _ in range(150)]
