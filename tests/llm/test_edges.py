@@ -330,6 +330,17 @@ def test_search_edges(spark, docs, none):
     assert retrieval.search(index, retrieval.queries_from(none, index, n)).count() == 0
 
 
+def test_search_of_empty_texts(spark):
+    """Runs of empty texts are cut into shards of a bounded number of documents, with the same answers."""
+    rows = [(i, "") for i in range(500)] + [(1000, "one two three"), (1050, "two"), (1100, "three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = retrieval.build_index(docs, shard_documents=64)
+    assert max(len(r.ids) for r in index.select("ids").collect()) == 64 and retrieval.statistics(index)[0] == len(rows)
+    got = retrieval.search(index, retrieval.queries_from(docs.filter("doc_id % 50 = 0"), index, len(rows))).collect()
+    want = brute_search(rows, [1000, 1050, 1100], 10)
+    assert [(a, b, c, pytest.approx(s, abs=2e-6)) for a, b, c, s in sorted((tuple(r) for r in got), key=repr)] == want
+
+
 def test_search_prunes_exactly(spark):
     """Whole texts as queries over many shards, blocks and rounds against the formula, with repeated rows, ids and ties."""
     rnd = random.Random(9)
