@@ -68,3 +68,12 @@ def test_matching_blocks():
     got = documents.matching_ratio([a for a, _ in pairs], [b for _, b in pairs])
     assert got.tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
     assert documents.matching_ratio([], []).tolist() == []
+
+
+def test_a_long_text_within_another_matches_whole(spark):
+    """The only rare letter of the longer text comes first in the other one: its block splits the rest."""
+    text = ("le la ne re " * 10 + "x " + "le la ne re " * 15).strip()
+    rows = lambda t: spark.createDataFrame([("c", 1, t)], "case string, idx int, text string")
+    assert SequenceMatcher(None, "x " + text, text).ratio() < 0.6
+    (r,) = documents.scored_pairs(rows("x " + text.upper()), rows(text)).collect()
+    assert r.score == 2 * len(text) / (2 * len(text) + 2)
