@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.functions import text
-from tenderlake.operators import dedupe, documents, filters, landing, search, worklists
+from tenderlake.operators import dedupe, documents, filters, landing, scoring, search, worklists
 from tenderlake.sources import storage
 from tenderlake.sources import tables as t
 
@@ -65,6 +66,29 @@ def test_index_blocks_lose_and_repeat_nothing(spark, sf_dir, monkeypatch):
     assert {(r.profile_id, r.outcome): r.n for r in filters.outcome_counts(notices, profiles, t.now_o(), broadcast_most=0).collect()} == counts
 
 
+def test_profiles_that_agree_are_looked_at_once(spark, sf_dir, monkeypatch):
+    """Forty profiles that differ in what is their own only: one class meets the notices, in counts and in scores, and every
+    pair comes out as if looked at by itself; with members in parts, those that the three best scores reach."""
+    own = t.profiles(spark, sf_dir).filter("profile_id = 'wp_1'")
+    ids = spark.range(40)
+    profiles = own.crossJoin(ids).withColumns({"profile_id": F.concat_ws("-", "profile_id", "id"), "org_id": F.concat(F.lit("org_"), (F.col("id") % 7).cast("string")), "annual_revenue": F.when(F.col("id") != 3, F.col("id") * 30000.0), "known_buyer_sirens": F.array(F.lpad(F.col("id").cast("string"), 9, "0"))}).drop("id")
+    notices, now = t.notices(spark, sf_dir).cache(), t.now_o()
+    rows = lambda df: {(r.profile_id, r.notice_id): (r.score, r.factors, r.warnings) for r in df.select("profile_id", "notice_id", "score", "factors", "warnings").collect()}
+    want = rows(scoring.score(filters.survivors(scoring.with_asked(notices), scoring.with_profile_terms(profiles), now), now))
+    assert len(want) > 40
+    seen, survivors = [], filters.survivors
+    monkeypatch.setattr(filters, "survivors", lambda n, p, *a, **k: seen.append(p.count()) or survivors(n, p, *a, **k))
+    assert rows(scoring.score_all(notices, profiles, now)) == want
+    counts = spark.createDataFrame([(p, s, n) for (p, s), n in Counter((p, v[0]) for (p, _), v in want.items()).items()], "profile_id string, score int, n long")
+    third = {p: sorted((v[0] for (q, _), v in want.items() if q == p), reverse=True)[:3][-1] for p, _ in want}
+    monkeypatch.setattr(scoring, "BROADCAST_MEMBERS", 9)
+    kept = scoring.score_all(notices, profiles, now, least=scoring.least_of_best(counts, "profile_id", 3)).select("profile_id", "notice_id").collect()
+    assert {(r.profile_id, r.notice_id) for r in kept} == {k for k, v in want.items() if v[0] >= third[k[0]]} and len(kept) < len(want)
+    monkeypatch.setattr(filters, "_counts", lambda n, p, *a, **k: seen.append(p.count()) or p.select("profile_id", F.lit("pass").alias("outcome"), F.lit(1).alias("n")))
+    assert {r.profile_id for r in filters.outcome_counts(notices, profiles, now).collect()} == {p for p, _ in want}
+    assert set(seen) == {1}
+
+
 def test_landed_pages(spark):
     """Ids in order of preference, empty ones passed over; addresses by template or field; empty pages and missing fields."""
     schema = "results array<struct<idweb:string,id:long,url_avis:string>>"
