@@ -34,13 +34,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 TOKEN = "[secret]"
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) by start, then kind as listed. For an assignment the span is its value.
+def base_spans(text: str, *, group: int = 2) -> list[tuple[int, str, int]]:
+    """(start, kind, end) by start, then kind as listed. For an assignment the span is its value; with ``group`` 0 the whole
+    match, from its keyword on.
 
     Runs of hex digits, and of capitals and digits after AKIA, are maximal; a length bound inside the pattern gives the
     same spans as dropping short matches afterwards.
     """
-    out = [(m.start(2), 0, m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    out = [(m.start(group), 0, m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     # The shortest match with a value is AKIA and one more; later AKIA within a match are part of it.
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -255,8 +256,9 @@ def training_sample(docs: DataFrame, *, text: str = "text", per_kind: int = PER_
     return Formats({k: pick(k, per_kind) for k in KINDS[:3]}, pick("other", others))
 
 
-def scan(docs: DataFrame, formats: Formats, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
+def scan(docs: DataFrame, formats: Formats, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False, whole: bool = False) -> DataFrame:
     """``keep`` columns, counts per kind, base_sha256 and spans of each text; with ``redact`` also the text without secrets.
+    With ``whole`` base_sha256 and spans give an assignment from its keyword on, not its value only; what is found is the same.
 
     A null text counts as empty (redacted, it stays null). Rows are worked on one by one, whole and of any length, without
     a shuffle; repeated rows have equal results, and an empty table gives no rows.
@@ -278,7 +280,12 @@ def scan(docs: DataFrame, formats: Formats, *, text: str = "text", keep: tuple[s
                 base = base_spans(t or "")
                 spans = all_spans(t or "", sent.value, base)
                 counts = [sum(k == kind for _, k, _ in spans) for kind in KINDS]
-                row = [*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(spans)]
+                if whole and counts[0]:
+                    base = base_spans(t, group=0)
+                    found = sorted([*base, *[x for x in spans if x[1] == "grammar"]], key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
+                else:
+                    found = spans
+                row = [*counts, hashlib.sha256(write(base).encode()).hexdigest(), write(found)]
                 if redact:
                     out, at = [], 0
                     for a, _, b in spans:
@@ -296,5 +303,6 @@ def scan(docs: DataFrame, formats: Formats, *, text: str = "text", keep: tuple[s
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans are those of the whole matches."""
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, training_sample(docs))
+    return scan(docs, training_sample(docs), whole=True)

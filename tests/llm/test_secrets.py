@@ -83,3 +83,25 @@ def test_long_values_train_nothing_and_are_scanned_whole(spark):
     assert not formats.kinds
     got = {r.doc_id: r.spans for r in secrets.scan(docs, formats).collect()}
     assert got[0] == f"assign:8:{8 + 20_001}" and got[9] == "" and got[None] == "access:0:5004"
+
+
+def test_query_gives_whole_matches(spark, tmp_path):
+    """The contract's patterns, run as they stand: leftmost matches, those whose group is too short dropped, spans of the matches."""
+    import hashlib
+    import re
+
+    patterns = (
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16),
+    )
+    rnd = random.Random(5)
+    pieces = ["password", "passwd", "Token", "api_key", "APIKEY", "ſecret", "secret", "=", ": ", "  ", '"', "'", "AKIA", "ABCDEFGH", "0123456789abcdef", "deadbeef", "x/y+z-", "é", "𝔘", "\n", "12345", "a_long_token_of_words"]
+    texts = [None, "", 'é my token : "Abcdef0123456789"'] + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 14))) for _ in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in secrets.op5_secret_scans(spark, str(tmp_path)).collect()}
+    assert rows[2].spans.split(",")[0] == "assign:5:30"
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(patterns) for m in re.finditer(p, t or "", re.ASCII) if len(m[g]) >= least)
+        spans = [f"{patterns[k][0]}:{a}:{b}" for a, k, b in want]
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), t
+        assert [x for x in rows[i].spans.split(",") if x and not x.startswith("grammar")] == spans
