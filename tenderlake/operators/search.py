@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, jaccard, normalize_text, trigrams
+from ..functions.text import jaccard, normalize_text, trigrams
+from ..shipping import ship
 from ..sources.storage import written
 
 #: Weights of title, buyer and description.
@@ -119,26 +124,96 @@ def trigram_search(rows: DataFrame, queries: DataFrame, k: int, least: float = 0
     return top(s, k)
 
 
-#: Blocks that a query set is dealt to: each meets all vectors, and no vector more than this many rows.
-VECTOR_BLOCKS, BLOCK_QUERIES = 64, 4096
+#: Vectors, and queries, of a block; query blocks that are broadcast at most.
+BLOCK_VECTORS, BLOCK_QUERIES, VECTOR_BLOCKS = 4096, 1024, 64
+#: Places that a score is rounded to.
+PLACES = 5
 
 
-def scored_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, score): the cosine of every stated query with every vector.
+def _dealt(rows: DataFrame, id: str, vector: str, most: int, name: str) -> tuple[DataFrame, int]:
+    """Rows of about ``most`` vectors each, dealt by the hash of the id, and how many such rows."""
+    n = max(1, math.ceil(rows.count() / most))
+    return rows.groupBy(F.pmod(F.xxhash64(id), F.lit(n)).alias(f"_b{name}")).agg(F.collect_list(F.struct(F.col(id).alias("id"), F.col(vector).alias("v"))).alias(name)), n
 
-    Queries are dealt to blocks of about BLOCK_QUERIES, gathered into one row each, and joined with the vectors by the
-    block's number. Up to VECTOR_BLOCKS blocks, which bounds their bytes, they are broadcast.
-    """
-    n = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query", "vector")).alias("_q"))
-    rows = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    pairs = rows.join(F.broadcast(blocks) if n <= VECTOR_BLOCKS else blocks, "_b").select("id", "embedding", F.explode("_q").alias("_x"))
-    return pairs.select("_x.query", "id", F.round(cosine(F.col("embedding"), F.col("_x.vector")), 5).alias("score"))
+
+def _by_length(v: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of the vectors that have a direction, by length: their places and their unit vectors."""
+    sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        x = pc.list_flatten(v.take(pa.array(at))).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+        norm = np.linalg.norm(x, axis=1)
+        fine = np.isfinite(norm) & (norm > 0)
+        out[n] = at[fine], x[fine] / norm[fine, None]
+    return out
+
+
+def _blockwise(vectors: DataFrame, queries: DataFrame, chosen: Callable) -> DataFrame:
+    """(query, id, score): of each block of queries and each block of vectors what ``chosen`` takes from the matrix of their
+    cosines, as places (row, column), given the order of the ids. A vector or query without a direction, and lengths that
+    differ, give 0. Up to VECTOR_BLOCKS blocks of queries, which bounds their bytes, are broadcast."""
+    ship(vectors.sparkSession)
+    asked, n = _dealt(queries, "query", "vector", BLOCK_QUERIES, "asked")
+    held, _ = _dealt(vectors, "id", "embedding", BLOCK_VECTORS, "held")
+    if n <= VECTOR_BLOCKS:
+        pairs = held.crossJoin(F.broadcast(asked))
+    else:
+        pairs = held.withColumn("_basked", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(asked, "_basked")
+    kinds = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for held, asked in zip(batch.column("held"), batch.column("asked"), strict=True):
+                ids, of = held.values.field("id"), _by_length(held.values.field("v"))
+                names, by = asked.values.field("id"), _by_length(asked.values.field("v"))
+                score = np.zeros((len(names), len(ids)))
+                for size in of.keys() & by.keys():
+                    (i, q), (j, x) = by[size], of[size]
+                    score[np.ix_(i, j)] = np.clip(q @ x.T, -1, 1)
+                place = np.empty(len(ids), np.int64)
+                place[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                row, at, rounded = chosen(score, place)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(at)), pa.array(rounded)], names=["query", "id", "score"])
+
+    return pairs.select("held", "asked").mapInArrow(run, f"query {kinds[0]}, id {kinds[1]}, score double")
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Halves go away from zero."""
+    return np.copysign(np.floor(np.abs(score) * 10**PLACES + 0.5) / 10**PLACES, score) + 0.0
+
+
+def scored_vectors(vectors: DataFrame, queries: DataFrame, least: float = -1.0) -> DataFrame:
+    """(query, id, score): the cosines of every stated query with every vector that are ``least`` or more once rounded."""
+
+    def chosen(score, _):
+        row, at = np.nonzero(score >= least - 10.0**-PLACES)
+        rounded = _rounded(score[row, at])
+        kept = rounded >= least
+        return row[kept], at[kept], rounded[kept]
+
+    return _blockwise(vectors, queries, chosen)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """X-03. Exact nearest neighbours by cosine of a stated query set (query, vector)."""
-    return top(scored_vectors(vectors, queries), k)
+    """X-03. Exact nearest neighbours by cosine of a stated query set (query, vector); of equal scores the smallest ids. A block
+    gives its own ``k`` best of each query only."""
+
+    def chosen(score, place):
+        if score.shape[1] > k:
+            # Whatever may be among the k best once rounded.
+            row, at = np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k, None] - 1.5 * 10.0**-PLACES)
+        else:
+            row, at = (x.ravel() for x in np.indices(score.shape))
+        rounded = _rounded(score[row, at])
+        order = np.lexsort((place[at], -rounded, row))
+        row, at, rounded = row[order], at[order], rounded[order]
+        first = np.searchsorted(row, row)  # rows are in order: where each one starts
+        best = np.arange(len(row)) - first < k
+        return row[best], at[best], rounded[best]
+
+    return top(_blockwise(vectors, queries, chosen), k)
 
 
 def live(notices: DataFrame, now: Column) -> DataFrame:

@@ -89,3 +89,31 @@ def test_vector_rule_of_copies(spark):
     pairs = dedupe.candidate_pairs(p)
     assert pairs.count() < 250
     assert {r.cluster_id for r in dedupe.cluster(p.select("id"), dedupe.verdicts(p, pairs)).collect()} == {0}
+
+
+def test_exact_search_in_blocks(spark, monkeypatch):
+    """Blocks of queries and of vectors against one matrix: copies, ties, other lengths, rows without a direction; no score is an
+    expression over arrays, row by row."""
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 64)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 6)).round(1)
+    x[100:180] = x[3]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, [1.0, 2.0]), (903, [1.0, 2.0]), (904, [1.0] * 5 + [None])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.filter("id % 5 = 0 or id > 899").select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+    f = np.float32(x).astype(float)
+    u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    score = {(i, j): float(u[i] @ u[j]) for i in range(500) for j in range(500)} | {(902, 902): 1.0, (902, 903): 1.0, (903, 902): 1.0, (903, 903): 1.0}
+    ids = [r[0] for r in rows]
+    for blocks in (64, 1):
+        monkeypatch.setattr(search, "VECTOR_BLOCKS", blocks)
+        got = search.nearest(df, asked, 7)
+        assert "aggregate(" not in got._jdf.queryExecution().toString()
+        got = {(r.query, r["rank"]): (r.id, r.score) for r in got.collect()}
+        for q in [i for i in ids if i % 5 == 0 or i > 899]:
+            best = sorted((-np.floor(abs(s) * 1e5 + 0.5) / 1e5 * (1 if s >= 0 else -1), j) for j in ids for s in [score.get((q, j), 0.0)])[:7]
+            assert [got[q, k + 1] for k in range(7)] == [(j, pytest.approx(-s, abs=1e-9)) for s, j in best], q
+        near = {(r.query, r.id) for r in search.scored_vectors(df, asked, 0.5).collect()}
+        assert near == {p for p, s in score.items() if s >= 0.499995 and (p[0] % 5 == 0 or p[0] > 899)}
+    assert search.nearest(df.limit(0), asked, 3).count() == 0 and search.nearest(df, asked.limit(0), 3).count() == 0
