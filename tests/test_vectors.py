@@ -117,3 +117,23 @@ def test_exact_search_in_blocks(spark, monkeypatch):
         near = {(r.query, r.id) for r in search.scored_vectors(df, asked, 0.5).collect()}
         assert near == {p for p, s in score.items() if s >= 0.499995 and (p[0] % 5 == 0 or p[0] > 899)}
     assert search.nearest(df.limit(0), asked, 3).count() == 0 and search.nearest(df, asked.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("joined", [32, 1 << 14])
+def test_few_blocks_move(spark, monkeypatch, joined):
+    """Vectors without structure, several blocks a slot: all pairs, and blocks by size, not one for each cell."""
+    monkeypatch.setattr(vectors, "JOINED", joined)
+    made = []
+    monkeypatch.setattr(vectors, "written", lambda df, name, kept=vectors.written: made.append((name, kept(df, name))) or made[-1][1])
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    at = [AT + timedelta(minutes=int(m)) for m in rng.integers(0, 2 * 24 * 60, 400)]
+    df = spark.createDataFrame([(i, 0, at[i], [float(v) for v in x[i]]) for i in range(400)], "id long, k long, at timestamp, embedding array<float>")
+    got = {(r.a, r.b) for r in vectors.close_pairs(df, 0.92, 86400, dims=3).collect()}
+    f = np.float32(x).astype(float)
+    u = f / np.linalg.norm(f, axis=1, keepdims=True)
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if u[i] @ u[j] >= 0.92 and abs(at[i] - at[j]) <= timedelta(days=1)}
+    slots = len({int(t.timestamp()) // 86400 for t in at})
+    blocks = next(d for n, d in made if n == "blocks")
+    assert blocks.count() == slots if joined > 400 else slots < blocks.count() <= 400 / joined + 2 * slots
+    assert blocks.schema["held"].dataType.elementType["v"].dataType.elementType.simpleString() == "float"
