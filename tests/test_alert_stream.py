@@ -68,3 +68,24 @@ def test_timers_follow_deadlines(spark):
     assert got == [x for x in by_ticks(changes) if x[2] <= end]
     # Moved away and then near: the offsets between are due together, and one is sent a tick.
     assert [n for t, n, _ in got if t == 90] == [7, 14] and len(got) > 60
+
+
+def test_a_call_serves_many_keys(spark, monkeypatch):
+    """Groups of tenders and of notices, with null and odd keys: as many groups as are set, not one for each key."""
+    monkeypatch.setattr(jobs, "GROUPS", 3)
+    path, kept = new_folder(spark, "raw"), new_folder(spark, "versions")
+    rows = [(i, f"s{i % 3}", [None, "a", 'b"', "é"][i % 4], [None, "x", "y"][i * 7 % 11 % 3], START + timedelta(minutes=i * 7 % 100)) for i in range(240)]
+    df = spark.createDataFrame(rows, "event_id long, source string, external_id string, content_hash string, fetched_at timestamp")
+    for k in range(2):
+        df.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(path)
+    out = jobs.version_stream(jobs.read_stream(spark, path, files=9)).writeStream.format("parquet").option("path", kept).option("checkpointLocation", new_folder(spark, "offsets"))
+    query = out.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    want, state = set(), {}
+    for i, source, external, h, _ in sorted(rows, key=lambda r: (r[4], r[0])):
+        last, version = state.get((source, external), (None, 1))
+        amended = last is not None and h is not None and h != last
+        state[source, external] = (h, version + amended)
+        want.add((source, external, i, version + amended, amended))
+    assert {tuple(r) for r in spark.read.parquet(kept).select("source", "external_id", "event_id", "version", "amended").collect()} == want
