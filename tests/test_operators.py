@@ -262,3 +262,17 @@ def test_stems_and_pruned_search(spark):
         found = search.fulltext(search.term_index(notices), spark.createDataFrame(asked, "query int, text string"), len(docs), 5).collect()
         assert {(r.query, r.id, round(r.score, 4)) for r in found} == want
     search.FIRST_POSTINGS = 2000
+
+
+def test_suggestions_are_found_once_for_equal_families(spark, monkeypatch):
+    """Many tenders of the same families, a tender in two rows, short codes: result rows come from a join, not from a grouping of them."""
+    from tenderlake.operators import worklists
+
+    refs = spark.createDataFrame([("r1", ["72110001", "48110002", "72110001"]), ("r2", ["7"]), ("r3", ["48119999"]), ("r4", None)], "reference_id string, cpv array<string>")
+    tenders = spark.createDataFrame([(i, ["7211", "4811"]) for i in range(50)] + [(90, ["7211"]), (90, ["4811", "x"]), (91, ["30"]), (92, None)], "tender_id long, families array<string>")
+    want = {(i, "r1", "48110002,72110001") for i in [*range(50), 90]} | {(i, "r3", "48119999") for i in [*range(50), 90]}
+    for most in (1000, 1):
+        monkeypatch.setattr(worklists, "BROADCAST_TENDERS", most)
+        got = worklists.suggestions(refs, tenders)
+        assert {tuple(r) for r in got.select("tender_id", "reference_id", "codes").collect()} == want and got.count() == 102
+        assert got._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
