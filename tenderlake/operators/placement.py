@@ -17,25 +17,62 @@ from . import dedupe
 KEYS = ("id", "notice_type", "country", "deadline_at", "embedding", "pubs", "xrefs", "buyer", "grams")
 
 
-def _through(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """(a, b): new notices and the stored notice of smallest id under a publication or reference of theirs. All notices of
-    such a key are of one cluster, so that one stands for them."""
+def _through(new: DataFrame, old: DataFrame, key: str, reason: str) -> DataFrame:
+    """(a, b, reason, confidence): new notices and the stored notice of smallest id under a publication or reference of theirs.
+    All notices of such a key are of one cluster, so that one stands for them."""
     keys = lambda rows: rows.select("notice_type", F.explode(F.array_distinct(key)).alias("k"), "id")
     asked = keys(new)
     held = keys(old).join(asked.select("notice_type", "k").distinct(), ["notice_type", "k"], "left_semi").groupBy("notice_type", "k").agg(F.min("id").alias("b"))
-    return asked.withColumnRenamed("id", "a").join(held, ["notice_type", "k"]).select("a", "b")
+    return asked.withColumnRenamed("id", "a").join(held, ["notice_type", "k"]).select("a", "b", F.lit(reason).alias("reason"), F.lit(1.0).alias("confidence"))
 
 
-def matches(new: DataFrame, old: DataFrame, *, vectors: bool = True) -> DataFrame:
-    """(a, b, stored, reason, confidence): verdicts among new notices, and of new ones (a) with stored ones (b).
+def _close(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Stored notices of a buyer and type that new ones have deadlines within the hour of, and some more."""
+    slot = F.floor(F.unix_seconds("deadline_at") / dedupe.NEAR_S)
+    keyed = lambda rows: rows.filter("buyer is not null and deadline_at is not null").withColumns({"_k": F.xxhash64(*dedupe.BUYER_KEY), "_slot": slot})
+    asked = keyed(new).select("_k", F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)).alias("_slot")).distinct()
+    return keyed(old).join(asked, ["_k", "_slot"], "left_semi").select(*old.columns)
 
-    Both frames are ``dedupe.prepared``. Stored notices are never compared with each other.
+
+def met(new: DataFrame, old: DataFrame, *, vectors: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of all verdicts among new notices, and of new with stored ones (both frames ``dedupe.prepared``; stored ones are never
+    compared with each other): links (a, b) of new notices and links of new (a) with stored ones (b) that connect what all
+    verdicts do, the best verdicts (id, partner, reason, confidence) of new notices and those of stored ones, a few rows each.
+
+    A class of copies meets other classes, not a copy other copies. Its new members are linked to the first, its stored ones to
+    one new notice that meets the class; that one stands for all.
     """
-    own = dedupe.verdicts(new, dedupe.candidate_pairs(new, vectors=vectors)).select("a", "b", F.lit(False).alias("stored"), "reason", "confidence")
-    pairs = _through(new, old, "pubs").unionByName(_through(new, old, "xrefs"))
-    pairs = pairs.unionByName(dedupe._near(new.filter("buyer is not null"), old.filter("buyer is not null"), [F.col(c) for c in dedupe.BUYER_KEY], dedupe.NEAR_S))
-    pairs = pairs.unionByName(dedupe._alike(new, old)) if vectors else pairs
-    return own.unionByName(dedupe.verdicts(new, pairs.distinct(), old).select("a", "b", F.lit(True).alias("stored"), "reason", "confidence"))
+    both = new.select(*KEYS, F.lit(False).alias("stored")).unionByName(_close(new, old).select(*KEYS, F.lit(True).alias("stored")))
+    members, classes = dedupe.classed(both, "stored")
+    firsts = written(members.groupBy("c").agg(F.min(F.when(~F.col("stored"), F.col("id"))).alias("new"), F.min(F.when(F.col("stored"), F.col("id"))).alias("old")), "firsts")
+    fresh = classes.join(firsts.filter("new is not null").select(F.col("c").alias("id")), "id", "left_semi").select(*classes.columns)
+    side = lambda n: firsts.select(F.col("c").alias(n), F.col("new").alias(f"{n}_new"), F.col("old").alias(f"{n}_old"))
+    of = written(dedupe.class_verdicts(fresh, classes).join(side("a"), "a").join(side("b"), "b"), "met")
+    itself = of.filter("a = b")
+
+    refs = dedupe.stars(new)
+    through = _through(new, old, "pubs", dedupe.RULES[0]).unionByName(_through(new, old, "xrefs", dedupe.RULES[1]))
+    if vectors:
+        verdicts = lambda pairs, *others: dedupe.verdicts(new, pairs, *others).select("a", "b", "reason", "confidence")
+        refs = refs.unionByName(verdicts(dedupe._alike(new)))
+        through = through.unionByName(verdicts(dedupe._alike(new, old), old))
+    refs, through = written(refs, "refs"), written(through, "through")
+
+    mine, theirs = members.filter("not stored").select("id", "c"), members.filter("stored").select("id", "c")
+    copies = mine.join(itself.select(F.col("a").alias("c"), F.col("a_new").alias("a")), "c").filter("id > a").select("a", F.col("id").alias("b"))
+    inside = refs.select("a", "b").unionByName(copies).unionByName(of.filter("a < b and b_new is not null").select(F.col("a_new").alias("a"), F.col("b_new").alias("b")))
+    least = of.filter("b_old is not null").groupBy("b").agg(F.min("a_new").alias("a"), F.min(dedupe.best("a_new")).alias("_m"))
+    held = theirs.join(least.withColumnRenamed("b", "c"), "c")
+    across = through.select("a", "b").unionByName(held.select("a", F.col("id").alias("b"))).unionByName(of.filter("b_old is not null").select(F.col("a_new").alias("a"), F.col("b_old").alias("b")))
+
+    ways = lambda rows, a, b: rows.select(F.col(a).alias("id"), F.col(b).alias("partner"), "reason", "confidence")
+    others = of.filter("a <> b").groupBy(F.col("a").alias("c")).agg(F.min(dedupe.best("b")).alias("_m")).select("c", F.col("_m._with").alias("partner"), "_m.reason", "_m.confidence")
+    second = members.filter("id > c").groupBy("c").agg(F.min("id").alias("second"))
+    own = itself.select(F.col("a").alias("c"), "reason", "confidence").join(second, "c")
+    own = mine.join(own, "c").withColumn("partner", F.when(F.col("id") == F.col("c"), F.col("second")).otherwise(F.col("c")))
+    news = ways(refs, "a", "b").unionByName(ways(refs, "b", "a")).unionByName(ways(through, "a", "b")).unionByName(ways(mine.join(others, "c"), "id", "partner")).unionByName(ways(own, "id", "partner"))
+    olds = ways(through, "b", "a").unionByName(held.select("id", F.col("_m._with").alias("partner"), "_m.reason", "_m.confidence"))
+    return inside, across, news, olds
 
 
 def solved(new: DataFrame, old: DataFrame, *, vectors: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -46,22 +83,19 @@ def solved(new: DataFrame, old: DataFrame, *, vectors: bool = True) -> tuple[Dat
     component is named by its smallest stored cluster, or, without one, by its smallest notice, which then has no reason
     and confidence 1. Any other member has the reason and confidence of its best verdict (ties: smallest partner).
     """
-    found = written(matches(new, old.select(*KEYS), vectors=vectors), "matches")
+    inside, across, news, olds = met(new, old.select(*KEYS), vectors=vectors)
     of = old.select(F.col("id").alias("_id"), "cluster_id")
     node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
-    inside = found.filter("not stored")
-    across = found.filter("stored").join(of, F.col("b") == F.col("_id")).select("a", "b", "cluster_id", "reason", "confidence")
-    links = inside.select(node(1, "a").alias("a"), node(1, "b").alias("b")).unionByName(across.select(node(0, "cluster_id").alias("a"), node(1, "a").alias("b"))).distinct()
+    across = across.join(of, F.col("b") == F.col("_id")).select("a", "cluster_id")
+    links = written(inside.select(node(1, "a").alias("a"), node(1, "b").alias("b")).unionByName(across.select(node(0, "cluster_id").alias("a"), node(1, "a").alias("b"))).distinct(), "links")
     nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     label = written(dedupe.cluster(nodes, links), "labels")
-    sided = inside.select(F.col("a").alias("_n"), F.col("b").alias("_with"), "reason", "confidence").unionByName(inside.select(F.col("b").alias("_n"), F.col("a").alias("_with"), "reason", "confidence"))
-    sided = sided.unionByName(across.select(F.col("a").alias("_n"), F.col("b").alias("_with"), "reason", "confidence"))
-    best = sided.groupBy("_n").agg(F.min_by(F.struct("reason", "confidence"), F.struct(-F.col("confidence"), "_with")).alias("_m"))
+    best = news.groupBy(F.col("id").alias("_n")).agg(F.min(dedupe.best("partner")).alias("_m"))
     placed = label.filter("id.kind = 1").select(F.col("id.key").alias("_l"), F.col("cluster_id.key").alias("_c"), (F.col("id") == F.col("cluster_id")).alias("_first"))
     members = new.select("id").join(placed, F.col("id") == F.col("_l"), "left").join(best, F.col("id") == F.col("_n"), "left")
     named = F.coalesce("_first", F.lit(True))
     members = members.select("id", F.coalesce("_c", "id").alias("cluster_id"), F.when(~named, F.col("_m.reason")).alias("reason"), F.when(named, F.lit(1.0)).otherwise(F.col("_m.confidence")).alias("confidence"))
-    touched = across.groupBy(F.col("cluster_id").alias("_n")).agg(F.min_by(F.struct("reason", "confidence"), F.struct(-F.col("confidence"), "a")).alias("_m"))
+    touched = olds.join(of, F.col("id") == F.col("_id")).groupBy(F.col("cluster_id").alias("_n")).agg(F.min(dedupe.best("partner")).alias("_m"))
     bridged = label.filter("id.kind = 0 and id <> cluster_id").select(F.col("id.key").alias("cluster_id"), F.col("cluster_id.key").alias("into"))
     merges = bridged.join(touched, F.col("cluster_id") == F.col("_n")).select("cluster_id", "into", "_m.reason", "_m.confidence")
     return members, merges

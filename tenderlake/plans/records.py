@@ -9,7 +9,7 @@ from ..functions import ids
 from ..operators import dedupe, documents, landing, normalise, placement, scoring, tenancy, worklists
 from ..sources import dims
 from ..sources import tables as t
-from ..sources.storage import new_folder
+from ..sources.storage import new_folder, written
 from ..sources.upsert import UpsertTable
 from ..streaming import jobs
 from . import ingest, product
@@ -101,8 +101,10 @@ def placed_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-15."""
-    members = ingest.cluster_members(spark, sf_dir)
-    out = dedupe.cluster_audit(members, ingest._matched(spark, sf_dir))
+    n = ingest._publication_notices(spark, sf_dir)
+    p = written(dedupe.prepared(n), "prepared")
+    members = dedupe.cluster(n.select("id"), dedupe.links(p, vectors=False))
+    out = dedupe.cluster_audit(members, dedupe.absorbing(p, vectors=False))
     return out.select("cluster_id", F.array_join(F.transform("merged_from", lambda x: F.concat(x["b"].cast("string"), F.lit(":"), x["reason"])), ",").alias("merged_from"), "confidence")
 
 
@@ -249,9 +251,10 @@ def stream_late_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     least, most = n.agg(F.min("id"), F.max("id")).first()
     path, store = new_folder(spark, "late"), placement.Store(spark, new_folder(spark, "placed"))
     third = F.floor((F.col("id") - least) * 3 / F.lit(most - least + 1))
-    for k in range(3):  # files of a later write are later in the stream
-        n.filter(third == k).coalesce(1).write.mode("append").parquet(path)
-    jobs.late_duplicates(jobs.read_stream(spark, path), store, new_folder(spark, "offsets"), vectors=False).awaitTermination()
+    offsets = new_folder(spark, "offsets")
+    for k in range(3):  # the stream goes on where it ended, with all files of the batch
+        n.filter(third == k).write.mode("append").parquet(path)
+        jobs.late_duplicates(jobs.read_stream(spark, path, files=1_000_000), store, offsets, vectors=False).awaitTermination()
     return store.members().select("id", "cluster_id")
 
 

@@ -110,3 +110,39 @@ def test_no_name_is_defined_twice():
     for path in Path(tenderlake.__file__).parent.rglob("*.py"):
         names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
         assert len(names) == len(set(names)), path
+
+
+def test_classes_of_copies_against_all_pairs(spark):
+    """Copies, nearby titles and deadlines and shared references, a part of them stored: clusters, best verdicts and merges are those
+    of all pairs, but links are a few for each notice, not one for each two."""
+    rnd = random.Random(7)
+    titles = ["road works in the north quarter of town", "road works in the north quarters of town", "road works in north quarters of the town hall", "school meals", "", None]
+    one = lambda i: row(i, f"REF-{rnd.randint(0, 150):03}", title=titles[0] if i % 2 else rnd.choice(titles), siren=rnd.choice(["1", "1", "2", None]), at=rnd.choice([None, AT]) if i % 9 == 0 else AT + timedelta(minutes=30 * rnd.choice([0, 0, 0, 1, 2, 3, 9])), kind=rnd.choice(["competition"] * 5 + ["result"]))
+    p = dedupe.prepared(frame(spark, *[one(i) for i in range(400)]))
+    old, new = p.filter("id % 3 = 0"), p.filter("id % 3 <> 0")
+    every = lambda x, y, on: dedupe.verdicts(x, x.select(F.col("id").alias("a")).join(y.select(F.col("id").alias("b")), F.expr(on)), y).select("a", "b", "reason", "confidence")
+    at_first = dedupe.cluster(old.select("id"), every(old, old, "a < b"))
+    old = old.join(at_first, "id")
+    owns, ways = [tuple(r) for r in every(new, new, "a < b").collect()], [tuple(r) for r in every(new, old.drop("cluster_id"), "true").collect()]
+    of = {r.id: r.cluster_id for r in at_first.collect()}
+    best, touched = {}, {}
+    rank = lambda c, other, reason: (-c, other, dedupe.RULES.index(reason))
+    for a, b, reason, c in [*owns, *((b, a, r, c) for a, b, r, c in owns), *ways]:
+        best[a] = min(best.get(a, ((9,),)), (rank(c, b, reason), reason, c))
+    for a, b, reason, c in ways:
+        touched[of[b]] = min(touched.get(of[b], ((9,),)), (rank(c, a, reason), reason, c))
+    edges = [((1, a), (1, b)) for a, b, *_ in owns] + [((0, of[b]), (1, a)) for a, b, *_ in ways]
+    label = {n: n for n in {x for e in edges for x in e} | {(1, r.id) for r in new.select("id").collect()}}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    members, merges = placement.solved(new, old, vectors=False)
+    got = {r.id: (r.cluster_id, r.reason, r.confidence) for r in members.collect()}
+    assert got == {i: (label[k, i][1], *(best[i][1:] if label[k, i] != (k, i) else (None, 1.0))) for k, i in label if k}
+    assert {(r.cluster_id, r.into, r.reason, r.confidence) for r in merges.collect()} == {(i, label[k, i][1], *touched[i][1:]) for k, i in label if not k and label[k, i] != (k, i)}
+    inside, across, news, olds = (x.count() for x in placement.met(new, old.drop("cluster_id"), vectors=False))
+    assert inside + across < len(owns + ways) / 4 and news < 4 * 267 and olds < 4 * 133
+    whole = {}
+    for a, b, reason, c in (tuple(r) for r in every(p, p, "a < b").collect()):
+        whole[b] = min(whole.get(b, ((9,),)), (rank(c, a, reason), a, reason, c))
+    assert {r.b: (r.a, r.reason, r.confidence) for r in dedupe.absorbing(p, vectors=False).collect()} == {b: v[1:] for b, v in whole.items()}
