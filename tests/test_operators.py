@@ -276,3 +276,22 @@ def test_suggestions_are_found_once_for_equal_families(spark, monkeypatch):
         got = worklists.suggestions(refs, tenders)
         assert {tuple(r) for r in got.select("tender_id", "reference_id", "codes").collect()} == want and got.count() == 102
         assert got._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
+
+
+def test_alike_titles_in_blocks(spark, monkeypatch):
+    """Titles of all sizes over several blocks and tiles, long ones among them, against all pairs; each pair comes once. No step has a
+    row for each two titles that share a trigram."""
+    from tenderlake.functions.text import jaccard, trigrams
+
+    monkeypatch.setattr(search, "BLOCK_TITLES", 40)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 9, 60, 400])))) for i in range(250)] + [(900, ""), (901, None)]
+    rows += [(1000 + i, t + " " + rnd.choice(words)) for i, t in rows[:150]]
+    t = spark.createDataFrame(rows, "id long, title string")
+    got = [tuple(r) for r in search.alike_titles(t, 0.6).collect()]
+    g = t.select("id", trigrams(F.col("title")).alias("g"))
+    both = g.select(F.col("id").alias("a"), F.col("g").alias("ga")).join(g.select(F.col("id").alias("b"), F.col("g").alias("gb")), F.col("a") < F.col("b"))
+    want = [tuple(r) for r in both.withColumn("s", jaccard(F.col("ga"), F.col("gb"))).filter("s >= 0.6").select("a", "b", F.round("s", 6)).collect()]
+    assert len(want) > 150 and sorted(got) == sorted(want)
+    assert "_ranked" not in dir(search)
