@@ -11,6 +11,10 @@ from ..sources import tables as t
 from ..sources.dims import DEPARTMENTS
 
 
+#: Tasks that rows of much work are dealt to, for each core.
+TASKS_A_CORE = 4
+
+
 def _ted_raw(spark, sf_dir):
     x = t.notices(spark, sf_dir)
     k = F.substring("notice_id", 7, 20).cast("long")
@@ -37,7 +41,9 @@ def ted_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boamp_raw(spark, sf_dir):
     """Two versions of a notice per supplier: eForms, archive or broken data inside, with k % 4 lots, the third without an id."""
-    s = t.read(spark, sf_dir, "supplier").withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+    # A small file is one task, and a notice takes milliseconds: suppliers are dealt to all cores first.
+    dealt = t.read(spark, sf_dir, "supplier").repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "s_suppkey")
+    s = dealt.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
     k, v = F.col("s_suppkey"), F.col("v")
     pick = lambda vs: F.element_at(F.array(*[F.lit(x) for x in vs]), (k % len(vs) + 1).cast("int"))
     code = lambda x, name: F.struct(F.lit(name).alias("@listName"), x.alias("#text"))

@@ -64,3 +64,9 @@ def test_archive_broken_and_other_shapes(spark):
     assert (got["b"].buyer_name, got["b"].description, got["b"].title, got["b"].lots) == ("B", "x, y", "BOAMP b", [])
     assert {k: r.cpv for k, r in got.items()} == {"a": [], "b": [], "c": ["11111111"], "d": ["22222222"], "e": [], "f": ["55555555"], "g": []}
     assert got["g"].buyer_contact.asDict() == {"email": None, "phone": None, "website": None}
+
+
+def test_a_small_table_is_dealt_to_all_cores(spark, sf_dir):
+    from tenderlake.plans import normalisation
+
+    assert normalisation.boamp_normalize(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
