@@ -23,8 +23,6 @@ FIELD_WEIGHTS = {"title": 1.0, "buyer_name": 0.4, "description": 0.2}
 ENGLISH = ((r"([a-z]{2,})ies\b", "$1y"), (r"([a-z]{2,}[^sui ])s\b", "$1"), (r"([a-z]{3,})(?:ing|ed|ly)\b", "$1"))
 FRENCH = ((r"([a-z]{2,})eaux\b", "$1eau"), (r"([a-z]{2,}[^e ])aux\b", "$1al"), (r"([a-z]{3,})[sx]\b", "$1"), (r"([a-z]{3,})(?:ation|ement|euse|trice|teur)\b", "$1"), (r"([a-z]{3,})e\b", "$1"))
 PLAIN_WORDS: tuple = ((),)
-#: Postings that the first look at a query reads, beside its heaviest list.
-FIRST_POSTINGS = 2000
 
 
 def stemmed(normal: Column, rules: tuple) -> Column:
@@ -40,15 +38,21 @@ def terms(c: Column, stems: tuple = PLAIN_WORDS) -> Column:
     return F.array_distinct(F.array_remove(words, ""))
 
 
-def term_index(notices: DataFrame, stems: tuple = PLAIN_WORDS) -> DataFrame:
-    """X-01. (id, term, weight): a term's weight is the sum of its fields' weights. An id is one row of ``notices``; no shuffle."""
+def term_lists(notices: DataFrame, stems: tuple = PLAIN_WORDS) -> DataFrame:
+    """X-01. (id, postings) with postings an array of (term, weight): a term's weight is the sum of its fields' weights. An id is
+    one row of ``notices``; no shuffle."""
     rows = notices.select("id", *[terms(F.col(c), stems).alias(f"_{c}") for c in FIELD_WEIGHTS])
     small, (last, light) = list(FIELD_WEIGHTS.items())[:-1], list(FIELD_WEIGHTS.items())[-1]
     few = F.array_distinct(F.concat(*[F.col(f"_{c}") for c, _ in small]))
     weight = lambda x: sum((F.when(F.array_contains(F.col(f"_{c}"), x), F.lit(w)).otherwise(F.lit(0.0)) for c, w in FIELD_WEIGHTS.items()), F.lit(0.0))
     own = F.transform(few, lambda x: F.struct(x.alias("term"), F.round(weight(x), 6).alias("weight")))
     rest = F.transform(F.array_except(F.col(f"_{last}"), few), lambda x: F.struct(x.alias("term"), F.lit(light).alias("weight")))
-    return rows.select("id", F.inline(F.concat(own, rest)))
+    return rows.select("id", F.concat(own, rest).alias("postings"))
+
+
+def term_index(notices: DataFrame, stems: tuple = PLAIN_WORDS) -> DataFrame:
+    """X-01. (id, term, weight) of ``term_lists``."""
+    return term_lists(notices, stems).select("id", F.inline("postings"))
 
 
 def top(found: DataFrame, k: int, *, by: str = "query", score: str = "score") -> DataFrame:
@@ -56,39 +60,92 @@ def top(found: DataFrame, k: int, *, by: str = "query", score: str = "score") ->
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Queries, and terms of queries, of a block (by hash, about), and postings that are summed at once.
+ASKED_QUERIES, ASKED_TERMS, SUMMED = 256, 1 << 14, 1 << 14
+
+
+def _met(lists: DataFrame, asked: DataFrame, chosen: Callable, extra: str = "") -> DataFrame:
+    """(query, id, score, ...): for every row of ``lists`` (id, postings) and every query of ``asked`` (query, term, adds), what its
+    terms add to each other, summed over weight times ``adds``; of each query and row what ``chosen`` takes.
+
+    Rows stay where they are: queries come to them, in blocks of bounded size, as a table of terms by queries. A block is one pass
+    over the lists. ``chosen(table)`` makes a function for a task; that one gets the sums (rows by queries) and the rows' sizes,
+    and gives places (row, query) and further columns.
+    """
+    spark = lists.sparkSession
+    ship(spark)
+    asked = written(asked.select("query", "term", "adds"), "asked")
+    counts = asked.agg(F.count("*").alias("terms"), F.count_distinct("query").alias("queries")).first()
+    n = max(1, math.ceil(counts.terms / ASKED_TERMS), math.ceil(counts.queries / ASKED_QUERIES))
+    kinds = asked.schema["query"].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
+
+    def passed(block: int) -> DataFrame:
+        held = asked.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == block).toArrow()
+        names, words = (held.column(c).combine_chunks().dictionary_encode() for c in ("query", "term"))
+        sent = spark.sparkContext.broadcast((names.dictionary, words.dictionary, words.indices.to_numpy(), names.indices.to_numpy(), held.column("adds").to_numpy()))
+
+        def run(batches):
+            queries, vocabulary, row, column, adds = sent.value
+            table = np.zeros((len(vocabulary), len(queries)))
+            table[row, column] = adds
+            take = chosen(table)
+            for batch in batches:
+                ids, postings = batch.column("id"), batch.column("postings")
+                sizes = pc.fill_null(pc.list_value_length(postings), 0).to_numpy(zero_copy_only=False)
+                flat = pc.list_flatten(postings)
+                known = pc.index_in(flat.field("term"), value_set=vocabulary)
+                mine = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+                word, of = known.drop_null().to_numpy(), np.repeat(np.arange(len(ids)), sizes)[mine]
+                weight = flat.field("weight").to_numpy(zero_copy_only=False)[mine]
+                at = 0
+                while at < len(mine):
+                    # About so many postings, and whole rows.
+                    end = len(mine) if at + SUMMED >= len(mine) else int(np.searchsorted(of, of[at + SUMMED], "left"))
+                    if end <= at:
+                        end = int(np.searchsorted(of, of[at], "right"))
+                    rows, first = np.unique(of[at:end], return_index=True)
+                    sums = np.add.reduceat(table[word[at:end]] * weight[at:end, None], first, axis=0)
+                    i, j, more = take(sums, sizes[rows])
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(j)), ids.take(pa.array(rows[i])), pa.array(sums[i, j]), *map(pa.array, more)], names=["query", "id", "score", *[c.split()[0] for c in extra.split(", ") if c]])
+                    at = end
+
+        return lists.mapInArrow(run, f"query {kinds[0]}, id {kinds[1]}, score double" + (extra and f", {extra}"))
+
+    out = passed(0)
+    for block in range(1, n):
+        out = out.unionByName(passed(block))
+    return out
+
+
 def fulltext(index: DataFrame, queries: DataFrame, n: int, k: int, stems: tuple = PLAIN_WORDS) -> DataFrame:
-    """Top k by the sum of weight times log(1 + n / df). Queries are (query, text). Exact.
+    """``fulltext_lists`` over an index of (id, term, weight)."""
+    return fulltext_lists(index.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("postings")), queries, n, k, stems)
+
+
+def fulltext_lists(lists: DataFrame, queries: DataFrame, n: int, k: int, stems: tuple = PLAIN_WORDS) -> DataFrame:
+    """Top k by the sum of weight times log(1 + n / df), over (id, postings). Queries are (query, text). Exact.
 
-    A term's postings are split by weight; all postings of such a list add the same to a score. A first look at the heaviest
-    lists of a query gives a score that its k-th answer reaches at least. The lightest lists that together stay below it
-    can't make an answer by themselves: the others are joined by term, and of what they find only the documents that can
-    still reach the score are looked up in the light lists. Frequent terms are light, so that their long lists aren't joined.
+    Only how many rows hold a term is shuffled, and what may be among the best: a task leaves out a row where it has met k rows
+    of higher scores before.
     """
-    index = written(index, "terms")
-    asked = queries.select("query", F.explode(terms(F.col("text"), stems)).alias("term"))
-    sizes = index.groupBy("term", "weight").agg(F.count("*").alias("n")).join(asked.select("term").distinct(), "term", "left_semi")
-    sizes = sizes.withColumn("df", F.sum("n").over(Window.partitionBy("term")))
-    lists = asked.join(sizes, "term").select("query", "term", "weight", "n", (F.col("weight") * F.log(1 + F.lit(float(n)) / F.col("df"))).alias("adds"))
-    heavy = Window.partitionBy("query").orderBy(F.desc("adds"), "term")
-    grown = F.col("adds") - F.lag("adds", 1, 0.0).over(Window.partitionBy("query", "term").orderBy("adds"))
-    lists = lists.withColumns({"_before": F.coalesce(F.sum("n").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_grown": grown})
-    # What a document can have from this list and all lighter ones: the heaviest of each term.
-    lists = written(lists.withColumn("bound", F.sum("_grown").over(Window.partitionBy("query").orderBy("adds", "term").rowsBetween(Window.unboundedPreceding, 0))), "lists")
-    summed = lambda some: some.join(index, ["term", "weight"]).groupBy("query", "id").agg(F.sum("adds").alias("score"))
-    first = summed(lists.filter(F.col("_before") < FIRST_POSTINGS).select("query", "term", "weight", "adds"))
-    reached = first.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == k).select("query", (F.col("score") - 1e-5).alias("least"))
-    lists = written(lists.join(reached, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("light", F.col("bound") < F.col("least")), "split")
-    rest = lists.groupBy("query").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("light"), F.col("bound"))), F.lit(0.0)).alias("rest"))
-    found = written(summed(lists.filter("not light").select("query", "term", "weight", "adds")), "heard")
-    # The k-th score without the light lists is a better bound for what they may still add.
-    kth = found.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == k).select("query", (F.col("score") - 1e-5).alias("_kth"))
-    found = found.join(rest, "query").join(kth, "query", "left").filter(F.col("score") + F.col("rest") >= F.greatest("least", F.coalesce("_kth", F.lit(0.0))))
-    found = written(found.select("query", "id", "score"), "found")
-    light = lists.filter("light").select("query", "term", "weight", "adds")
-    held = index.join(light.select("term", "weight").distinct(), ["term", "weight"], "left_semi")
-    light = found.select("query", "id").join(held, "id").join(light, ["query", "term", "weight"])
-    whole = found.unionByName(light.select("query", "id", F.col("adds").alias("score"))).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
-    return top(whole, k)
+    lists = written(lists, "terms")
+    asked = written(queries.select("query", F.explode(terms(F.col("text"), stems)).alias("term")).distinct(), "words")
+    df = lists.select(F.explode("postings.term").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    adds = asked.join(df, "term").withColumn("adds", F.log(1 + F.lit(float(n)) / F.col("df")))
+
+    def chosen(table):
+        best = np.zeros((k, table.shape[1]))
+
+        def take(sums, _):
+            nonlocal best
+            best = np.partition(np.concatenate([best, sums]), -k, axis=0)[-k:]
+            # Scores that are equal once rounded are in order of the id.
+            i, j = np.nonzero((sums > 0) & (sums >= best[0] - 1e-5))
+            return i, j, ()
+
+        return take
+
+    return top(_met(lists, adds, chosen).select("query", "id", F.round("score", 6).alias("score")), k)
 
 
 #: Titles of a block, and of a tile of the matrix that is held at once; steps of size within ``least``, block pairs that are dealt apart.
@@ -182,13 +239,25 @@ def alike_titles(titles: DataFrame, least: float) -> DataFrame:
 
 
 def trigram_search(rows: DataFrame, queries: DataFrame, k: int, least: float = 0.3) -> DataFrame:
-    """X-02. Top k titles by trigram similarity, from shared pieces counted over an equi-join."""
-    t = rows.select("id", trigrams(F.col("title")).alias("g"))
-    q = queries.select("query", trigrams(F.col("text")).alias("qg"))
+    """X-02. Top k titles by trigram similarity: trigrams of the queries come to the titles, which count what they share."""
+    pieces = lambda c: F.transform(trigrams(F.col(c)), lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("weight")))
+    q = written(queries.select("query", trigrams(F.col("text")).alias("qg")), "asked")
+    asked = q.select("query", F.explode("qg").alias("term"), F.lit(1.0).alias("adds"))
+    sizes = q.select("query", F.size("qg").cast("long").alias("qn"))
+
+    def chosen(table):
+        asked = table.sum(0)
+
+        def take(sums, n):
+            i, j = np.nonzero(sums >= (n[:, None] + asked - sums) * (least - 1e-5))
+            return i, j, (n[i].astype(np.int64),)
+
+        return take
+
+    s = _met(rows.select("id", pieces("title").alias("postings")), asked, chosen, "n long").join(F.broadcast(sizes), "query")
     near = (F.col("n") >= F.lit(least) * F.col("qn")) & (F.col("qn") >= F.lit(least) * F.col("n"))
-    shared = t.select("id", F.size("g").alias("n"), F.explode("g").alias("p")).join(q.select("query", F.size("qg").alias("qn"), F.explode("qg").alias("p")), "p").filter(near)
-    s = shared.groupBy("query", "id", "n", "qn").agg(F.count("*").alias("o"))
-    s = s.select("query", "id", F.round(F.col("o") / (F.col("n") + F.col("qn") - F.col("o")), 6).alias("score")).filter(F.col("score") >= least)
+    o = F.col("score")
+    s = s.filter(near).select("query", "id", F.round(o / (F.col("n") + F.col("qn") - o), 6).alias("score")).filter(F.col("score") >= least)
     return top(s, k)
 
 
