@@ -34,6 +34,8 @@ def stemmed(normal: Column, rules: tuple) -> Column:
 def terms(c: Column, stems: tuple = PLAIN_WORDS) -> Column:
     """Distinct words of the normal form, under each of the rule sets: a word has as many terms as it has different stems."""
     normal = F.array(normalize_text(c))  # in a lambda it is bound once
+    if any(stems):  # rules don't reach beyond a word, so that a word that comes again is stemmed once
+        normal = F.transform(normal, lambda x: F.array_join(F.array_distinct(F.split(x, " ")), " "))
     words = F.get(F.transform(normal, lambda x: F.concat(*[F.split(stemmed(x, rules), " ") for rules in stems])), F.lit(0))
     return F.array_distinct(F.array_remove(words, ""))
 
