@@ -147,10 +147,15 @@ def digest_orgs(orgs: DataFrame, digests: DataFrame, now: Column) -> DataFrame:
     return orgs.filter(F.hour(F.from_utc_timestamp(now, F.col("tz"))) == DIGEST_HOUR).join(recent, "org_id", "left_anti")
 
 
+def best_matches(matches: DataFrame) -> DataFrame:
+    """The best new matches of each org, with their place as ``_k``."""
+    w = Window.partitionBy("org_id").orderBy(F.desc("score"), "match_id")
+    return matches.filter("state = 'new'").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= DIGEST_TOP)
+
+
 def digests(matches: DataFrame, counters: DataFrame) -> DataFrame:
     """A-11. The best new matches of each org as lines, with its counts; orgs with nothing new are left out."""
-    w = Window.partitionBy("org_id").orderBy(F.desc("score"), "match_id")
-    top = matches.filter("state = 'new'").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= DIGEST_TOP)
+    top = best_matches(matches)
     line = F.format_string("  [%3d] %s", "score", F.substring("title", 1, 80))
     lines = top.groupBy("org_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
     return counters.filter("new_matches > 0 or expiring > 0").join(lines, "org_id", "left")
