@@ -215,6 +215,10 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(jobs.health_stream(rows, sources), spark).select("source", "at", "health", "verdict")
 
 
+#: Tenders of a group of the alert stream, some hundred bytes each, that a task holds at once.
+TENDERS_A_GROUP = 8192
+
+
 def stream_deadline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-06. Every tender is made, moved by eleven days two weeks before its deadline, and moved again; then some are submitted."""
     x = t.tenders(spark, sf_dir).filter("deadline_at is not null")
@@ -228,7 +232,10 @@ def stream_deadline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path, target = new_folder(spark, "changes"), new_folder(spark, "alerts")
     x.select("org_id", "tender_id", F.inline(changes)).repartitionByRange(4, "at").write.parquet(path)
-    jobs.alerts_stream(jobs.read_stream(spark, path, files=100)).writeStream.format("parquet").option("path", target).option("checkpointLocation", new_folder(spark, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    groups = max(jobs.GROUPS, -(-x.count() // TENDERS_A_GROUP))
+    with jobs.states_on_disk(spark):
+        alerts = jobs.alerts_stream(jobs.read_stream(spark, path, files=100), groups=groups)
+        alerts.writeStream.format("parquet").option("path", target).option("checkpointLocation", new_folder(spark, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("tender_id").alias("tenders"))
 
 
